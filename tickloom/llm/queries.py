@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tickloom.llm import bpe, exact_dedup, packing
+from tickloom.llm import bpe, exact_dedup, packing, secrets, spotsigs
 
 
 def queries():
     return {
+        "op2_spotsigs": spotsigs.op2_spotsigs,
         "op5_forced_boundary_bpe": bpe.op5_forced_boundary_bpe,
         "op7_content_sort": exact_dedup.op7_content_sort,
+        "op8_blob_ledger": secrets.op8_blob_ledger,
         "op9_island_packing": packing.op9_island_packing,
         "pipeline": corpus_pipeline.run,
     }

@@ -32,3 +32,12 @@ def empty_dir(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     return str(tmp_path)
+
+
+@pytest.fixture
+def empty_dir_of(spark, tmp_path):
+    """As ``empty_dir``, for tests that use ``odd_dir`` too."""
+    at = tmp_path / "empty"
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(at / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+    return str(at)

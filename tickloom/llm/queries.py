@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tickloom.llm import bpe, exact_dedup, packing, secrets, spotsigs
+from tickloom.llm import bpe, exact_dedup, packing, quality, secrets, spotsigs, toxicity
 
 
 def queries():
     return {
+        "op1_noisy_channel": toxicity.op1_noisy_channel,
         "op2_spotsigs": spotsigs.op2_spotsigs,
         "op5_forced_boundary_bpe": bpe.op5_forced_boundary_bpe,
         "op7_content_sort": exact_dedup.op7_content_sort,
         "op8_blob_ledger": secrets.op8_blob_ledger,
         "op9_island_packing": packing.op9_island_packing,
+        "op10_random_indexing": quality.op10_random_indexing,
         "pipeline": corpus_pipeline.run,
     }
 

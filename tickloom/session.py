@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +53,17 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors, as --py-files would, unless PYTHONPATH already has it."""
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp()
+    sc.addPyFile(shutil.make_archive(f"{folder}/tickloom", "zip", root, "tickloom"))
+    _shipped.add(sc.applicationId)

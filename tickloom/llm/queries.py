@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tickloom.llm import bpe, exact_dedup, packing, quality, secrets, spotsigs, toxicity
+from tickloom.llm import bpe, exact_dedup, lm_score, near_dedup, packing, quality, repeats, secrets, spotsigs, toxicity
 
 
 def queries():
     return {
         "op1_noisy_channel": toxicity.op1_noisy_channel,
         "op2_spotsigs": spotsigs.op2_spotsigs,
+        "op3_suffix_trees": repeats.op3_suffix_trees,
+        "op4_masked_window": lm_score.op4_masked_window,
         "op5_forced_boundary_bpe": bpe.op5_forced_boundary_bpe,
+        "op6_bag_minhash": near_dedup.op6_bag_minhash,
         "op7_content_sort": exact_dedup.op7_content_sort,
         "op8_blob_ledger": secrets.op8_blob_ledger,
         "op9_island_packing": packing.op9_island_packing,

@@ -33,6 +33,11 @@ def unchanged(text: Column) -> Column:
     return text
 
 
+def only_at(values: pa.Array, where: np.ndarray) -> pa.Array:
+    """The values where asked for, null elsewhere."""
+    return values.take(pa.array(np.arange(len(values)), mask=~where))
+
+
 def close_runs(batches: Iterator[pa.RecordBatch], carried: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows of one sorted partition, each with the size and largest id of its run of equal texts.
 
@@ -64,8 +69,7 @@ def close_runs(batches: Iterator[pa.RecordBatch], carried: list[str]) -> Iterato
         """Without the text; of the carried columns only the last row keeps its values."""
         cols = [rows["doc_id"], rows["text_sha256"]]
         for name in carried:
-            c = rows[name]
-            cols.append(c if rows.num_rows == 1 and last else pc.if_else(pa.array(np.arange(rows.num_rows) == (rows.num_rows - 1 if last else -1)), c, pa.scalar(None, c.type)))
+            cols.append(only_at(rows[name], np.arange(rows.num_rows) == (rows.num_rows - 1 if last else -1)))
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "text_sha256", *carried])
 
     for batch in batches:
@@ -103,7 +107,7 @@ def close_runs(batches: Iterator[pa.RecordBatch], carried: list[str]) -> Iterato
                 end[inner[1:] - inner[0] - 1] = True
                 cols = [rows["doc_id"], rows["text_sha256"], pa.array(sizes[run].astype(np.int64)), pa.array(top, mask=top == NO_ID), pa.array(end), pa.array(np.zeros(rows.num_rows, bool)), pa.array(np.full(rows.num_rows, pid, np.int32))]
                 for name in carried:
-                    cols.append(pc.if_else(pa.array(end), rows[name], pa.scalar(None, rows[name].type)))
+                    cols.append(only_at(rows[name], end))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_sha256", "run_size", "run_max", "run_end", "edge", "pid", *carried])
         held.append(slim(batch.slice(bounds[-2], n - bounds[-2]), True))
         last_text = text[n - 1].as_py()

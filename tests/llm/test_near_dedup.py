@@ -94,3 +94,23 @@ def test_empty(spark, empty_dir):
 def test_keep_first(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (3, "other words", "z"), (4, None, "n")], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in nd.keep_first(docs).collect()) == [1, 3, 4]
+
+
+def test_family_with_heavy_edits(spark):
+    """Copies of one text from lightly to heavily changed: links among the outer ones don't run through the centre."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 150)]
+    docs = []
+    for k in range(160):
+        t = list(base)
+        for p in rng.integers(0, 150, int(rng.integers(0, 14))):
+            t[p] = f"x{k}-{p}"
+        docs.append((k, " ".join(t)))
+        if k % 4 == 0:  # and a near copy of the copy itself
+            u = list(t)
+            u[int(rng.integers(0, 150))] = "yy"
+            docs.append((1000 + k, " ".join(u)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs)
+    assert len(set(want.values())) > 5
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(frame).collect()} == want

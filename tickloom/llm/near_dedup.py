@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import column, documents, texts_of
@@ -168,16 +169,61 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def elements_of(texts: DataFrame) -> DataFrame:
+    """node and element: the shingles of each text, a repeated shingle as an element of its own each time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for node, text in zip(column(batch, "node").to_pylist(), column(batch, "text").to_pylist()):
+                h, n = shingle_bag(text, hashes)
+                again = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                element = mix(np.repeat(h, n) + again.astype(np.uint64) * G2)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(element), pa.int64()), pa.array(element.view(np.int64))], ["node", "element"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, element long")
+
+
+def prefix_pairs(open_nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of open nodes in different components that may be similar.
+
+    Elements are ordered by how many nodes hold them. Two bags that overlap
+    enough share one of their first few, rarest elements, and from the ranks of
+    the first shared one follows how much they can still share. Pairs that
+    can't reach the threshold by ranks or sizes never leave the join, and one
+    side of each pair is outside the main component of a bucket.
+    """
+    flat = elements_of(texts.join(open_nodes.select("node"), "node", "left_semi"))
+    held = flat.groupBy("element").agg(F.count(F.lit(1)).alias("held"))
+    rank = F.row_number().over(W.partitionBy("node").orderBy("held", "element"))
+    first = flat.join(held, "element").withColumn("rank", rank).join(open_nodes, "node")
+    first = materialise(first.filter((F.col("held") > 1) & (F.col("rank") <= F.col("weight") - F.ceil(F.col("weight") * threshold) + 1)), "prefixes")
+    facts = ("node", "component", "minor", "weight", "rank", "s0", "s1", "s2")
+    side = lambda d, p: d.select("element", *[F.col(c).alias(f"{p}_{c}") for c in facts])
+    left, right = side(first.filter("minor"), "l"), side(first, "r")
+    apart = sum((F.bit_count(F.col(f"l_{s}").bitwiseXOR(F.col(f"r_{s}"))) for s in ("s0", "s1", "s2")), F.lit(0))
+    rest = 1 + F.least(F.col("l_weight") - F.col("l_rank"), F.col("r_weight") - F.col("r_rank"))
+    near = (
+        (left["element"] == right["element"])
+        & (F.col("l_component") != F.col("r_component"))
+        & (~F.col("r_minor") | (F.col("l_node") < F.col("r_node")))
+        & (F.least("l_weight", "r_weight") >= threshold * F.greatest("l_weight", "r_weight"))
+        & (rest * (1 + threshold) >= threshold * (F.col("l_weight") + F.col("r_weight")))
+        & (apart <= SKETCH_BITS)
+    )
+    return left.join(right, near).select(F.col("r_node").alias("a"), F.col("l_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its near-duplicate class) of every row.
 
     Classes are the connected components of texts that overlap by ``threshold``
     or more. Texts with equal bags are one node from the start. In each bucket of
     a band all nodes are first compared with one of them, the one that shares
-    most buckets with others; a bucket whose members don't end in one component
-    then has every pair between different components compared, unless sizes or
-    sketches rule it out. So no link between components is lost to the order,
-    and a large class costs one comparison for each member and bucket.
+    most buckets with others. Where members of a bucket don't end in one
+    component, links between components are looked for by a prefix join, which
+    loses none. So the order of comparisons doesn't matter, and a large class
+    costs one comparison for each member and bucket.
     Empty texts are one class. Rows that share a doc_id count as one document.
     A null id takes the class of an equal text, or null.
     """
@@ -190,7 +236,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(buckets.join(shared, "bucket"), "buckets")
     degree = materialise(members.groupBy("node").agg(F.sum("n").alias("degree")), "candidates")
-    texts = materialise(rows.withColumnRenamed("doc_id", "node").join(degree.select("node"), "node"), "texts")
+    texts = materialise(rows.withColumnRenamed("doc_id", "node").join(degree.select("node"), "node").groupBy("node").agg(F.min("text").alias("text")), "texts")
     centres = members.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("a"))
     stars = materialise(members.join(centres, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "stars")
     links = materialise(verified(stars, texts, threshold), "links")
@@ -199,22 +245,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = materialise(members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "own")
     per = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
     mixed = per.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).filter("components > 1")
-    facts = nodes.select("node", "weight", "s0", "s1", "s2")
-    open_members = materialise(own.join(mixed.select("bucket", "main"), "bucket").join(facts, "node"), "open")
-    if not open_members.isEmpty():
-        side = lambda d, p: d.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "component", "main", "weight", "s0", "s1", "s2")])
-        left, right = side(open_members.filter("component <> main"), "l"), side(open_members, "r")
-        apart = sum((F.bit_count(F.col(f"l_{s}").bitwiseXOR(F.col(f"r_{s}"))) for s in ("s0", "s1", "s2")), F.lit(0))
-        near = (
-            (left["bucket"] == right["bucket"])
-            & (F.col("l_component") != F.col("r_component"))
-            & ((F.col("r_component") == F.col("r_main")) | (F.col("l_node") < F.col("r_node")))
-            & (F.least("l_weight", "r_weight") >= threshold * F.greatest("l_weight", "r_weight"))
-            & (apart <= SKETCH_BITS)
-        )
-        pairs = left.join(right, near).select(F.col("r_node").alias("a"), F.col("l_node").alias("b")).distinct()
+    minor = own.join(mixed.select("bucket", "main"), "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("main")).alias("minor"))
+    open_nodes = materialise(minor.join(nodes.select("node", "weight", "s0", "s1", "s2"), "node"), "open")
+    if not open_nodes.isEmpty():
         known = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = materialise(verified(pairs.join(known, ["a", "b"], "left_anti"), texts, threshold), "links")
+        pairs = prefix_pairs(open_nodes, texts, threshold).join(known, ["a", "b"], "left_anti")
+        more = materialise(verified(pairs, texts, threshold), "links")
         if not more.isEmpty():
             found = connected_components(links.union(more), "a", "b")
     classes = nodes.select("digest", "node").join(found, "node", "left").groupBy("digest").agg(F.min(F.coalesce("component", "node")).alias("class_id"))

@@ -9,7 +9,7 @@ where many do. In a group of short prefixes the suffixes are sorted and the
 longest common prefixes of neighbours are taken (the suffix tree in array form):
 an internal node at least a window deep is a repeat, and its leaves are the
 places. A prefix as long as the window is such a node already once two suffixes
-have it, so these are only counted.
+have it, so these are only counted, first in the task and then in their bucket.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ from tickloom.session import materialise
 WINDOW, GRAM = 35, 8
 #: Occurrences of an anchor beyond which its suffixes are split by the whole window.
 LONGER_PREFIX = 5_000
-#: Anchors whose suffixes make one group.
-GROUP = 10_000
+#: Anchors whose suffixes make one group, and windows compared within a task at a time.
+GROUP, TOGETHER = 10_000, 500_000
 
 
 class Codes(dict):
@@ -70,11 +71,6 @@ def codes_of(text: str, codes: Codes) -> np.ndarray:
     return np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
 
 
-def listed(values: list[np.ndarray], kind) -> pa.ListArray:
-    at = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(values).astype(kind) if values else np.empty(0, kind)))
-
-
 def anchor_rows(rows: DataFrame, window: int) -> DataFrame:
     """gram, text_key and at (place) of every anchor of every row."""
 
@@ -91,27 +87,87 @@ def anchor_rows(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("text_key", "text").mapInArrow(run, "gram long, text_key long, at int")
 
 
-def short_suffixes(shared: DataFrame, groups: int, window: int) -> DataFrame:
-    """bucket, text_key, first (window) and span (the words of all windows of one anchor, as 32-bit codes)."""
+SUFFIXES = "bucket long, text_key long, first int, last int, span binary, window_hash long"
+
+
+def suffixes(shared: DataFrame, groups: int, window: int) -> DataFrame:
+    """The suffixes of the anchors found at several places, dealt to buckets by their prefix (SUFFIXES).
+
+    An anchor that few suffixes share gives one row with its span: the words of
+    all its windows, as 32-bit codes, in the bucket of the anchor. Where many
+    share it, the prefix is the whole window: windows that meet their like in
+    this task are repeated (rows with first and last), and each distinct one gives
+    one row with its hash, in the bucket of that hash. So a window that any
+    number of texts hold comes to a bucket once from each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, key, first = (np.concatenate([x[i] for x in held]) for i in range(3))
+            o = np.argsort(h, kind="stable")
+            new = np.concatenate(([True], h[o][1:] != h[o][:-1]))
+            n = np.diff(np.append(np.flatnonzero(new), len(o)))
+            known = ranges(key[o][np.repeat(n > 1, n)], first[o][np.repeat(n > 1, n)])
+            k = known.num_rows
+            none = pa.nulls(k, pa.binary())
+            if k:
+                bucket = pa.array(known["text_key"].to_numpy() % groups)
+                yield pa.RecordBatch.from_arrays([bucket, *[known[c].combine_chunks() for c in ("text_key", "first", "last")], none, pa.nulls(k, pa.int64())], BUCKETED)
+            one = o[new]
+            m = len(one)
+            yield pa.RecordBatch.from_arrays([pa.array((h[one] % np.uint64(groups)).astype(np.int64)), pa.array(key[one]), pa.array(first[one].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(h[one].view(np.int64))], BUCKETED)
+
         for batch in batches:
-            bucket, row, first, span = [], [], [], []
+            bucket, row, start, span = [], [], [], []
+            keys = column(batch, "text_key").to_numpy()
             for r, (text, places, many) in enumerate(zip(column(batch, "text").to_pylist(), column(batch, "places").to_pylist(), column(batch, "many").to_pylist())):
                 c = codes_of(text, codes)
                 at, gram, lo, hi = anchors(c, window)
-                some = np.isin(at, np.array(places)[~np.array(many, bool)])
+                often = np.isin(at, np.array(places)[np.array(many, bool)])
+                some = np.isin(at, places) & ~often
                 short = (c ^ (c >> np.uint64(32))).astype(np.uint32)
                 for g, a, b in zip(gram[some], lo[some], hi[some]):
                     bucket.append(int(g % np.uint64(groups)))
                     row.append(r)
-                    first.append(a)
+                    start.append(a)
                     span.append(short[a : b + window].tobytes())
+                if often.any():
+                    first = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo[often], hi[often])])
+                    h = np.zeros(len(first), np.uint64)
+                    for j in range(window):
+                        h = mix(h * G1 + c[first + j])
+                    held.append((h, np.full(len(h), keys[r]), first))
+                    waiting += len(h)
             if row:
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), column(batch, "text_key").take(pa.array(row)), pa.array(np.array(first), pa.int32()), pa.array(span, pa.binary())], ["bucket", "text_key", "first", "span"])
+                n = len(row)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(keys[row]), pa.array(np.array(start), pa.int32()), pa.nulls(n, pa.int32()), pa.array(span, pa.binary()), pa.nulls(n, pa.int64())], BUCKETED)
+            if waiting > TOGETHER:
+                yield from flush()
+                held, waiting = [], 0
+        if held:
+            yield from flush()
+
+    return shared.mapInArrow(run, SUFFIXES)
+
+
+BUCKETED = [c.split()[0] for c in SUFFIXES.split(", ")]
 
-    return shared.mapInArrow(run, "bucket long, text_key long, first int, span binary")
+
+def judged(group: pa.Table, window: int) -> pa.Table:
+    """Repeated windows of one bucket: text_key, first and last of their runs."""
+    spans = group.filter(pc.is_valid(group["span"]))
+    hashed = group.filter(pc.is_valid(group["window_hash"]))
+    known = group.filter(pc.is_valid(group["last"])).select(["text_key", "first", "last"])
+    _, at, n = np.unique(hashed["window_hash"].to_numpy(), return_inverse=True, return_counts=True)
+    twice = n[at] > 1
+    found = [known, ranges(hashed["text_key"].to_numpy()[twice], hashed["first"].to_numpy()[twice])]
+    if spans.num_rows:
+        found.append(subtree(spans, window))
+    return pa.concat_tables(found)
 
 
 def subtree(group: pa.Table, window: int) -> pa.Table:
@@ -144,26 +200,6 @@ def ranges(key: np.ndarray, start: np.ndarray) -> pa.Table:
     return pa.table({"text_key": pa.array(key[first], pa.int64()), "first": pa.array(start[first], pa.int32()), "last": pa.array(start[last], pa.int32())})
 
 
-def long_prefixes(shared: DataFrame, window: int) -> DataFrame:
-    """window_hash, text_key and first of every window of the anchors that occur often."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
-        for batch in batches:
-            for key, text, places, many in zip(column(batch, "text_key").to_pylist(), column(batch, "text").to_pylist(), column(batch, "places").to_pylist(), column(batch, "many").to_pylist()):
-                c = codes_of(text, codes)
-                at, _, lo, hi = anchors(c, window)
-                some = np.isin(at, np.array(places)[np.array(many, bool)])
-                first = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo[some], hi[some])]) if some.any() else np.empty(0, np.int64)
-                h = np.zeros(len(first), np.uint64)
-                for j in range(window):
-                    h = mix(h * G1 + c[first + j])
-                if len(first):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([key] * len(first), pa.int64()), pa.array(first, pa.int32())], ["window_hash", "text_key", "first"])
-
-    return shared.mapInArrow(run, "window_hash long, text_key long, first int")
-
-
 def with_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text, copies (rows with an equal text) and runs (windows that occur elsewhere, as ranges of first words) of every row.
 
@@ -178,16 +214,13 @@ def with_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = anchor_rows(rows, window).join(grams, "gram").groupBy("text_key").agg(F.collect_set(F.struct("at", "often")).alias("p"))
     texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("copies"))
     marked = materialise(texts.join(found, "text_key", "left").select("text_key", "one", "copies", F.col("p.at").alias("places"), F.col("p.often").alias("many")), "anchors")
-    size = marked.agg(F.sum(F.size("places")).alias("n"), F.max(F.array_contains("many", True)).alias("often")).first()
-    groups = max(1, -(-(max(size.n or 0, 0)) // GROUP))
+    size = marked.agg(F.sum(F.size("places")).alias("n")).first()
+    groups = max(1, -(-max(size.n or 0, 0) // GROUP))
 
+    # both uses of ``joined`` read one shuffle of the texts
     joined = rows.join(marked, "text_key")
-    once = joined.filter((F.size("places") > 0) & F.col("doc_id").eqNullSafe(F.col("one"))).select("text_key", "text", "places", "many")
-    runs = short_suffixes(once, groups, window).groupBy("bucket").applyInArrow(lambda group: subtree(group, window), "text_key long, first int, last int")
-    if size.often:
-        wide = long_prefixes(once.filter(F.array_contains("many", True)), window)
-        deep = wide.groupBy("window_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window_hash")
-        runs = runs.union(wide.join(deep, "window_hash").select("text_key", "first", F.col("first").alias("last")))
+    once = joined.filter((F.size("places") > 0) & F.coalesce(F.col("doc_id") <= F.col("one"), F.col("one").isNull())).select("text_key", "text", "places", "many")
+    runs = suffixes(once, groups, window).groupBy("bucket").applyInArrow(lambda group: judged(group, window), "text_key long, first int, last int")
     by_text = runs.groupBy("text_key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     return joined.select("doc_id", "text", "text_key", "copies").join(by_text, "text_key", "left").select("doc_id", "text", "copies", "runs")
 

@@ -23,7 +23,7 @@ def queries():
 
 
 def oracle_sql():
-    found = {"op7_content_sort": exact_dedup.OP7_SQL}
+    found = {"op3_suffix_trees": repeats.OP3_SQL, "op7_content_sort": exact_dedup.OP7_SQL, "op8_blob_ledger": secrets.OP8_SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

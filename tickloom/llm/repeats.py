@@ -260,3 +260,14 @@ def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([n for n, _ in done], pa.int64()), pa.array([n - len(k) for n, k in done], pa.int64()), pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for _, k in done], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return with_repeats(documents(spark, sf_dir)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM rep, range(0, 35) r(k)),
+k AS (SELECT p.doc_id, count(g.i) AS n_removed, string_agg(p.word, ' ' ORDER BY p.i) FILTER (g.i IS NULL) AS kept FROM p LEFT JOIN gone g USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -153,3 +153,21 @@ def op8_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter(f, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     only = F.filter(f, lambda x: x["kind"].isin(*base))
     return scanned(documents(spark, sf_dir)).select("doc_id", *[count(k) for k in base], F.sha2(described(only).cast("binary"), 256).alias("base_sha256"), described(f).alias("spans"))
+
+
+def _sql() -> str:
+    """The same result from the rules alone: matches and the gaps between them add up to offsets."""
+    parts = []
+    for i, rule in enumerate(RULES):
+        p = rule.pattern.replace("'", "''")
+        parts.append(f"SELECT doc_id, '{rule.kind}' AS kind, {i} AS rank, {rule.least} AS least, string_split_regex(t, '{p}') AS p, regexp_extract_all(t, '{p}', 0) AS h, regexp_extract_all(t, '{p}', {rule.group}) AS g FROM x WHERE regexp_matches(t, '{p}')")
+    base = [r.kind for r in BASE_RULES]
+    line = "kind || ':' || a || ':' || (a + n)"
+    return f"""
+    WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}), o AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m),
+    s AS (SELECT doc_id, kind, rank, (list_sum(list_transform(p[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda v: length(v))), 0))::BIGINT AS a, length(h[i]) AS n FROM o WHERE length(g[i]) >= least)
+    SELECT x.doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base)}, sha256(coalesce(string_agg({line}, ',' ORDER BY a, rank) FILTER (rank < {len(base)}), '')) AS base_sha256,
+    coalesce(string_agg({line}, ',' ORDER BY a, rank), '') AS spans FROM x LEFT JOIN s USING (doc_id) GROUP BY x.doc_id"""
+
+
+OP8_SQL = _sql()

@@ -60,3 +60,15 @@ def test_trained_places(monkeypatch):
         assert {(int(t), tuple(a)) for t, a in zip(target, around.tolist())} <= every
         seen += len(target)
     assert 0.3 < seen / (20 * 43) < 0.7
+
+
+def test_rounds_train_on_every_place():
+    classes = lm.Classes([f"w{i}" for i in range(900)])
+    texts = ["w7", "", *(" ".join(f"w{(i * 7 + n) % 900}" for i in range(n)) for n in (5, 31, 32, 33, 200, 511, 2000))]
+    full = [lm.places_of([np.array([classes[w] for w in t.split()], np.int32)]) for t in texts]
+    every = sorted((int(t), tuple(a)) for target, around, _ in full for t, a in zip(target, around.tolist()))
+    seen = []
+    for number in range(lm.ROUNDS):
+        target, around = lm.trained_places(texts, classes, number)
+        seen += [(int(t), tuple(a)) for t, a in zip(target, around.tolist())]
+    assert sorted(seen) == every

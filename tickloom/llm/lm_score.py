@@ -6,7 +6,8 @@ words on both sides, is its pseudo-log-likelihood. The vocabulary is the most
 frequent words of the whole corpus and hashed classes for the rest. The softmax
 has two levels (a group of words, then the word in its group). Training runs
 where the data is: in each round every partition takes steps from the shared weights on
-a fixed share of its own places, and the weights are averaged by a shuffle.
+its share of its own places, and the weights are averaged by a shuffle. The
+rounds together train on every place.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ GROUPS, IN_GROUP, RARE = 32, 32, 64
 CLASSES = GROUPS * IN_GROUP
 #: Words read on each side, length of a word's vector, hidden units.
 SIDE, DIM, HIDDEN = 2, 12, 24
-#: One place in so many is trained on, in runs of so many places; rounds, places in a step, and the first rate.
-STRIDE, SPAN, ROUNDS, STEP, RATE = 16, 32, 2, 256, 0.01
+#: Rounds that share out all places, in runs of so many places; rounds (STRIDE at least), places in a step, and the first rate.
+STRIDE, SPAN, ROUNDS, STEP, RATE = 2, 32, 2, 2048, 0.01
 #: Words counted in a task before their counts are passed on, and places scored at a time.
 FLUSH, CHUNK = 200_000, 32_768
+#: Texts whose places are laid out at a time.
+TEXTS = 200
 #: Weights in one block of the shuffle that averages them.
 BLOCK = 1024
 EDGE = CLASSES  # stands beyond both ends of a text
@@ -115,9 +118,9 @@ def places_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def trained_places(texts: list[str], classes: Classes, number: int) -> tuple[np.ndarray, np.ndarray]:
     """Targets and what is read around them at the places that round ``number`` trains on.
 
-    From a start that the text and the round decide, runs of SPAN places follow
-    each other STRIDE * SPAN places apart, so every place has the same chance;
-    only the words of these runs and beside them are looked up.
+    Runs of SPAN places are dealt in turn to STRIDE rounds, from a start that the
+    text decides, so STRIDE rounds in a row train on every place of every text once;
+    only the words of a round's runs and beside them are looked up.
     """
     line, at, end = [], [], [EDGE] * SIDE
     for text in texts:
@@ -125,7 +128,7 @@ def trained_places(texts: list[str], classes: Classes, number: int) -> tuple[np.
         n = len(words)
         if not n:
             continue
-        start = zlib.crc32(f"{number}/{n}/{words[0]}/{words[-1]}".encode("utf-8", "replace")) % (STRIDE * SPAN)
+        start = (zlib.crc32(f"{n}/{words[0]}/{words[-1]}".encode("utf-8", "replace")) + number) % STRIDE * SPAN
         for s in range(start, n, STRIDE * SPAN):
             low, high, stop = max(0, s - SIDE), min(n, s + SPAN + SIDE), min(n, s + SPAN)
             line += end[: SIDE - (s - low)]
@@ -167,18 +170,26 @@ def step(weights: list[np.ndarray], squares: list[np.ndarray], target: np.ndarra
     x = emb[around].reshape(n, -1)
     h = np.tanh(x @ w1 + b1)
     group, inside = np.divmod(target, IN_GROUP)
+    grads = [np.zeros_like(w) for w in weights]
     pg = np.exp(log_softmax(h @ wg + bg))
     pg[np.arange(n), group] -= 1
-    pi = np.exp(log_softmax(np.einsum("nh,nhk->nk", h, wi[group]) + bi[group]))
-    pi[np.arange(n), inside] -= 1
-    pg, pi = pg / n, pi / n
-    dh = (pg @ wg.T + np.einsum("nk,nhk->nh", pi, wi[group])) * (1 - h * h)
+    pg /= n
+    dh = pg @ wg.T
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(len(bg) + 1))
+    for g in np.flatnonzero(np.diff(cuts)):
+        rows = order[cuts[g] : cuts[g + 1]]
+        some = h[rows]
+        pi = np.exp(log_softmax(some @ wi[g] + bi[g]))
+        pi[np.arange(len(rows)), inside[rows]] -= 1
+        pi /= n
+        dh[rows] += pi @ wi[g].T
+        grads[5][g], grads[6][g] = some.T @ pi, pi.sum(0)
+    dh *= 1 - h * h
     dx = dh @ w1.T
-    grads = [np.zeros_like(w) for w in weights]
-    np.add.at(grads[0], around.ravel(), dx.reshape(-1, DIM))
+    cell = (around.reshape(-1, 1) * np.int64(DIM) + np.arange(DIM)).ravel()
+    grads[0] += np.bincount(cell, dx.ravel(), emb.size).reshape(emb.shape)
     grads[1], grads[2], grads[3], grads[4] = x.T @ dh, dh.sum(0), h.T @ pg, pg.sum(0)
-    np.add.at(grads[5], group, h[:, :, None] * pi[:, None, :])
-    np.add.at(grads[6], group, pi)
     for w, s, g in zip(weights, squares, grads):
         s *= 0.98
         s += 0.02 * g * g
@@ -198,16 +209,17 @@ def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray, number:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = shared.value
         classes, mine = Classes(words), start.copy()
-        weights, squares = unpack(mine), [np.zeros(s) for s in SHAPES]
+        weights, squares = unpack(mine), [np.zeros(s, np.float32) for s in SHAPES]
         seen, kept_t, kept_a, waiting = 0, [], [], 0
         for batch in batches:
-            target, around = trained_places(column(batch, "text").to_pylist(), classes, number)
-            kept_t.append(target)
-            kept_a.append(around)
-            waiting += len(target)
-            if waiting >= 64 * STEP:
-                seen += work(weights, squares, kept_t, kept_a, seen)
-                kept_t, kept_a, waiting = [], [], 0
+            for at in range(0, batch.num_rows, TEXTS):
+                target, around = trained_places(column(batch, "text").slice(at, TEXTS).to_pylist(), classes, number)
+                kept_t.append(target)
+                kept_a.append(around)
+                waiting += len(target)
+                if waiting >= 64 * STEP:
+                    seen += work(weights, squares, kept_t, kept_a, seen)
+                    kept_t, kept_a, waiting = [], [], 0
         if waiting:
             seen += work(weights, squares, kept_t, kept_a, seen)
         if seen:
@@ -238,7 +250,7 @@ def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray, number:
 
 
 def fit_masked(docs: DataFrame, rounds: int = ROUNDS) -> MaskedModel:
-    """Vocabulary from all words of ``docs``, weights from one place in ``STRIDE`` of every partition in each round."""
+    """Vocabulary from all words of ``docs``, weights from every place of every partition, one in ``STRIDE`` in each round."""
     texts = texts_of(docs)
     top = word_counts(texts).orderBy(F.desc("n"), "word").limit(CLASSES - RARE).collect()
     frequent, flat = [r.word for r in top], first_weights()

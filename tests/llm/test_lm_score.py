@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from tickloom.llm import lm_score as lm
@@ -72,3 +74,36 @@ def test_rounds_train_on_every_place():
         target, around = lm.trained_places(texts, classes, number)
         seen += [(int(t), tuple(a)) for t, a in zip(target, around.tolist())]
     assert sorted(seen) == every
+
+
+def test_every_word_has_its_own_probability(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm, "SHIPPED", 50)  # most shares come by the join
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 200) % 5000) for _ in range(60)] + ["", texts_twice := "w1 w1 rare é"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts_twice)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = lm.documents(spark, str(tmp_path))
+    counts = Counter(w for r in docs.collect() for w in r.text.lower().split())
+    model = lm.fit_masked(docs)
+    classes = lm.Classes(model.frequent)
+    totals = Counter()
+    for w, n in counts.items():
+        totals[classes[w]] += n
+    plain = {r.doc_id: r.pll for r in lm.score_masked(docs, model).collect()}
+    rows = lm.score_words(docs, model, lm.word_counts(docs)).collect()
+    assert len(rows) == len(texts) + 1 and len(counts) > len(model.frequent)
+    for r in rows:
+        own = sum(np.log(counts[w] / totals[classes[w]]) for w in texts[-1 if r.doc_id is None else r.doc_id].split())
+        assert abs(r.pll - plain[r.doc_id] - own) < 1e-6 * max(1, abs(own))
+    assert sum(r.pll for r in rows) < sum(plain.values()) - 1000
+    # over all words, the probabilities at a place sum to 1, apart from classes that no word has
+    words, around = list(counts), np.array([[1, 2, 3, lm.EDGE]])
+    p = np.exp(lm.log_probabilities(lm.unpack(model.weights), np.array([classes[w] for w in words]), np.repeat(around, len(words), 0)))
+    taken = np.exp(lm.log_probabilities(lm.unpack(model.weights), np.array(sorted(totals)), np.repeat(around, len(totals), 0))).sum()
+    assert abs((p * [counts[w] / totals[classes[w]] for w in words]).sum() - taken) < 1e-3
+
+
+def test_vocabulary_grows():
+    assert lm.groups_for(0) == lm.GROUPS and lm.groups_for(10**10) > 4 * lm.groups_for(10**8) > 4 * lm.GROUPS
+    classes = lm.Classes([f"w{i}" for i in range(5000)])
+    assert classes["w4999"] == 4999 and 5000 <= classes["other"] < lm.groups_of(5000) * lm.IN_GROUP
+    assert len(lm.unpack(lm.first_weights(groups=lm.groups_of(5000)))[0]) == lm.groups_of(5000) * lm.IN_GROUP + 1

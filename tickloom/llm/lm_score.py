@@ -3,7 +3,9 @@
 A small network reads two words on either side of a place and predicts the word
 there; the sum of the log-probabilities of a document's words, each given the
 words on both sides, is its pseudo-log-likelihood. The vocabulary is the most
-frequent words of the whole corpus and hashed classes for the rest. The softmax
+frequent words of the whole corpus, more of them for a larger one, and hashed
+classes for the rest; a word of such a class has the class's probability times its
+share of the class's count. The softmax
 has two levels (a group of words, then the word in its group). Training runs
 where the data is: in each round every partition takes steps from the shared weights on
 its share of its own places, and the weights are averaged by a shuffle. The
@@ -24,9 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import column, documents, texts_of
+from tickloom.session import materialise
 
-#: Groups of the two-level softmax and words in a group; classes for words outside the vocabulary.
+#: Least groups of the two-level softmax and words in a group; classes for words outside the vocabulary.
 GROUPS, IN_GROUP, RARE = 32, 32, 64
+#: Groups are the root of the number of words in the corpus over this, where that is more.
+GROWTH = 128
+#: Words outside the vocabulary whose shares of their classes are broadcast; the shares of all others come by a join.
+SHIPPED = 100_000
 CLASSES = GROUPS * IN_GROUP
 #: Words read on each side, length of a word's vector, hidden units.
 SIDE, DIM, HIDDEN = 2, 12, 24
@@ -38,7 +45,7 @@ FLUSH, CHUNK = 200_000, 32_768
 TEXTS = 200
 #: Weights in one block of the shuffle that averages them.
 BLOCK = 1024
-EDGE = CLASSES  # stands beyond both ends of a text
+EDGE = -1  # stands beyond both ends of a text: the last row of the word vectors
 
 
 def tokens_of(text: str) -> list[str]:
@@ -72,6 +79,7 @@ class Classes(dict):
     def __init__(self, frequent: list[str]):
         super().__init__({w: i for i, w in enumerate(frequent)})
         self.frequent = frequent
+        self.rare = IN_GROUP * groups_of(len(frequent)) - RARE  # the first hashed class
 
     def __missing__(self, word: str) -> int:
         if len(self) > 400_000:
@@ -79,28 +87,45 @@ class Classes(dict):
             self.update({w: i for i, w in enumerate(self.frequent)})
             if word in self:
                 return self[word]
-        self[word] = c = CLASSES - RARE + zlib.crc32(word.encode("utf-8", "replace")) % RARE
+        self[word] = c = self.rare + zlib.crc32(word.encode("utf-8", "replace")) % RARE
         return c
 
 
-SHAPES = [(CLASSES + 1, DIM), (2 * SIDE * DIM, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, IN_GROUP), (GROUPS, IN_GROUP)]
-SIZE = sum(math.prod(s) for s in SHAPES)
+def groups_for(tokens: int) -> int:
+    """Groups of the softmax for a corpus of so many words."""
+    return max(GROUPS, math.isqrt(tokens) // GROWTH)
+
+
+def groups_of(frequent: int) -> int:
+    """Groups that hold so many words and the hashed classes."""
+    return max(GROUPS, -(-(frequent + RARE) // IN_GROUP))
+
+
+def shapes(groups: int = GROUPS) -> list[tuple[int, ...]]:
+    return [(groups * IN_GROUP + 1, DIM), (2 * SIDE * DIM, HIDDEN), (HIDDEN,), (HIDDEN, groups), (groups,), (groups, HIDDEN, IN_GROUP), (groups, IN_GROUP)]
+
+
+def size_of(groups: int) -> int:
+    return sum(math.prod(x) for x in shapes(groups))
+
+
+SHAPES = shapes()
 
 
 def unpack(flat: np.ndarray) -> list[np.ndarray]:
     out, at = [], 0
-    for s in SHAPES:
+    for s in shapes((len(flat) - size_of(0)) // (size_of(1) - size_of(0))):
         out.append(flat[at : at + math.prod(s)].reshape(s))
         at += math.prod(s)
     return out
 
 
-def first_weights(seed: int = 4) -> np.ndarray:
+def first_weights(seed: int = 4, groups: int = GROUPS) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    flat = np.zeros(SIZE, np.float32)
-    for w in unpack(flat):
+    flat = np.zeros(size_of(groups), np.float32)
+    for k, w in enumerate(unpack(flat)):
         if w.ndim > 1:
-            w[...] = rng.standard_normal(w.shape) / np.sqrt(w.shape[-2] if w.ndim == 3 or w.shape[0] != CLASSES + 1 else DIM)
+            w[...] = rng.standard_normal(w.shape) / np.sqrt(w.shape[-2] if k else DIM)
     return flat
 
 
@@ -154,8 +179,8 @@ def log_probabilities(weights: list[np.ndarray], target: np.ndarray, around: np.
         group, inside = np.divmod(t, IN_GROUP)
         lp = log_softmax(h @ wg + bg)[np.arange(len(t)), group]
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
+        cuts = np.searchsorted(group[order], np.arange(len(bg) + 1))
+        for g in range(len(bg)):
             rows = order[cuts[g] : cuts[g + 1]]
             if len(rows):
                 lp[rows] += log_softmax(h[rows] @ wi[g] + bi[g])[np.arange(len(rows)), inside[rows]]
@@ -187,7 +212,7 @@ def step(weights: list[np.ndarray], squares: list[np.ndarray], target: np.ndarra
         grads[5][g], grads[6][g] = some.T @ pi, pi.sum(0)
     dh *= 1 - h * h
     dx = dh @ w1.T
-    cell = (around.reshape(-1, 1) * np.int64(DIM) + np.arange(DIM)).ravel()
+    cell = (around.reshape(-1, 1) % len(emb) * np.int64(DIM) + np.arange(DIM)).ravel()
     grads[0] += np.bincount(cell, dx.ravel(), emb.size).reshape(emb.shape)
     grads[1], grads[2], grads[3], grads[4] = x.T @ dh, dh.sum(0), h.T @ pg, pg.sum(0)
     for w, s, g in zip(weights, squares, grads):
@@ -209,7 +234,7 @@ def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray, number:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = shared.value
         classes, mine = Classes(words), start.copy()
-        weights, squares = unpack(mine), [np.zeros(s, np.float32) for s in SHAPES]
+        weights, squares = unpack(mine), [np.zeros_like(w) for w in unpack(start)]
         seen, kept_t, kept_a, waiting = 0, [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
@@ -223,8 +248,8 @@ def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray, number:
         if waiting:
             seen += work(weights, squares, kept_t, kept_a, seen)
         if seen:
-            padded = np.zeros(-(-SIZE // BLOCK) * BLOCK, np.float32)
-            padded[:SIZE] = mine * np.float32(seen)
+            padded = np.zeros(-(-len(mine) // BLOCK) * BLOCK, np.float32)
+            padded[: len(mine)] = mine * np.float32(seen)
             at = pa.array(np.arange(0, len(padded) + 1, BLOCK, dtype=np.int32))
             n = len(padded) // BLOCK
             yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([seen] * n, pa.int64()), pa.ListArray.from_arrays(at, pa.array(padded))], ["block", "n", "w"])
@@ -240,43 +265,88 @@ def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray, number:
     parts = docs.select("text").mapInArrow(run, "block int, n long, w array<float>")
     # sums by element where the data is; one row for each block comes to the driver
     cells = parts.select("block", "n", F.posexplode("w").alias("k", "w")).groupBy("block", "k").agg(F.sum(F.col("w").cast("double")).alias("w"), F.sum("n").alias("n"))
-    rows = cells.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("w") / F.col("n")).alias("w")))).alias("w")).collect()
+    rows = cells.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("w") / F.col("n")).alias("w")))).alias("w")).select("block", "w.w").collect()
     if not rows:
         return flat
-    out = np.zeros(-(-SIZE // BLOCK) * BLOCK, np.float32)
+    out = np.zeros(-(-len(flat) // BLOCK) * BLOCK, np.float32)
     for r in rows:
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = [x.w for x in r.w]
-    return out[:SIZE]
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = r.w
+    return out[: len(flat)]
 
 
-def fit_masked(docs: DataFrame, rounds: int = ROUNDS) -> MaskedModel:
-    """Vocabulary from all words of ``docs``, weights from every place of every partition, one in ``STRIDE`` in each round."""
+def fit_masked(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> MaskedModel:
+    """Vocabulary from all words of ``docs`` (or their ``counts``), weights from every place of every partition, one in ``STRIDE`` in each round."""
     texts = texts_of(docs)
-    top = word_counts(texts).orderBy(F.desc("n"), "word").limit(CLASSES - RARE).collect()
-    frequent, flat = [r.word for r in top], first_weights()
+    counts = counts or materialise(word_counts(texts), "counts")
+    groups = groups_for(counts.agg(F.sum("n").alias("n")).first().n or 0)
+    top = counts.orderBy(F.desc("n"), "word").limit(groups * IN_GROUP - RARE).collect()
+    frequent, flat = [r.word for r in top], first_weights(groups=groups_of(len(top)))
     for number in range(rounds):
         flat = train_round(texts, frequent, flat, number)
     return MaskedModel(frequent, flat)
 
 
-def score_masked(docs: DataFrame, model: MaskedModel) -> DataFrame:
-    """doc_id, n_tokens, pll (the summed log-probabilities) and mean_pll of every row; no words give 0, 0.0 and null."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def class_scores(docs: DataFrame, model: MaskedModel, own: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, n_tokens, pll of the words' classes, and with ``own`` (logs of words' shares of their classes) those added, and the rest: the words outside the vocabulary that ``own`` lacks."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, weights = Classes(shared.value.frequent), unpack(shared.value.weights)
+        m, known = shared.value
+        classes, weights = Classes(m.frequent), unpack(m.weights)
         for batch in batches:
-            ids = [np.fromiter(map(classes.__getitem__, t), np.int32, len(t)) for t in map(tokens_of, column(batch, "text").to_pylist())]
+            tokens = [tokens_of(t) for t in column(batch, "text").to_pylist()]
+            ids = [np.fromiter(map(classes.__getitem__, t), np.int32, len(t)) for t in tokens]
             target, around, owner = places_of(ids)
             total = np.bincount(owner, log_probabilities(weights, target, around), len(ids)) if len(target) else np.zeros(len(ids))
+            rest: list[list[str]] = [[] for _ in ids]
+            if known is not None:
+                for k, (t, i) in enumerate(zip(tokens, ids)):
+                    for j in np.flatnonzero(i >= classes.rare).tolist():
+                        share = known.get(t[j])
+                        if share is None:
+                            rest[k].append(t[j])
+                        else:
+                            total[k] += share
             n = np.array([len(i) for i in ids], np.int64)
-            mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n), pa.array(total, pa.float64()), pa.array(mean, mask=n == 0)], ["doc_id", "n_tokens", "pll", "mean_pll"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n), pa.array(total, pa.float64()), pa.array(rest, pa.list_(pa.string()))], ["doc_id", "n_tokens", "pll", "rest"])
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, pll double, rest array<string>")
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, pll double, mean_pll double")
+
+def with_mean(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_pll"))
+
+
+def score_masked(docs: DataFrame, model: MaskedModel) -> DataFrame:
+    """doc_id, n_tokens, pll (the summed log-probabilities of the words' classes) and mean_pll of every row; no words give 0, 0.0 and null."""
+    return with_mean(class_scores(docs, model))
+
+
+def class_shares(counts: DataFrame, frequent: list[str]) -> DataFrame:
+    """word, n and share (log of the word's share of its class's count) of every word outside the vocabulary."""
+    hashed = F.crc32(F.col("word").cast("binary")) % RARE
+    # the vocabulary is a broadcast of the driver's already
+    outside = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in frequent], "word string")), "word", "left_anti").withColumn("class", hashed)
+    totals = outside.groupBy("class").agg(F.sum("n").alias("total"))
+    return outside.join(F.broadcast(totals), "class").select("word", "n", F.log(F.col("n") / F.col("total")).alias("share"))
+
+
+def score_words(docs: DataFrame, model: MaskedModel, counts: DataFrame) -> DataFrame:
+    """As ``score_masked``, but of the words themselves: a word outside the vocabulary also pays for the choice of it within its class.
+
+    ``counts`` are those of ``docs``. The shares of the most frequent such words are
+    broadcast, at most ``SHIPPED``; all others meet their shares in a join.
+    """
+    shares = materialise(class_shares(counts, model.frequent), "shares")
+    own = {r.word: r.share for r in shares.orderBy(F.desc("n"), "word").limit(SHIPPED).collect()}
+    rows = materialise(class_scores(docs, model, own).withColumn("row", F.monotonically_increasing_id()), "scored")
+    words = rows.select("row", F.explode("rest").alias("word"))
+    added = words.join(shares.select("word", "share"), "word").groupBy("row").agg(F.sum("share").alias("added"))
+    return with_mean(rows.drop("rest").join(added, "row", "left").withColumn("pll", F.col("pll") + F.coalesce("added", F.lit(0.0))))
 
 
 def op4_masked_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pseudo-log-likelihood of every document under a model of all documents."""
     docs = documents(spark, sf_dir)
-    return score_masked(docs, fit_masked(docs))
+    counts = materialise(word_counts(docs), "counts")
+    return score_words(docs, fit_masked(docs, counts=counts), counts)

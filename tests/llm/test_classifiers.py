@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from tickloom.llm import quality, toxicity
 
@@ -67,3 +68,26 @@ def test_context_sums_in_levels(spark, monkeypatch):
     want = quality.context_sums(docs)
     monkeypatch.setattr(quality, "FAN", 2)
     assert np.allclose(want, quality.context_sums(docs))
+
+
+@pytest.fixture(scope="module")
+def reading(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    return toxicity.Restored(toxicity.CharModel(toxicity.trigram_counts(docs)))
+
+
+@pytest.mark.parametrize("hidden, word", [("iiddiioott", "idiot"), ("stuupid", "stupid"), ("i" + "d" * 60 + "iot", "idiot"), ("you_are_all_so_very_wrong_and_such_an_1d10t_too", "idiot")])
+def test_doubled_letters_and_long_tokens(reading, hidden, word):
+    assert word in reading[hidden], reading[hidden]
+
+
+@pytest.mark.parametrize("text, word", [("an i d i o t.", "idiot"), ("i d i o t, he", "idiot"), ("(i d i o t)", "idiot"), ("i  d  i  o  t", "idiot"), ("i d\ni o t", "idiot"), ("a m o r o n", "moron"), ("y o u   i d i o t", "idiot"), ('"i - d - i - o - t!"', "idiot")])
+def test_spaced_out_words(reading, text, word):
+    assert word in toxicity.words_of(text, reading), toxicity.words_of(text, reading)
+
+
+def test_long_spaced_runs_are_read_whole(reading):
+    text = "t h e  " * 14 + "i d i o t"  # a cut after 40 letters would fall within a word
+    assert "".join(text.split()) in toxicity.words_of(text, reading) and "idiot" in toxicity.words_of(text, reading)
+    assert toxicity.words_of("x.y.z.com is a-b test", reading)[0] == "x.y.z.com"
+    assert len(reading["ab1" * 100_000]) > 0

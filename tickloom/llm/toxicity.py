@@ -32,12 +32,16 @@ LEET = {
 }
 #: Log costs of the channel: a letter written as a sign, a digit or other such sign put in between, any other separator put in, a letter repeated once more, and a mark that is only itself.
 SIGN, DIGIT, STRAY, SEPARATOR, REPEAT, PLAIN = -1.5, -14.0, -4.0, -1.0, -1.0, -6.0
-#: Longer tokens (keys, addresses) are taken as they are.
-LONGEST = 40
+#: The readings of longer tokens are not kept for the next time they come.
+LONGEST = 200
 #: Most words in the lexicon, and the evidence that a word needs.
 LEXICON, LEAST_Z, LEAST_DOCS = 2000, 4.0, 3
 LETTERS = 27
-SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ ._*\-](?:[^\W_]|[@$!|+])){2,}(?!\S)")
+# Letters or signs one by one, with runs of separators between them; punctuation may stand around them.
+ONE = r"(?:[^\W_]|[@$!|+])(?![^\W_])"
+SPACED = re.compile(rf"(?<![^\s(\[{{<\"'*_]){ONE}(?:[\s._*\-]+{ONE}){{2,}}+(?=[)\]}}>\"'*_.,;:!?]*(?:\s|\Z))")
+GAP = re.compile(r"[\s._*\-]+")
+TWICE, THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 CLEAN = re.compile(r"[a-z]+\Z")
 
 
@@ -90,24 +94,29 @@ class CharModel:
 
     def restore(self, token: str) -> str:
         """The most probable word behind a folded token, by Viterbi over (two letters before) states."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # score and the path: its last letter and the path before
         for k, c in enumerate(token):
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
+            nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
             letter = "a" <= c <= "z"
             options = [(c, 0.0)] if letter else [(x, SIGN) for x in LEET.get(c, "")]
             drop = (SEPARATOR if c not in LEET else DIGIT if c.isdigit() else STRAY) if not letter else REPEAT if k and token[k - 1] == c else None
-            for (a, b), (score, word) in states.items():
+            for (a, b), (score, path) in states.items():
                 for x, cost in options:
                     code = ord(x) - 96
                     s = score + cost + self.logp[a][b][code]
                     if (key := (b, code)) not in nxt or nxt[key][0] < s:
-                        nxt[key] = (s, word + x)
+                        nxt[key] = (s, (x, path))
                 if drop is not None or not options:
                     s = score + (PLAIN if drop is None else drop)
                     if (a, b) not in nxt or nxt[a, b][0] < s:
-                        nxt[a, b] = (s, word)
+                        nxt[a, b] = (s, path)
             states = nxt
-        return max((s + self.logp[a][b][0], word) for (a, b), (s, word) in states.items())[1]
+        path = max(((s + self.logp[a][b][0], path) for (a, b), (s, path) in states.items()), key=lambda x: x[0])[1]
+        letters = []
+        while path:
+            letters.append(path[0])
+            path = path[1]
+        return "".join(reversed(letters))
 
 
 class Restored(dict):
@@ -120,22 +129,28 @@ class Restored(dict):
     def __missing__(self, token: str) -> tuple[str, ...]:
         if len(self) > 300_000:
             self.clear()
-        self[token] = words = self.read(token)
+        words = self.read(token)
+        if len(token) <= LONGEST:
+            self[token] = words
         return words
 
     def read(self, token: str) -> tuple[str, ...]:
         plain = fold(token)
         core = plain.strip(".,;:?\"'()[]{}|*&%#~`<>=_-/\\")
         core = re.sub(r"[^\w]{2,}\Z|\A[^\w]{2,}|!+\Z", "", core)
-        if not core or len(core) > LONGEST:
-            return (core,) if core else ()
-        if CLEAN.match(core) and not re.search(r"(.)\1\1", core):
+        if not core:
+            return ()
+        if CLEAN.match(core) and not TWICE.search(core):
             return (core,)
         if not any("a" <= c <= "z" or c in LEET for c in core) or core.isdigit():
             return (core,)
         word = self.model.restore(core)
+        if CLEAN.match(core) and not THRICE.search(core):
+            return tuple(dict.fromkeys((core, word)))  # doubled letters are common: what the lattice reads, not each letter once
         single = re.sub(r"(.)\1+", r"\1", word)
-        return tuple(dict.fromkeys(w for w in (core, word, single) if w))
+        parts = [p for p in core.split("_") if len(p) > 1]  # a phrase joined by underscores
+        inside = [w for p in parts for w in self.read(p)] if len(parts) > 1 else []
+        return tuple(dict.fromkeys(w for w in (core, word, single, *inside) if w))
 
 
 def words_of(text: str, restored: Restored) -> list[str]:
@@ -144,10 +159,16 @@ def words_of(text: str, restored: Restored) -> list[str]:
     for w in map(restored.__getitem__, text.split()):
         words += w
     for m in SPACED.finditer(text):
-        joined = re.sub(r"[ ._*\-]", "", m[0])
+        joined = GAP.sub("", m[0])
         if len(set(joined)) > 1:
-            for at in range(0, len(joined), LONGEST):
-                words += restored[joined[at : at + LONGEST]]
+            words += restored[joined]
+            if joined[0] in "aAiI" and len(joined) > 3:  # a word of one letter may lead
+                words += restored[joined[1:]]
+            parts = re.split(r"\s{2,}", m[0])  # wider gaps may part words
+            if len(parts) > 1:
+                for p in (GAP.sub("", p) for p in parts):
+                    if len(p) > 2:
+                        words += restored[p]
     return words
 
 

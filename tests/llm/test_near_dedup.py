@@ -114,3 +114,11 @@ def test_family_with_heavy_edits(spark):
     want = brute(docs)
     assert len(set(want.values())) > 5
     assert {r.doc_id: r.class_id for r in nd.near_duplicates(frame).collect()} == want
+
+
+def test_prefix_join_keeps_pairs_at_the_threshold(spark):
+    """28 of 35 shingles shared, one text being the other cut short: similarity exactly 0.8."""
+    words = [f"w{i}" for i in range(39)]
+    texts = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:32]))], "node long, text string")
+    nodes = spark.createDataFrame([(1, 1, False, 35, 0, 0, 0), (2, 2, True, 28, 0, 0, 0)], "node long, component long, minor boolean, weight long, s0 long, s1 long, s2 long")
+    assert [tuple(r) for r in nd.prefix_pairs(nodes, texts, 0.8).collect()] == [(1, 2)]

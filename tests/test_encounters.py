@@ -9,22 +9,31 @@ from tickloom.operators import encounters as enc
 SCHEMA = "match string, player string, tick long, yaw double, pitch double, x double, y double, z double, vx double, vy double, vz double, alive boolean, warmup boolean, team double, round double, scoped double, duck double, airborne double, health double, armor double, recoil double, punch0 double, punch1 double, shots double, ammo double, weapon string, ord long"
 
 
-def tick_rows(change=None, ticks=range(1, 301)):
+FIRST, HIT = 500, 800
+#: First tick of the window before HIT.
+T0 = HIT - 256
+
+
+def tick_rows(change=None, ticks=range(FIRST, 900)):
+    """A shooter that turns by 1.5 degrees a tick and walks towards a crouching target 500 units away."""
+    still = dict(match="m", pitch=2.0, z=8.0, vz=0.0, alive=True, warmup=False, round=3.0, scoped=0.0, airborne=0.0, health=90.0, armor=50.0, recoil=0.0, punch0=0.0, punch1=0.0, shots=0.0, ammo=12.0)
+    shooter = dict(player="s", x=0.0, y=0.0, vx=30.0, vy=40.0, duck=0.0, team=2.0, weapon="Galil AR")
+    target = dict(player="t", yaw=-90.0, x=300.0, y=400.0, vx=0.0, vy=0.0, duck=1.0, team=3.0, weapon="Nova")
     rows = []
-    for who in "AB":
-        for i, t in enumerate(ticks):
-            r = dict(match="m", player=who, tick=t, yaw=(179.0 if t <= 128 else -179.0) if who == "A" else 0.0, pitch=0.0, x=-100.0 if who == "B" else 0.0, y=0.0, z=100.0 if who == "B" else 0.0, vx=0.0, vy=0.0, vz=0.0, alive=True, warmup=False, team=2.0 if who == "A" else 3.0, round=0.0, scoped=0.0, duck=0.0, airborne=0.0, health=100.0, armor=100.0, recoil=0.0, punch0=0.0, punch1=0.0, shots=0.0, ammo=30.0, weapon="AK-47", ord=i)
-            rows += [x for x in (change(r) if change else [r])]
+    for i, tick in enumerate(ticks):
+        for who in (shooter | {"yaw": (tick * 1.5 + 180) % 360 - 180}, target):
+            row = still | who | {"tick": tick, "ord": i}
+            rows += change(row) if change else [row]
     return rows
 
 
-def build(spark, rows, hurts=((257, "A", "B", "ak47"),), strict=False, attackers=None):
+def build(spark, rows, hurts=((HIT, "s", "t", "galilar"),), strict=False, attackers=None):
     cols = [c.split()[0] for c in SCHEMA.split(", ")]
     ticks = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], SCHEMA)
     h = spark.createDataFrame([("m", i, *x) for i, x in enumerate(hurts)], "match string, ord long, tick long, attacker string, victim string, weapon string")
-    fires = spark.createDataFrame([("m", "A", 128, "weapon_ak47"), ("m", "A", 257, "weapon_ak47"), ("m", "A", 10, "weapon_knife")], "match string, player string, tick long, weapon string")
-    steps = spark.createDataFrame([("m", "B", 200)], "match string, player string, tick long")
-    blinds = spark.createDataFrame([("m", "A", 100, 0.5)], "match string, player string, tick long, duration double")
+    fires = spark.createDataFrame([("m", "s", 650, "weapon_galilar"), ("m", "s", HIT, "weapon_galilar"), ("m", "s", 560, "weapon_knife")], "match string, player string, tick long, weapon string")
+    steps = spark.createDataFrame([("m", "t", 700)], "match string, player string, tick long")
+    blinds = spark.createDataFrame([("m", "s", 600, 0.75)], "match string, player string, tick long, duration double")
     who = None if attackers is None else spark.createDataFrame([("m", a) for a in attackers], "match string, player string")
     return enc.encounters(ticks, h, fires, steps, blinds, who, strict)
 
@@ -35,7 +44,7 @@ def reasons(spark, changes, strict=False):
     for i, change in enumerate(changes):
         rows += [tuple((x | {"match": str(i)})[c] for c in cols) for x in tick_rows(change)]
     one = lambda schema, *values: spark.createDataFrame([(str(i), *values) for i in range(len(changes))], schema)
-    hurts = one("match string, ord long, tick long, attacker string, victim string, weapon string", 0, 257, "A", "B", "ak47")
+    hurts = one("match string, ord long, tick long, attacker string, victim string, weapon string", 0, HIT, "s", "t", "galilar")
     none = spark.createDataFrame([], "match string, player string, tick long, weapon string, duration double")
     _, anchors = enc.encounters(spark.createDataFrame(rows, SCHEMA), hurts, none.drop("duration"), none.drop("weapon", "duration"), none.drop("weapon"), None, strict)
     found = {int(r.match): r.reason for r in anchors.collect()}
@@ -44,25 +53,30 @@ def reasons(spark, changes, strict=False):
 
 def test_values(spark):
     kept, anchors = build(spark, tick_rows())
-    rows = kept.orderBy("pos").collect()
-    assert [r.reason for r in anchors.collect()] == [None] and len(rows) == 256
-    assert rows[128].delta_yaw == 2.0 and rows[0].delta_yaw == 0.0
-    assert all(abs(r.target_error_pitch + 45) < 1e-9 for r in rows)
-    assert sum(r.shot for r in rows) == 1.0 and rows[127].shot == 1.0
-    assert rows[127].time_since_shot == 0 and abs(rows[191].time_since_shot - 1.0) < 1e-9 and rows[0].time_since_shot == 5.0
-    assert rows[199].victim_footstep == 1.0 and rows[199].time_since_victim_noise == 0
-    assert rows[99].flash_remaining == 0.5 and rows[131].flash_remaining == 0.0 and abs(rows[130].flash_remaining - 1 / 64) < 1e-9
-    assert abs(rows[5].distance - math.sqrt(100**2 + 100**2)) < 1e-9 and rows[0].weapon_auto == 1.0 and rows[0].weapon_smg == 0.0
+    rows = {r.pos + T0: r for r in kept.collect()}
+    assert [r.reason for r in anchors.collect()] == [None] and sorted(rows) == list(range(T0, HIT))
+    assert rows[T0].delta_yaw == 0.0 and all(abs(rows[t].delta_yaw - 1.5) < 1e-9 for t in rows if t > T0)
+    bearing = math.degrees(math.atan2(400, 300))
+    for t, r in rows.items():
+        assert abs((r.target_error_yaw - bearing + t * 1.5 + 180) % 360 - 180) < 1e-6
+        assert abs(r.target_error_pitch - (math.degrees(math.atan2(18, 500)) - 2)) < 1e-9
+        assert abs(r.distance - math.hypot(500, 18)) < 1e-9 and r.relative_height == -18
+        assert abs(r.attacker_speed - 50) < 1e-9 and abs(r.closing_speed - 50) < 1e-9 and abs(r.lateral_speed) < 1e-9
+        assert r.victim_crouch == 1.0 and r.weapon_auto == 1.0 and r.weapon_smg == 0.0
+        assert r.shot == float(t == 650) and r.victim_footstep == float(t == 700)
+        assert abs(r.time_since_shot - (min((t - 650) / 64, 5) if t >= 650 else 5)) < 1e-9
+        assert abs(r.time_since_victim_noise - ((t - 700) / 64 if t >= 700 else 5)) < 1e-9
+        assert abs(r.flash_remaining - (0.75 - (t - 600) / 64 if 600 <= t <= 648 else 0)) < 1e-9
     scaled = enc.scaled(kept).orderBy("pos").first()
-    assert abs(scaled.target_error_pitch + math.asinh(9)) < 1e-6
+    assert abs(scaled.health - math.asinh(0.9)) < 1e-6 and scaled.weapon_auto == 1.0
 
 
 def test_the_future_changes_nothing(spark):
     def future(r):
-        return [r | {"yaw": r["yaw"] + 77 * (r["tick"] > 256), "x": r["x"] - 9 * (r["tick"] > 256)}]
+        return [r | {"yaw": r["yaw"] + 77 * (r["tick"] >= HIT), "x": r["x"] - 9 * (r["tick"] >= HIT)}]
 
     def past(r):
-        return [r | {"yaw": r["yaw"] + 3 * (r["tick"] == 256)}]
+        return [r | {"yaw": r["yaw"] + 3 * (r["tick"] == HIT - 1)}]
 
     key = ["match", "attacker", "victim", "tick"]
     digest = lambda f: enc.window_digest(build(spark, tick_rows(f))[0], key).first().sha256
@@ -70,23 +84,23 @@ def test_the_future_changes_nothing(spark):
 
 
 LOOSE = [
-    (lambda r: [] if r["tick"] == 50 and r["player"] == "B" else [r], "missing_tick"),
-    (lambda r: [r | {"warmup": r["tick"] == 3}], "warmup"),
+    (lambda r: [] if r["tick"] == 611 and r["player"] == "t" else [r], "missing_tick"),
+    (lambda r: [r | {"warmup": r["tick"] == 545}], "warmup"),
     (lambda r: [r | {"team": 2.0}], "team_damage"),
     (lambda r: [r | {"team": None}], None),
     (lambda r: [r | {"team": float("nan")}], None),
-    (lambda r: [r | {"alive": r["tick"] != 9}], "not_alive_throughout"),
-    (lambda r: [r | {"round": float(r["tick"] > 99 and r["player"] == "A")}], "round_boundary"),
-    (lambda r: [r | {"round": float(r["tick"] > 99 and r["player"] == "B")}], None),
-    (lambda r: [r | {"health": float("nan") if r["tick"] == 7 else 1.0}], "nonfinite_feature"),
-    (lambda r: [r | {"x": float("inf") if r["tick"] == 280 else r["x"]}], None),
-    (lambda r: [r, r | {"ord": 10**6, "x": 5.0}] if r["tick"] == 40 else [r], None),
+    (lambda r: [r | {"alive": r["tick"] != 700}], "not_alive_throughout"),
+    (lambda r: [r | {"round": float(r["tick"] > 750 and r["player"] == "s")}], "round_boundary"),
+    (lambda r: [r | {"round": float(r["tick"] > 750 and r["player"] == "t")}], None),
+    (lambda r: [r | {"health": float("nan") if r["tick"] == 799 else 1.0}], "nonfinite_feature"),
+    (lambda r: [r | {"x": float("inf") if r["tick"] == 810 else r["x"]}], None),
+    (lambda r: [r, r | {"ord": 10**6, "x": 5.0}] if r["tick"] == 640 else [r], None),
 ]
 STRICT = [
-    (lambda r: [r | {"round": float(r["tick"] > 99 and r["player"] == "B")}], "round_boundary"),
-    (lambda r: [r | {"weapon": None if r["tick"] == 4 else r["weapon"]}], "missing_weapon"),
-    (lambda r: [r | {"armor": None if r["tick"] == 4 else 1.0}], "missing_telemetry"),
-    (lambda r: [r | {"armor": float("nan") if r["tick"] == 4 else 1.0}], "nonfinite_telemetry"),
+    (lambda r: [r | {"round": float(r["tick"] > 750 and r["player"] == "t")}], "round_boundary"),
+    (lambda r: [r | {"weapon": None if r["tick"] == 580 else r["weapon"]}], "missing_weapon"),
+    (lambda r: [r | {"armor": None if r["tick"] == 580 else 1.0}], "missing_telemetry"),
+    (lambda r: [r | {"armor": float("nan") if r["tick"] == 580 else 1.0}], "nonfinite_telemetry"),
     (lambda r: [r], None),
 ]
 
@@ -100,11 +114,11 @@ def test_strict_reasons(spark):
 
 
 def test_bursts_and_qualification(spark):
-    hits = [(100, "A", "B", "ak47"), (228, "A", "B", "ak47"), (357, "A", "B", "ak47"), (357, "A", "B", "ak47"), (100, "B", "A", "ak47"), (50, "A", "A", "ak47"), (60, "A", "B", "knife"), (70, "A", "X", "ak47"), (99, "A", "B", "weapon_ak47")]
+    hits = [(600, "s", "t", "galilar"), (728, "s", "t", "galilar"), (857, "s", "t", "galilar"), (857, "s", "t", "galilar"), (610, "t", "s", "nova"), (550, "s", "s", "galilar"), (560, "s", "t", "knife"), (570, "s", "nobody", "galilar"), (599, "s", "t", "weapon_galilar")]
     ticks = sorted((r.attacker, r.tick) for r in build(spark, tick_rows(), hits)[1].collect())
-    assert ticks == [("A", 100), ("A", 357), ("B", 100)]  # 128 apart is one burst, 129 is two; every hit moves the clock
-    assert sorted((r.attacker, r.tick) for r in build(spark, tick_rows(), hits, strict=True)[1].collect()) == [("A", 99), ("A", 357), ("B", 100)]
-    assert {r.attacker for r in build(spark, tick_rows(), hits, attackers=["B"])[1].collect()} == {"B"}
+    assert ticks == [("s", 600), ("s", 857), ("t", 610)]  # 128 apart is one burst, 129 is two; every hit moves the clock
+    assert sorted((r.attacker, r.tick) for r in build(spark, tick_rows(), hits, strict=True)[1].collect()) == [("s", 599), ("s", 857), ("t", 610)]
+    assert {r.attacker for r in build(spark, tick_rows(), hits, attackers=["t"])[1].collect()} == {"t"}
 
 
 def test_channel_count_and_order():

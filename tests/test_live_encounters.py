@@ -12,9 +12,9 @@ def lines():
     rows = []
     for i, r in enumerate(sorted(tick_rows(ticks=range(1, 701)), key=lambda r: r["tick"])):
         rows.append(r | {"kind": "state", "ord": i})
-    for k, (t, a, v) in enumerate([(257, "A", "B"), (300, "A", "B"), (500, "A", "B"), (600, "B", "A"), (699, "B", "A")]):
-        rows.append({"kind": "hurt", "match": "m", "ord": 10_000 + k, "tick": t, "attacker": a, "victim": v, "weapon": "weapon_ak47"})
-    rows.append({"kind": "fire", "match": "m", "ord": 20_000, "tick": 250, "player": "A", "weapon": "weapon_ak47"})
+    for k, (t, a, v) in enumerate([(257, "s", "t"), (300, "s", "t"), (500, "s", "t"), (600, "t", "s"), (699, "t", "s")]):
+        rows.append({"kind": "hurt", "match": "m", "ord": 10_000 + k, "tick": t, "attacker": a, "victim": v, "weapon": "weapon_galilar"})
+    rows.append({"kind": "fire", "match": "m", "ord": 20_000, "tick": 250, "player": "s", "weapon": "weapon_galilar"})
     return [tuple(r.get(c) for c in COLUMNS) for r in sorted(rows, key=lambda r: r["tick"])]
 
 

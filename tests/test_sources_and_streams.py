@@ -69,6 +69,10 @@ def test_container(spark, tmp_path):
     for n in range(len(whole)):
         with pytest.raises(ValueError):
             binary.container_timing(whole[:n])
+    odd = {b"\x08\x01": "malformed file info", b"\x02\x00": "malformed file info", b"\x1b": "unsupported wire type", b"\x0d" + bytes(4): "missing timing", b"\x10" + b"\xff" * 10: "malformed varint", b"\x22\x7f": "truncated"}
+    for message, fault in odd.items():
+        with pytest.raises(binary.BadContainer, match=fault):
+            binary.container_timing(b"PBDEMS2\0" + bytes(8) + bytes([2, 0, len(message)]) + message)
     with pytest.raises(ValueError, match="compressed"):
         binary.container_timing(container(command=66))
     (tmp_path / "a.dem").write_bytes(container(9000))
@@ -87,7 +91,10 @@ def test_arrays_and_files(spark, tmp_path):
     z = tmp_path / "z"
     z.mkdir()
     np.savez(z / "b.npz", x=a, player=np.array(["p", "q"]))
-    assert {(r.name, r.record) for r in binary.read_npz(spark, str(z)).collect()} == {("x", 0), ("x", 1), ("player", 0), ("player", 1)}
+    npz = {(r.name, r.record): r for r in binary.read_npz(spark, str(z)).collect()}
+    assert {k: (r.numbers, r.texts) for k, r in npz.items()} == {("x", 0): (a[0].ravel().tolist(), None), ("x", 1): (a[1].ravel().tolist(), None), ("player", 0): (None, ["p"]), ("player", 1): (None, ["q"])}
+    both = binary.read_classes(spark, {1: str(d), 0: str(d)}).collect()
+    assert sorted(r.record_id for r in both) == ["0/a.npy/0", "0/a.npy/1", "1/a.npy/0", "1/a.npy/1"]
     files = spark.read.format("binaryFile").load(str(d))
     import hashlib
 

@@ -3,78 +3,101 @@
 from __future__ import annotations
 
 import io
-import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The container format.
+# The container format, and the wire kinds of a tagged message with the bytes of those of one size.
 MAGIC, PREFIX, FILE_INFO, COMPRESSED = b"PBDEMS2\0", 16, 2, 64
+NUMBER, SIZED, FIXED = 0, 2, {1: 8, 5: 4}
+#: The fields of the file-info message that are wanted: number to name and wire kind.
+TIMING = {1: ("seconds", 5), 2: ("ticks", NUMBER)}
+#: What can be wrong with a container.
+FAULTS = {
+    "short": "truncated",
+    "long": "malformed varint",
+    "magic": "unsupported format",
+    "packed": "compressed file info",
+    "kind": "unsupported wire type",
+    "field": "malformed file info",
+    "none": "missing file info",
+    "partial": "missing timing",
+}
+
+
+class BadContainer(ValueError):
+    def __init__(self, fault: str):
+        super().__init__(FAULTS[fault])
+
+
+def number_at(data: bytes, at: int, bits: int = 32) -> tuple[int, int]:
+    """The little-endian base-128 number at a place, and the place after it."""
+    room = -(-bits // 7)
+    digits = np.frombuffer(data[at : at + room], np.uint8)
+    last = np.flatnonzero(digits < 128)
+    if not len(last):
+        raise BadContainer("long" if len(digits) == room else "short")
+    n = int(last[0]) + 1
+    value = sum(int(d & 127) << (7 * k) for k, d in enumerate(digits[:n]))
+    if value >> bits:
+        raise BadContainer("long")
+    return value, at + n
+
+
+def chunk_at(data: bytes, at: int, size: int) -> tuple[bytes, int]:
+    if at + size > len(data):
+        raise BadContainer("short")
+    return data[at : at + size], at + size
+
+
+def tagged(message: bytes) -> Iterator[tuple[int, int, int | bytes]]:
+    """field, wire kind and value of everything in a tagged message: numbers, or the bytes of a value of fixed or stated size."""
+    at = 0
+    while at < len(message):
+        key, at = number_at(message, at)
+        field, wire = key >> 3, key & 7
+        if wire == NUMBER:
+            value, at = number_at(message, at, 64)
+        elif wire == SIZED or wire in FIXED:
+            size, at = number_at(message, at) if wire == SIZED else (FIXED[wire], at)
+            value, at = chunk_at(message, at, size)
+        else:
+            raise BadContainer("kind")
+        yield field, wire, value
 
 
-class Cursor:
-    """Reads numbers off a byte string; running past the end raises ValueError."""
-
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
-
-    def take(self, n: int) -> bytes:
-        if n > len(self.data) - self.at:
-            raise ValueError("truncated")
-        self.at += n
-        return self.data[self.at - n : self.at]
-
-    def varint(self, bits: int = 32) -> int:
-        value = 0
-        for shift in range(0, bits, 7):
-            b = self.take(1)[0]
-            value += (b & 127) << shift
-            if value >> bits:
-                raise ValueError("malformed varint")
-            if b < 128:
-                return value
-        raise ValueError("malformed varint")
+def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """command and payload of every frame."""
+    head, at = chunk_at(data, 0, PREFIX)
+    if not head.startswith(MAGIC):
+        raise BadContainer("magic")
+    while at < len(data):
+        command, at = number_at(data, at)
+        _, at = number_at(data, at)
+        size, at = number_at(data, at)
+        payload, at = chunk_at(data, at, size)
+        yield command, payload
 
 
 def container_timing(data: bytes) -> tuple[float, int]:
-    """Seconds and ticks from the first uncompressed file-info frame, which may follow the stop frame."""
-    c = Cursor(data)
-    if c.take(PREFIX)[: len(MAGIC)] != MAGIC:
-        raise ValueError("unsupported format")
-    while c.at < len(data):
-        command, _, size = c.varint(), c.varint(), c.varint()
-        frame = c.take(size)
-        if command & ~COMPRESSED == FILE_INFO:
-            if command & COMPRESSED:
-                raise ValueError("compressed file info")
-            return info_fields(frame)
-    raise ValueError("missing file info")
-
-
-def info_fields(frame: bytes) -> tuple[float, int]:
-    c, seconds, ticks = Cursor(frame), None, None
-    while c.at < len(frame):
-        field, wire = divmod(c.varint(), 8)
-        if field == 0 or (field == 1 and wire != 5) or (field == 2 and wire != 0):
-            raise ValueError("malformed file info")
-        if wire == 0:
-            v = c.varint(64)
-            if field == 2:
-                ticks = (v + 2**31) % 2**32 - 2**31
-        elif wire in (1, 5):
-            raw = c.take(8 if wire == 1 else 4)
-            if field == 1:
-                seconds = struct.unpack("<f", raw)[0]
-        elif wire == 2:
-            c.take(c.varint())
-        else:
-            raise ValueError("unsupported wire type")
-    if seconds is None or ticks is None:
-        raise ValueError("missing timing")
-    return seconds, ticks
+    """Seconds and ticks from the first file-info frame, wherever it stands; of a field that comes twice the last counts."""
+    info = next((x for x in frames(data) if x[0] & ~COMPRESSED == FILE_INFO), None)
+    if info is None or info[0] & COMPRESSED:
+        raise BadContainer("none" if info is None else "packed")
+    found = {}
+    for field, wire, value in tagged(info[1]):
+        name, kind = TIMING.get(field, (None, wire))
+        if field == 0 or kind != wire:
+            raise BadContainer("field")
+        found[name] = value
+    if not {"seconds", "ticks"} <= found.keys():
+        raise BadContainer("partial")
+    low = int(found["ticks"]) & 0xFFFFFFFF  # a negative number is written as its 64-bit complement
+    return float(np.frombuffer(found["seconds"], "<f4")[0]), low - (low >> 31 << 32)
 
 
 def read_containers(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +131,7 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, record, shape and values (as text for text arrays) of every array of every .npz file."""
+    """path, name, record, shape, numbers (of numeric arrays, else null) and texts (of all others) of every array of every .npz file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -116,10 +139,18 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
                 with np.load(io.BytesIO(content), allow_pickle=False) as z:
                     for name in z.files:
                         a = z[name]
-                        flat = a.reshape(len(a), -1)
-                        yield pd.DataFrame({"path": p, "name": name, "record": range(len(a)), "shape": [list(a.shape[1:])] * len(a), "values": [[str(v) for v in r] for r in flat]})
+                        flat, numeric = a.reshape(len(a), -1), a.dtype.kind in "biuf"
+                        for at in range(0, len(a), 256):
+                            some = flat[at : at + 256]
+                            yield pd.DataFrame({"path": p, "name": name, "record": range(at, at + len(some)), "shape": [list(a.shape[1:])] * len(some), "numbers": list(some.astype(float)) if numeric else None, "texts": None if numeric else list(some.astype(str))})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, record long, shape array<int>, numbers array<double>, texts array<string>")
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, record long, shape array<int>, values array<string>")
+def read_classes(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
+    """label, record_id (label/file/record, never a position in the whole), shape and values of .npy files, one folder or file for each label."""
+    parts = [read_npy(spark, p).select(F.lit(k).alias("label"), F.concat_ws("/", F.lit(str(k)), F.element_at(F.split("path", "/"), -1), "record").alias("record_id"), "shape", "values") for k, p in paths.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_npz(windows: DataFrame, key: list[str], channels: list[str], pos: str, folder: str) -> DataFrame:

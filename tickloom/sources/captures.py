@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 # The capture format.
 SCHEMA_VERSION, TICKRATE = 1, 64
-STATE_FIELDS = "tick slot steamid yaw pitch x y z avx avy avz alive warmup team round scoped duck flags health armor recoil punch0 punch1 shots clip weapon".split()
+STATE_FIELDS = ["tick", "slot", "steamid", "yaw", "pitch", "x", "y", "z", "avx", "avy", "avz", "alive", "warmup", "team", "round", "scoped", "duck", "flags", "health", "armor", "recoil", "punch0", "punch1", "shots", "clip", "weapon"]
 LIMITS = {"yaw": 3600, "pitch": 3600, "x": 1e5, "y": 1e5, "z": 1e5, "avx": 5000, "avy": 5000, "avz": 5000, "duck": 1.5, "health": 1000, "armor": 1000, "recoil": 100, "punch0": 180, "punch1": 180, "shots": 1000, "clip": 1000}
 EVENT_FIELDS = {"player_hurt": ["tick", "attacker", "victim", "weapon", "dmg_health", "health"], "weapon_fire": ["tick", "user", "weapon"], "player_footstep": ["tick", "user"], "player_blind": ["tick", "user", "blind_duration"]}
 

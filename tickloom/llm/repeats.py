@@ -10,6 +10,9 @@ longest common prefixes of neighbours are taken (the suffix tree in array form):
 an internal node at least a window deep is a repeat, and its leaves are the
 places. A prefix as long as the window is such a node already once two suffixes
 have it, so these are only counted, first in the task and then in their bucket.
+
+Hashes only deal the work out. Whether two windows are equal is decided by the
+bytes of their words, and whether two texts are by 128 bits of their SHA-256.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ WINDOW, GRAM = 35, 8
 #: Occurrences of an anchor beyond which its suffixes are split by the whole window.
 LONGER_PREFIX = 5_000
 #: Anchors whose suffixes make one group, and windows compared within a task at a time.
-GROUP, TOGETHER = 10_000, 500_000
+GROUP, TOGETHER = 10_000, 200_000
 
 
 class Codes(dict):
@@ -66,8 +69,7 @@ def anchors(codes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nda
     return owner[first], h[owner[first]], first, np.append(first[1:], n) - 1
 
 
-def codes_of(text: str, codes: Codes) -> np.ndarray:
-    words = words_of(text)
+def codes_of(words: list[bytes], codes: Codes) -> np.ndarray:
     return np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
 
 
@@ -77,127 +79,132 @@ def anchor_rows(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in batches:
-            found = [anchors(codes_of(t, codes), window)[:2] for t in column(batch, "text").to_pylist()]
-            keys = column(batch, "text_key").to_numpy().repeat([len(f[0]) for f in found])
-            if len(keys):
+            found = [anchors(codes_of(words_of(t), codes), window)[:2] for t in column(batch, "text").to_pylist()]
+            row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            if len(row):
                 place = np.concatenate([f[0] for f in found]).astype(np.int32)
                 gram = np.concatenate([f[1] for f in found]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(keys), pa.array(place)], ["gram", "text_key", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram), column(batch, "text_key").take(pa.array(row)), pa.array(place)], ["gram", "text_key", "at"])
 
-    return rows.select("text_key", "text").mapInArrow(run, "gram long, text_key long, at int")
+    return rows.select("text_key", "text").mapInArrow(run, "gram long, text_key binary, at int")
 
 
-SUFFIXES = "bucket long, text_key long, first int, last int, span binary, window_hash long"
+SUFFIXES = "bucket long, text_key binary, first int, last int, span binary, whole binary"
+RUNS = "text_key binary, first int, last int"
 
 
 def suffixes(shared: DataFrame, groups: int, window: int) -> DataFrame:
     """The suffixes of the anchors found at several places, dealt to buckets by their prefix (SUFFIXES).
 
-    An anchor that few suffixes share gives one row with its span: the words of
-    all its windows, as 32-bit codes, in the bucket of the anchor. Where many
-    share it, the prefix is the whole window: windows that meet their like in
-    this task are repeated (rows with first and last), and each distinct one gives
-    one row with its hash, in the bucket of that hash. So a window that any
-    number of texts hold comes to a bucket once from each task.
+    An anchor that few suffixes share gives one row with its span, the words of
+    all its windows, in the bucket of the anchor. Where many share it, the
+    prefix is the whole window: windows that meet their like in this task are
+    repeated (rows with first and last), and each distinct one gives one row
+    with its words, in the bucket of their hash. So a window that any number of
+    texts hold comes to a bucket once from each task.
     """
+    deal = np.uint64(groups)
+
+    def rows(bucket: np.ndarray, key: pa.Array, first: np.ndarray, **known) -> pa.RecordBatch:
+        n = len(bucket)
+        given = {"last": (pa.int32(), known.get("last")), "span": (pa.binary(), known.get("span")), "whole": (pa.binary(), known.get("whole"))}
+        rest = [pa.nulls(n, kind) if x is None else pa.array(x, kind) for kind, x in given.values()]
+        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), key, pa.array(first.astype(np.int32)), *rest], ["bucket", "text_key", "first", *given])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        waiting = 0
+        keys: list[bytes] = []
+        whole: list[bytes] = []
+        first: list[int] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, key, first = (np.concatenate([x[i] for x in held]) for i in range(3))
-            o = np.argsort(h, kind="stable")
-            new = np.concatenate(([True], h[o][1:] != h[o][:-1]))
-            n = np.diff(np.append(np.flatnonzero(new), len(o)))
-            known = ranges(key[o][np.repeat(n > 1, n)], first[o][np.repeat(n > 1, n)])
-            k = known.num_rows
-            none = pa.nulls(k, pa.binary())
-            if k:
-                bucket = pa.array(known["text_key"].to_numpy() % groups)
-                yield pa.RecordBatch.from_arrays([bucket, *[known[c].combine_chunks() for c in ("text_key", "first", "last")], none, pa.nulls(k, pa.int64())], BUCKETED)
-            one = o[new]
-            m = len(one)
-            yield pa.RecordBatch.from_arrays([pa.array((h[one] % np.uint64(groups)).astype(np.int64)), pa.array(key[one]), pa.array(first[one].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(h[one].view(np.int64))], BUCKETED)
+            key, start = pa.array(keys, pa.binary()), np.array(first)
+            code = pa.array(whole, pa.binary()).dictionary_encode().indices.to_numpy()
+            twice = np.bincount(code)[code] > 1
+            known = runs_of(key, start, twice)
+            if known.num_rows:
+                spread = np.array([xxhash.xxh3_64_intdigest(k) % groups for k in known["text_key"].to_pylist()], np.uint64)
+                yield rows(spread, known["text_key"].combine_chunks(), known["first"].to_numpy(), last=known["last"].to_numpy())
+            one = np.unique(code, return_index=True)[1]
+            bucket = np.array([xxhash.xxh3_64_intdigest(whole[i]) % groups for i in one.tolist()], np.uint64)
+            yield rows(bucket, key.take(pa.array(one)), start[one], whole=[whole[i] for i in one.tolist()])
 
         for batch in batches:
             bucket, row, start, span = [], [], [], []
-            keys = column(batch, "text_key").to_numpy()
+            text_keys = column(batch, "text_key")
             for r, (text, places, many) in enumerate(zip(column(batch, "text").to_pylist(), column(batch, "places").to_pylist(), column(batch, "many").to_pylist())):
-                c = codes_of(text, codes)
-                at, gram, lo, hi = anchors(c, window)
+                words = words_of(text)
+                at, gram, lo, hi = anchors(codes_of(words, codes), window)
                 often = np.isin(at, np.array(places)[np.array(many, bool)])
                 some = np.isin(at, places) & ~often
-                short = (c ^ (c >> np.uint64(32))).astype(np.uint32)
-                for g, a, b in zip(gram[some], lo[some], hi[some]):
-                    bucket.append(int(g % np.uint64(groups)))
+                bucket.append(gram[some] % deal)
+                for a, b in zip(lo[some].tolist(), hi[some].tolist()):
                     row.append(r)
                     start.append(a)
-                    span.append(short[a : b + window].tobytes())
-                if often.any():
-                    first = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo[often], hi[often])])
-                    h = np.zeros(len(first), np.uint64)
-                    for j in range(window):
-                        h = mix(h * G1 + c[first + j])
-                    held.append((h, np.full(len(h), keys[r]), first))
-                    waiting += len(h)
+                    span.append(b" ".join(words[a : b + window]))
+                for a, b in zip(lo[often].tolist(), hi[often].tolist()):
+                    key = text_keys[r].as_py()
+                    for f in range(a, b + 1):
+                        keys.append(key)
+                        first.append(f)
+                        whole.append(b" ".join(words[f : f + window]))
+                    if len(whole) > TOGETHER:
+                        yield from flush()
+                        keys, first, whole = [], [], []
             if row:
-                n = len(row)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(keys[row]), pa.array(np.array(start), pa.int32()), pa.nulls(n, pa.int32()), pa.array(span, pa.binary()), pa.nulls(n, pa.int64())], BUCKETED)
-            if waiting > TOGETHER:
-                yield from flush()
-                held, waiting = [], 0
-        if held:
+                yield rows(np.concatenate(bucket), text_keys.take(pa.array(row)), np.array(start), span=span)
+        if whole:
             yield from flush()
 
     return shared.mapInArrow(run, SUFFIXES)
 
 
-BUCKETED = [c.split()[0] for c in SUFFIXES.split(", ")]
-
-
 def judged(group: pa.Table, window: int) -> pa.Table:
     """Repeated windows of one bucket: text_key, first and last of their runs."""
     spans = group.filter(pc.is_valid(group["span"]))
-    hashed = group.filter(pc.is_valid(group["window_hash"]))
-    known = group.filter(pc.is_valid(group["last"])).select(["text_key", "first", "last"])
-    _, at, n = np.unique(hashed["window_hash"].to_numpy(), return_inverse=True, return_counts=True)
-    twice = n[at] > 1
-    found = [known, ranges(hashed["text_key"].to_numpy()[twice], hashed["first"].to_numpy()[twice])]
+    whole = group.filter(pc.is_valid(group["whole"]))
+    found = [group.filter(pc.is_valid(group["last"])).select(["text_key", "first", "last"])]
+    if whole.num_rows:
+        code = whole["whole"].combine_chunks().dictionary_encode().indices.to_numpy()
+        found.append(runs_of(whole["text_key"].combine_chunks(), whole["first"].to_numpy(), np.bincount(code)[code] > 1))
     if spans.num_rows:
         found.append(subtree(spans, window))
     return pa.concat_tables(found)
 
 
 def subtree(group: pa.Table, window: int) -> pa.Table:
-    """text_key, first and last of the runs of windows that lie below a node at least a window deep."""
-    keys, firsts = group["text_key"].to_numpy(), group["first"].to_numpy()
-    spans = [np.frombuffer(b, np.uint32) for b in group["span"].to_pylist()]
-    counts = np.array([len(s) - window + 1 for s in spans])
-    suffix = np.concatenate([np.lib.stride_tricks.sliding_window_view(s, window) for s in spans])
-    key, start = np.repeat(keys, counts), np.repeat(firsts, counts) + np.concatenate([np.arange(n) for n in counts])
-    order = np.argsort(np.ascontiguousarray(suffix.astype(">u4")).view(f"S{4 * window}").ravel(), kind="stable")
+    """text_key, first and last of the runs of windows that lie below a node at least a window deep.
+
+    The words of the group are numbered by their bytes, so equal numbers are equal words.
+    """
+    words = pc.split_pattern(group["span"].combine_chunks().cast(pa.large_binary()), b" ")
+    ids = words.flatten().dictionary_encode().indices.to_numpy().astype(np.uint32)
+    edges = words.offsets.to_numpy()
+    counts = np.diff(edges) - window + 1
+    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    suffix = ids[(edges[:-1][owner] + within)[:, None] + np.arange(window)]
+    order = np.argsort(suffix.astype(">u4").view(f"S{4 * window}").ravel(), kind="stable")
     ordered = suffix[order]
     differ = ordered[1:] != ordered[:-1]
     common = np.where(differ.any(1), differ.argmax(1), window)  # longest common prefix with the suffix before
     deep = np.zeros(len(order), bool)
-    deep[1:] |= common >= window
-    deep[:-1] |= common >= window
-    # a copy of the same place (a text that came twice) isn't another place, but equal texts repeat each other anyway
-    leaf = order[deep]
-    return ranges(key[leaf], start[leaf])
-
-
-def ranges(key: np.ndarray, start: np.ndarray) -> pa.Table:
-    """Runs of consecutive starts of each text."""
-    o = np.lexsort((start, key))
-    key, start = key[o], start[o].astype(np.int64)
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1)
+    deep[order[1:]] |= common >= window
+    deep[order[:-1]] |= common >= window
+    return runs_of(group["text_key"].combine_chunks().take(pa.array(owner)), group["first"].to_numpy()[owner] + within, deep)
+
+
+def runs_of(key: pa.Array, start: np.ndarray, chosen: np.ndarray) -> pa.Table:
+    """Runs of consecutive chosen starts of each text: text_key, first, last."""
+    names = key.filter(pa.array(chosen)).dictionary_encode()
+    code, start = names.indices.to_numpy(), start[chosen].astype(np.int64)
+    o = np.lexsort((start, code))
+    code, start = code[o], start[o]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (start[1:] > start[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(key)) - 1 if len(key) else first
-    return pa.table({"text_key": pa.array(key[first], pa.int64()), "first": pa.array(start[first], pa.int32()), "last": pa.array(start[last], pa.int32())})
+    last = np.append(first[1:], len(code)) - 1 if len(code) else first
+    return pa.table({"text_key": names.dictionary.take(pa.array(code[first])), "first": pa.array(start[first], pa.int32()), "last": pa.array(start[last], pa.int32())})
 
 
 def with_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -207,11 +214,13 @@ def with_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     any row, the same row included. With ``copies`` above 1 every window is
     repeated and ``runs`` may leave some out. Null texts count as empty.
     """
-    rows = texts_of(docs).withColumn("text_key", F.xxhash64("text"))
+    rows = texts_of(docs).withColumn("text_key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    laid = materialise(anchor_rows(rows, window), "laid")
     # anchors at two places at least: of different texts, or of one text at different positions
     place = F.struct("text_key", "at")
-    grams = anchor_rows(rows, window).groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("gram", (F.col("n") > LONGER_PREFIX).alias("often"))
-    found = anchor_rows(rows, window).join(grams, "gram").groupBy("text_key").agg(F.collect_set(F.struct("at", "often")).alias("p"))
+    grams = laid.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("gram", (F.col("n") > LONGER_PREFIX).alias("often"))
+    # stored, so that the join deals both sides out itself and can split a gram that many places have
+    found = laid.join(materialise(grams, "grams"), "gram").groupBy("text_key").agg(F.collect_set(F.struct("at", "often")).alias("p"))
     texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("copies"))
     marked = materialise(texts.join(found, "text_key", "left").select("text_key", "one", "copies", F.col("p.at").alias("places"), F.col("p.often").alias("many")), "anchors")
     size = marked.agg(F.sum(F.size("places")).alias("n")).first()
@@ -220,7 +229,7 @@ def with_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # both uses of ``joined`` read one shuffle of the texts
     joined = rows.join(marked, "text_key")
     once = joined.filter((F.size("places") > 0) & F.coalesce(F.col("doc_id") <= F.col("one"), F.col("one").isNull())).select("text_key", "text", "places", "many")
-    runs = suffixes(once, groups, window).groupBy("bucket").applyInArrow(lambda group: judged(group, window), "text_key long, first int, last int")
+    runs = suffixes(once, groups, window).groupBy("bucket").applyInArrow(lambda group: judged(group, window), RUNS)
     by_text = runs.groupBy("text_key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     return joined.select("doc_id", "text", "text_key", "copies").join(by_text, "text_key", "left").select("doc_id", "text", "copies", "runs")
 

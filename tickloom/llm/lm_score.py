@@ -5,11 +5,12 @@ there; the sum of the log-probabilities of a document's words, each given the
 words on both sides, is its pseudo-log-likelihood. The vocabulary is the most
 frequent words of the whole corpus, more of them for a larger one, and hashed
 classes for the rest; a word of such a class has the class's probability times its
-share of the class's count. The softmax
-has two levels (a group of words, then the word in its group). Training runs
-where the data is: in each round every partition takes steps from the shared weights on
-its share of its own places, and the weights are averaged by a shuffle. The
-rounds together train on every place.
+share of the class's count. The softmax has two levels, as many groups as words in
+a group. Texts are looked up once and stored as numbers. Training runs where the
+data is: in each round every partition takes steps from the shared weights on
+its share of its own places, and the weights are averaged in a tree of tasks. The
+rounds together train on every place. The weights depend on how rows lie in
+partitions, so scores differ a little from one layout of the same rows to another.
 """
 
 from __future__ import annotations
@@ -25,26 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import column, documents, texts_of
+from tickloom.llm.common import TABLE, added_up, column, documents, table_blocks, texts_of
 from tickloom.session import materialise
 
-#: Least groups of the two-level softmax and words in a group; classes for words outside the vocabulary.
-GROUPS, IN_GROUP, RARE = 32, 32, 64
-#: Groups are the root of the number of words in the corpus over this, where that is more.
-GROWTH = 128
+#: Least groups of the two-level softmax, and as many words in each; classes for words outside the vocabulary.
+SIDE, RARE = 32, 64
+#: Words in the vocabulary for each unit of the cube root of the corpus's words, where that is more.
+GROWTH = 5
 #: Words outside the vocabulary whose shares of their classes are broadcast; the shares of all others come by a join.
 SHIPPED = 100_000
-CLASSES = GROUPS * IN_GROUP
 #: Words read on each side, length of a word's vector, hidden units.
-SIDE, DIM, HIDDEN = 2, 12, 24
+REACH, DIM, HIDDEN = 2, 12, 20
 #: Rounds that share out all places, in runs of so many places; rounds (STRIDE at least), places in a step, and the first rate.
-STRIDE, SPAN, ROUNDS, STEP, RATE = 2, 32, 2, 2048, 0.01
+STRIDE, SPAN, ROUNDS, STEP, RATE = 2, 32, 2, 4096, 0.02
 #: Words counted in a task before their counts are passed on, and places scored at a time.
 FLUSH, CHUNK = 200_000, 32_768
-#: Texts whose places are laid out at a time.
-TEXTS = 200
-#: Weights in one block of the shuffle that averages them.
-BLOCK = 1024
+#: Words whose places are laid out at a time.
+LAID = 1 << 18
+#: Greatest exponent.
+LARGEST = np.float32(60)
 EDGE = -1  # stands beyond both ends of a text: the last row of the word vectors
 
 
@@ -73,244 +73,277 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Classes(dict):
-    """Word to class: its rank among the frequent words, or one of the hashed classes after them."""
+def side_for(tokens: int) -> int:
+    """Groups of the softmax, and words in a group, for a corpus of so many words."""
+    return max(SIDE, math.ceil(math.sqrt(GROWTH * tokens ** (1 / 3))))
 
-    def __init__(self, frequent: list[str]):
-        super().__init__({w: i for i, w in enumerate(frequent)})
-        self.frequent = frequent
-        self.rare = IN_GROUP * groups_of(len(frequent)) - RARE  # the first hashed class
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-            self.update({w: i for i, w in enumerate(self.frequent)})
-            if word in self:
-                return self[word]
-        self[word] = c = self.rare + zlib.crc32(word.encode("utf-8", "replace")) % RARE
-        return c
-
-
-def groups_for(tokens: int) -> int:
-    """Groups of the softmax for a corpus of so many words."""
-    return max(GROUPS, math.isqrt(tokens) // GROWTH)
+def rare_class(word: str, side: int) -> int:
+    return side * side - RARE + zlib.crc32(word.encode("utf-8", "replace")) % RARE
 
 
-def groups_of(frequent: int) -> int:
-    """Groups that hold so many words and the hashed classes."""
-    return max(GROUPS, -(-(frequent + RARE) // IN_GROUP))
+class Numbers(dict):
+    """Word to number: its class if it is in the vocabulary, what was given to it beside, or -1 less its class for all others."""
 
+    def __init__(self, frequent: list[str], side: int, others: dict[str, int] | None = None):
+        super().__init__(others or {})
+        self.update({w: i for i, w in enumerate(frequent)})
+        self.side, self.kept = side, len(self)
 
-def shapes(groups: int = GROUPS) -> list[tuple[int, ...]]:
-    return [(groups * IN_GROUP + 1, DIM), (2 * SIDE * DIM, HIDDEN), (HIDDEN,), (HIDDEN, groups), (groups,), (groups, HIDDEN, IN_GROUP), (groups, IN_GROUP)]
-
-
-def size_of(groups: int) -> int:
-    return sum(math.prod(x) for x in shapes(groups))
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.kept + 300_000:
+            for w in [w for w, i in self.items() if i < 0]:
+                del self[w]
+        self[word] = number = -1 - rare_class(word, self.side)
+        return number
 
 
-SHAPES = shapes()
+def shapes(side: int) -> list[tuple[int, ...]]:
+    return [(side * side + 1, DIM), (2 * REACH * DIM, HIDDEN), (HIDDEN,), (HIDDEN, side), (side,), (side, HIDDEN, side), (side, side)]
 
 
-def unpack(flat: np.ndarray) -> list[np.ndarray]:
+def unpack(flat: np.ndarray, side: int = SIDE) -> list[np.ndarray]:
     out, at = [], 0
-    for s in shapes((len(flat) - size_of(0)) // (size_of(1) - size_of(0))):
+    for s in shapes(side):
         out.append(flat[at : at + math.prod(s)].reshape(s))
         at += math.prod(s)
     return out
 
 
-def first_weights(seed: int = 4, groups: int = GROUPS) -> np.ndarray:
+def first_weights(seed: int = 4, side: int = SIDE) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    flat = np.zeros(size_of(groups), np.float32)
-    for k, w in enumerate(unpack(flat)):
+    flat = np.zeros(sum(math.prod(x) for x in shapes(side)), np.float32)
+    for k, w in enumerate(unpack(flat, side)):
         if w.ndim > 1:
             w[...] = rng.standard_normal(w.shape) / np.sqrt(w.shape[-2] if k else DIM)
     return flat
 
 
-def places_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Targets, what is read around them, and the text each belongs to."""
-    edge = np.full(SIDE, EDGE, np.int32)
-    padded = np.concatenate([x for i in ids for x in (i, edge)] or [edge])
-    padded = np.concatenate([edge, padded])
-    owner = np.concatenate([np.append(np.full(len(i), k), np.full(SIDE, -1)) for k, i in enumerate(ids)] or [np.full(SIDE, -1)])
-    at = np.flatnonzero(owner >= 0)
-    around = np.stack([padded[at + SIDE + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1) if len(at) else np.empty((0, 2 * SIDE), np.int32)
-    return padded[at + SIDE], around, owner[at]
+def places_of(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is read around each place of texts that lie end to end, the text each belongs to, and its place there."""
+    n = np.diff(ends, prepend=0)
+    owner = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(ids)) + REACH * (owner + 1)
+    padded = np.full(len(ids) + REACH * (len(n) + 1), EDGE, np.int32)
+    padded[at] = ids
+    around = np.empty((len(ids), 2 * REACH), np.int32)
+    for k, d in enumerate((*range(-REACH, 0), *range(1, REACH + 1))):
+        around[:, k] = padded[at + d]
+    return around, owner, np.arange(len(ids)) - (ends - n)[owner]
 
 
-def trained_places(texts: list[str], classes: Classes, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Targets and what is read around them at the places that round ``number`` trains on.
+def trained(ids: np.ndarray, ends: np.ndarray, owner: np.ndarray, place: np.ndarray, number: int) -> np.ndarray:
+    """Which places round ``number`` trains on.
 
     Runs of SPAN places are dealt in turn to STRIDE rounds, from a start that the
-    text decides, so STRIDE rounds in a row train on every place of every text once;
-    only the words of a round's runs and beside them are looked up.
+    text decides, so STRIDE rounds in a row train on every place of every text once.
     """
-    line, at, end = [], [], [EDGE] * SIDE
-    for text in texts:
-        words = tokens_of(text)
-        n = len(words)
-        if not n:
-            continue
-        start = (zlib.crc32(f"{n}/{words[0]}/{words[-1]}".encode("utf-8", "replace")) + number) % STRIDE * SPAN
-        for s in range(start, n, STRIDE * SPAN):
-            low, high, stop = max(0, s - SIDE), min(n, s + SPAN + SIDE), min(n, s + SPAN)
-            line += end[: SIDE - (s - low)]
-            at += range(len(line) + s - low, len(line) + stop - low)
-            line += map(classes.__getitem__, words[low:high])
-            line += end[: SIDE - (high - stop)]
-    ids, at = np.array(line, np.int32), np.array(at, np.int64)
-    return ids[at], np.stack([ids[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
-
-
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(-1, keepdims=True))
+    n = np.diff(ends, prepend=0)
+    first, last = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    some = n > 0
+    first[some], last[some] = ids[(ends - n)[some]], ids[ends[some] - 1]
+    start = n + 7 * first + 31 * last
+    return (place // SPAN + start[owner] + number) % STRIDE == 0
+
+
+def by_group(group: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that brings rows of one group together, and group, first and end of each that has rows."""
+    order = np.argsort(group.astype(np.int16 if groups < 1 << 15 else np.int32), kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(groups + 1)).tolist()
+    return order, [(g, a, b) for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+
+
+def exponents(z: np.ndarray) -> np.ndarray:
+    """exp(z) in place, of at most LARGEST: hidden units are within 1, so larger values hardly occur."""
+    return np.exp(np.minimum(z, LARGEST, out=z), out=z)
+
+
+def hidden_of(emb: np.ndarray, w1: np.ndarray, b1: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = emb.take(around.ravel(), 0, mode="wrap").reshape(len(around), -1)
+    return x, np.tanh(x @ w1 + b1)
 
 
 def log_probabilities(weights: list[np.ndarray], target: np.ndarray, around: np.ndarray) -> np.ndarray:
     """log P(target | words on both sides)."""
     emb, w1, b1, wg, bg, wi, bi = weights
+    side = len(bg)
     out = np.empty(len(target), np.float32)
     for at in range(0, len(target), CHUNK):
         t = target[at : at + CHUNK]
-        h = np.tanh(emb[around[at : at + CHUNK]].reshape(len(t), -1) @ w1 + b1)
-        group, inside = np.divmod(t, IN_GROUP)
-        lp = log_softmax(h @ wg + bg)[np.arange(len(t)), group]
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(len(bg) + 1))
-        for g in range(len(bg)):
-            rows = order[cuts[g] : cuts[g + 1]]
-            if len(rows):
-                lp[rows] += log_softmax(h[rows] @ wi[g] + bi[g])[np.arange(len(rows)), inside[rows]]
-        out[at : at + CHUNK] = lp
+        order, parts = by_group(t // side, side)
+        t = t[order]
+        group, inside = np.divmod(t, side)
+        h = hidden_of(emb, w1, b1, around[at : at + CHUNK][order])[1]
+        every, row = exponents(h @ wg + bg), np.arange(len(t))
+        lp = np.log(every[row, group] / every.sum(1))
+        within = np.empty((len(t), side), np.float32)
+        for g, a, b in parts:
+            np.matmul(h[a:b], wi[g], out=within[a:b])
+        within = exponents(within + bi[group])
+        lp += np.log(within[row, inside] / within.sum(1))
+        out[at + order] = lp
     return out
 
 
 def step(weights: list[np.ndarray], squares: list[np.ndarray], target: np.ndarray, around: np.ndarray, rate: float) -> None:
     """One step of RMS-scaled gradient descent, in place."""
     emb, w1, b1, wg, bg, wi, bi = weights
-    n = len(target)
-    x = emb[around].reshape(n, -1)
-    h = np.tanh(x @ w1 + b1)
-    group, inside = np.divmod(target, IN_GROUP)
-    grads = [np.zeros_like(w) for w in weights]
-    pg = np.exp(log_softmax(h @ wg + bg))
-    pg[np.arange(n), group] -= 1
-    pg /= n
+    n, side = len(target), len(bg)
+    order, parts = by_group(target // side, side)
+    around = around[order]
+    group, inside = np.divmod(target[order], side)
+    x, h = hidden_of(emb, w1, b1, around)
+    row, ones = np.arange(n), np.ones(side, np.float32)
+
+    def error(z: np.ndarray, right: np.ndarray) -> np.ndarray:
+        p = exponents(z)
+        p /= (p @ ones)[:, None] * np.float32(n)
+        p[row, right] -= np.float32(1 / n)
+        return p
+
+    z = h @ wg
+    z += bg
+    pg = error(z, group)
+    pi, back = np.empty((n, side), np.float32), np.empty_like(h)
+    for g, a, b in parts:
+        np.matmul(h[a:b], wi[g], out=pi[a:b])
+    pi += bi[group]
+    pi = error(pi, inside)
+    gi, gb = np.zeros_like(wi), np.zeros_like(bi)
+    for g, a, b in parts:
+        np.matmul(pi[a:b], wi[g].T, out=back[a:b])
+        np.matmul(h[a:b].T, pi[a:b], out=gi[g])
+    gb[[g for g, _, _ in parts]] = np.add.reduceat(pi, [a for _, a, _ in parts], 0)
     dh = pg @ wg.T
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(len(bg) + 1))
-    for g in np.flatnonzero(np.diff(cuts)):
-        rows = order[cuts[g] : cuts[g + 1]]
-        some = h[rows]
-        pi = np.exp(log_softmax(some @ wi[g] + bi[g]))
-        pi[np.arange(len(rows)), inside[rows]] -= 1
-        pi /= n
-        dh[rows] += pi @ wi[g].T
-        grads[5][g], grads[6][g] = some.T @ pi, pi.sum(0)
+    dh += back
     dh *= 1 - h * h
-    dx = dh @ w1.T
-    cell = (around.reshape(-1, 1) % len(emb) * np.int64(DIM) + np.arange(DIM)).ravel()
-    grads[0] += np.bincount(cell, dx.ravel(), emb.size).reshape(emb.shape)
-    grads[1], grads[2], grads[3], grads[4] = x.T @ dh, dh.sum(0), h.T @ pg, pg.sum(0)
+    dx = (w1 @ dh.T).reshape(2 * REACH, DIM, n)
+    words = around.T.ravel().astype(np.intp) % len(emb)
+    ge = np.stack([np.bincount(words, dx[:, d].ravel(), len(emb)) for d in range(DIM)], 1).astype(np.float32)
+    grads = [ge, x.T @ dh, dh.sum(0), h.T @ pg, pg.sum(0), gi, gb]
     for w, s, g in zip(weights, squares, grads):
         s *= 0.98
-        s += 0.02 * g * g
-        w -= (rate * g / (np.sqrt(s) + 1e-6)).astype(np.float32)
+        s += np.float32(0.02) * g * g
+        w -= np.float32(rate) * g / (np.sqrt(s) + np.float32(1e-6))
 
 
 @dataclass
 class MaskedModel:
     frequent: list[str]
+    side: int
     weights: np.ndarray
 
 
-def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray, number: int) -> np.ndarray:
-    """Weights after each partition has trained on its places, averaged by the number of places."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, flat))
+def coded(docs: DataFrame, frequent: list[str], side: int, own: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, ids (classes of the words), own (the sum of the words' logs in ``own``) and rest (words outside the vocabulary that ``own`` lacks) of every row, stored, with a row number."""
+    names = list(own or {})
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, {w: len(frequent) + i for i, w in enumerate(names)}, np.array([*range(len(frequent)), *(rare_class(w, side) for w in names)], np.int32), np.array([0.0] * len(frequent) + [own[w] for w in names])))
+    given = own is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, start = shared.value
-        classes, mine = Classes(words), start.copy()
-        weights, squares = unpack(mine), [np.zeros_like(w) for w in unpack(start)]
-        seen, kept_t, kept_a, waiting = 0, [], [], 0
+        words, others, classes, logs = shared.value
+        numbers = Numbers(words, side, others)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                target, around = trained_places(column(batch, "text").slice(at, TEXTS).to_pylist(), classes, number)
-                kept_t.append(target)
-                kept_a.append(around)
-                waiting += len(target)
+            ids, total, rest = [], [], []
+            for text in column(batch, "text").to_pylist():
+                tokens = tokens_of(text)
+                found = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
+                open_at = np.flatnonzero(found < 0)
+                known = np.maximum(found, 0)
+                i = classes[known] if len(classes) else known
+                i[open_at] = -1 - found[open_at]
+                ids.append(i)
+                total.append(float(logs[known[found >= 0]].sum()))
+                rest.append([tokens[k] for k in open_at.tolist()] if given else [])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(total, pa.float64()), pa.array(rest, pa.list_(pa.string()))], ["doc_id", "ids", "own", "rest"])
+
+    rows = texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>, own double, rest array<string>")
+    return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "coded")
+
+
+def laid_out(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids and ends of as many texts as hold LAID words, or of one longer text."""
+    lists = column(batch, "ids")
+    every, edges = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    first = 0
+    while first < len(lists):
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + LAID, "right")) - 1)
+        yield every[edges[first] : edges[last]], edges[first + 1 : last + 1] - edges[first]
+        first = last
+
+
+def train_round(texts: DataFrame, side: int, flat: np.ndarray, number: int) -> np.ndarray:
+    """Weights after each partition of ``texts`` (ids) has trained on its places, averaged by the number of places."""
+    shared = texts.sparkSession.sparkContext.broadcast(flat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = shared.value.copy()
+        weights = unpack(mine, side)
+        squares = [np.zeros_like(w) for w in weights]
+        seen, kept, waiting = 0, [], 0
+
+        def work() -> int:
+            t, a = np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept])
+            order = np.random.default_rng(number * 1000 + seen % 997).permutation(len(t))
+            for at in range(0, len(t), STEP):
+                rows = order[at : at + STEP]
+                step(weights, squares, t[rows], a[rows], RATE / (1 + number) / math.sqrt(1 + (seen + at) / 50_000))
+            return len(t)
+
+        for batch in batches:
+            for ids, ends in laid_out(batch):
+                around, owner, place = places_of(ids, ends)
+                chosen = trained(ids, ends, owner, place, number)
+                kept.append((ids[chosen], around[chosen]))
+                waiting += int(chosen.sum())
                 if waiting >= 64 * STEP:
-                    seen += work(weights, squares, kept_t, kept_a, seen)
-                    kept_t, kept_a, waiting = [], [], 0
+                    seen += work()
+                    kept, waiting = [], 0
         if waiting:
-            seen += work(weights, squares, kept_t, kept_a, seen)
+            seen += work()
         if seen:
-            padded = np.zeros(-(-len(mine) // BLOCK) * BLOCK, np.float32)
-            padded[: len(mine)] = mine * np.float32(seen)
-            at = pa.array(np.arange(0, len(padded) + 1, BLOCK, dtype=np.int32))
-            n = len(padded) // BLOCK
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([seen] * n, pa.int64()), pa.ListArray.from_arrays(at, pa.array(padded))], ["block", "n", "w"])
-
-    def work(weights, squares, kept_t, kept_a, seen: int) -> int:
-        t, a = np.concatenate(kept_t), np.concatenate(kept_a)
-        order = np.random.default_rng(number * 1000 + seen % 997).permutation(len(t))
-        for at in range(0, len(t), STEP):
-            rows = order[at : at + STEP]
-            step(weights, squares, t[rows], a[rows], RATE / (1 + number) / math.sqrt(1 + (seen + at) / 50_000))
-        return len(t)
-
-    parts = docs.select("text").mapInArrow(run, "block int, n long, w array<float>")
-    # sums by element where the data is; one row for each block comes to the driver
-    cells = parts.select("block", "n", F.posexplode("w").alias("k", "w")).groupBy("block", "k").agg(F.sum(F.col("w").cast("double")).alias("w"), F.sum("n").alias("n"))
-    rows = cells.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("w") / F.col("n")).alias("w")))).alias("w")).select("block", "w.w").collect()
-    if not rows:
-        return flat
-    out = np.zeros(-(-len(flat) // BLOCK) * BLOCK, np.float32)
-    for r in rows:
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = r.w
-    return out[: len(flat)]
-
-
-def fit_masked(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> MaskedModel:
-    """Vocabulary from all words of ``docs`` (or their ``counts``), weights from every place of every partition, one in ``STRIDE`` in each round."""
-    texts = texts_of(docs)
-    counts = counts or materialise(word_counts(texts), "counts")
-    groups = groups_for(counts.agg(F.sum("n").alias("n")).first().n or 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(groups * IN_GROUP - RARE).collect()
-    frequent, flat = [r.word for r in top], first_weights(groups=groups_of(len(top)))
+            yield table_blocks(np.append(mine * np.float32(seen), np.float32(seen)))
+
+    total = added_up(texts.select("ids").mapInArrow(run, TABLE), texts.rdd.getNumPartitions(), len(flat) + 1)
+    return total[:-1] / total[-1] if total[-1] else flat
+
+
+def vocabulary(counts: DataFrame) -> tuple[list[str], int]:
+    """The words that have an output of their own, and the side of the softmax that holds them and the hashed classes."""
+    side = side_for(counts.agg(F.sum("n").alias("n")).first().n or 0)
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(side * side - RARE).collect()], side
+
+
+def fit_coded(texts: DataFrame, frequent: list[str], side: int, rounds: int = ROUNDS) -> MaskedModel:
+    flat = first_weights(side=side)
     for number in range(rounds):
-        flat = train_round(texts, frequent, flat, number)
-    return MaskedModel(frequent, flat)
+        flat = train_round(texts, side, flat, number)
+    return MaskedModel(frequent, side, flat)
 
 
-def class_scores(docs: DataFrame, model: MaskedModel, own: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, n_tokens, pll of the words' classes, and with ``own`` (logs of words' shares of their classes) those added, and the rest: the words outside the vocabulary that ``own`` lacks."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, own))
+def fit_masked(docs: DataFrame, rounds: int = ROUNDS) -> MaskedModel:
+    """Vocabulary from all words of ``docs``, weights from every place of every partition, one in ``STRIDE`` in each round."""
+    frequent, side = vocabulary(materialise(word_counts(texts_of(docs)), "counts"))
+    return fit_coded(coded(docs, frequent, side), frequent, side, rounds)
+
+
+def class_scores(texts: DataFrame, model: MaskedModel) -> DataFrame:
+    """``texts`` as ``coded`` gives them, without their ids, with n_tokens and pll: the log-probabilities of the words' classes, and ``own``."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value
-        classes, weights = Classes(m.frequent), unpack(m.weights)
+        m = shared.value
+        weights = unpack(m.weights, m.side)
         for batch in batches:
-            tokens = [tokens_of(t) for t in column(batch, "text").to_pylist()]
-            ids = [np.fromiter(map(classes.__getitem__, t), np.int32, len(t)) for t in tokens]
-            target, around, owner = places_of(ids)
-            total = np.bincount(owner, log_probabilities(weights, target, around), len(ids)) if len(target) else np.zeros(len(ids))
-            rest: list[list[str]] = [[] for _ in ids]
-            if known is not None:
-                for k, (t, i) in enumerate(zip(tokens, ids)):
-                    for j in np.flatnonzero(i >= classes.rare).tolist():
-                        share = known.get(t[j])
-                        if share is None:
-                            rest[k].append(t[j])
-                        else:
-                            total[k] += share
-            n = np.array([len(i) for i in ids], np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n), pa.array(total, pa.float64()), pa.array(rest, pa.list_(pa.string()))], ["doc_id", "n_tokens", "pll", "rest"])
-
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, pll double, rest array<string>")
+            n, total = [], []
+            for ids, ends in laid_out(batch):
+                around, owner, _ = places_of(ids, ends)
+                n.append(np.diff(ends, prepend=0))
+                total.append(np.bincount(owner, log_probabilities(weights, ids, around), len(ends)))
+            pll = np.concatenate(total or [np.empty(0)]) + column(batch, "own").to_numpy()
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "row"), pa.array(np.concatenate(n or [np.empty(0, np.int64)]), pa.int64()), pa.array(pll)], ["doc_id", "row", "n_tokens", "pll"])
+
+    return texts.select("doc_id", "row", "ids", "own").mapInArrow(run, "doc_id long, row long, n_tokens long, pll double")
 
 
 def with_mean(rows: DataFrame) -> DataFrame:
@@ -319,7 +352,7 @@ def with_mean(rows: DataFrame) -> DataFrame:
 
 def score_masked(docs: DataFrame, model: MaskedModel) -> DataFrame:
     """doc_id, n_tokens, pll (the summed log-probabilities of the words' classes) and mean_pll of every row; no words give 0, 0.0 and null."""
-    return with_mean(class_scores(docs, model))
+    return with_mean(class_scores(coded(docs, model.frequent, model.side), model))
 
 
 def class_shares(counts: DataFrame, frequent: list[str]) -> DataFrame:
@@ -331,22 +364,23 @@ def class_shares(counts: DataFrame, frequent: list[str]) -> DataFrame:
     return outside.join(F.broadcast(totals), "class").select("word", "n", F.log(F.col("n") / F.col("total")).alias("share"))
 
 
-def score_words(docs: DataFrame, model: MaskedModel, counts: DataFrame) -> DataFrame:
-    """As ``score_masked``, but of the words themselves: a word outside the vocabulary also pays for the choice of it within its class.
+def fit_and_score(docs: DataFrame, rounds: int = ROUNDS) -> tuple[MaskedModel, DataFrame]:
+    """A model of all of ``docs``, and as ``score_masked`` their scores, but of the words themselves: a word outside the vocabulary also pays for the choice of it within its class.
 
-    ``counts`` are those of ``docs``. The shares of the most frequent such words are
-    broadcast, at most ``SHIPPED``; all others meet their shares in a join.
+    The shares of the most frequent such words are broadcast, at most ``SHIPPED``;
+    all others meet their shares in a join.
     """
-    shares = materialise(class_shares(counts, model.frequent), "shares")
+    counts = materialise(word_counts(texts_of(docs)), "counts")
+    frequent, side = vocabulary(counts)
+    shares = materialise(class_shares(counts, frequent), "shares")
     own = {r.word: r.share for r in shares.orderBy(F.desc("n"), "word").limit(SHIPPED).collect()}
-    rows = materialise(class_scores(docs, model, own).withColumn("row", F.monotonically_increasing_id()), "scored")
-    words = rows.select("row", F.explode("rest").alias("word"))
+    texts = coded(docs, frequent, side, own)
+    model = fit_coded(texts, frequent, side, rounds)
+    words = texts.select("row", F.explode("rest").alias("word"))
     added = words.join(shares.select("word", "share"), "word").groupBy("row").agg(F.sum("share").alias("added"))
-    return with_mean(rows.drop("rest").join(added, "row", "left").withColumn("pll", F.col("pll") + F.coalesce("added", F.lit(0.0))))
+    return model, with_mean(class_scores(texts, model).join(added, "row", "left").withColumn("pll", F.col("pll") + F.coalesce("added", F.lit(0.0))))
 
 
 def op4_masked_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pseudo-log-likelihood of every document under a model of all documents."""
-    docs = documents(spark, sf_dir)
-    counts = materialise(word_counts(docs), "counts")
-    return score_words(docs, fit_masked(docs, counts=counts), counts)
+    return fit_and_score(documents(spark, sf_dir))[1]

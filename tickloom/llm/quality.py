@@ -19,17 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import column, documents, held_out, texts_of
+from tickloom.llm.common import TABLE, added_up, column, documents, held_out, table_blocks, texts_of
 from tickloom.session import read_table
 
-#: Rows of the word table (words are hashed), length of a vector, entries of an index vector that aren't 0.
+#: Rows of the word table (words are hashed, so rare ones share rows), length of a vector, entries of an index vector that aren't 0.
 WORDS, DIM, NONZERO = 1 << 14, 64, 4
 #: Most labelled rows that the network is trained on (the bound of the sample), and its hidden units.
 SAMPLE, HIDDEN = 20_000, 32
-#: Partial tables that one task adds up.
-FAN = 32
-#: Rows of the table in one block of a partial table.
-BLOCK = 256
 #: Tokens whose vectors are held at a time.
 CHUNK = 65_536
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -48,7 +44,7 @@ class Slots(dict):
         elif token[0].isdigit():
             slot = NUMBER
         else:
-            slot = 16 + zlib.crc32(token[:24].lower().encode("utf-8", "replace")) % (WORDS - 16)
+            slot = 16 + zlib.crc32(token.lower().encode("utf-8", "replace")) % (WORDS - 16)
         self[token] = slot
         return slot
 
@@ -88,30 +84,9 @@ def context_sums(docs: DataFrame) -> np.ndarray:
                     cell = (centre[:, None] * DIM + place[other]).ravel()
                     total += np.bincount(cell, sign[other].ravel(), WORDS * DIM)
         if any_rows:
-            yield blocks(total.reshape(-1, BLOCK * DIM))
-
-    def blocks(table: np.ndarray) -> pa.RecordBatch:
-        part = zlib.crc32(table[0].tobytes())  # deals partial tables to the tasks that add them
-        flat = pa.array(table.astype(np.float32).ravel())
-        at = pa.array(np.arange(0, table.size + 1, BLOCK * DIM, dtype=np.int32))
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(table), pa.int64()), pa.array(range(len(table)), pa.int32()), pa.ListArray.from_arrays(at, flat)], ["part", "block", "sums"])
-
-    def add(key: tuple, group: pa.Table) -> pa.Table:
-        flat = group["sums"].combine_chunks().flatten().to_numpy().reshape(-1, BLOCK * DIM)
-        total = flat.sum(0, dtype=np.float64).astype(np.float32)
-        part = pa.array([zlib.crc32(total.tobytes())], pa.int64())
-        return pa.table([part, group["block"][:1].combine_chunks(), pa.array([total], pa.list_(pa.float32()))], ["part", "block", "sums"])
-
-    schema = "part long, block int, sums array<float>"
-    partial, left = docs.mapInArrow(run, schema), docs.rdd.getNumPartitions()
-    while left > FAN:
-        left = -(-left // FAN)
-        partial = partial.groupBy("block", F.pmod("part", F.lit(left)).alias("to")).applyInArrow(add, schema)
-    rows = partial.groupBy("block", F.lit(0).alias("to")).applyInArrow(add, schema).select("block", "sums").collect()
-    table = np.zeros((WORDS // BLOCK, BLOCK * DIM), np.float32)
-    for r in rows:
-        table[r.block] = r.sums
-    return table.reshape(WORDS, DIM)
+            yield table_blocks(total)
+
+    return added_up(docs.mapInArrow(run, TABLE), docs.rdd.getNumPartitions(), WORDS * DIM).reshape(WORDS, DIM)
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tickloom.llm import quality, toxicity
+from tickloom.llm import common, quality, toxicity
 
 
 def auc(score, label):
@@ -66,7 +66,7 @@ def test_pooling_equals_plain_means():
 def test_context_sums_in_levels(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"w{i % 7} x y w{i % 3}") for i in range(200)], "doc_id long, text string").repartition(8)
     want = quality.context_sums(docs)
-    monkeypatch.setattr(quality, "FAN", 2)
+    monkeypatch.setattr(common, "FAN", 2)
     assert np.allclose(want, quality.context_sums(docs))
 
 
@@ -91,3 +91,54 @@ def test_long_spaced_runs_are_read_whole(reading):
     assert "".join(text.split()) in toxicity.words_of(text, reading) and "idiot" in toxicity.words_of(text, reading)
     assert toxicity.words_of("x.y.z.com is a-b test", reading)[0] == "x.y.z.com"
     assert len(reading["ab1" * 100_000]) > 0
+
+
+def test_lattice_equals_every_path():
+    """The restored word is the best of all readings, scored one by one."""
+    import itertools
+
+    rng = np.random.default_rng(2)
+    model = toxicity.CharModel(rng.integers(0, 50, toxicity.LETTERS**3))
+
+    def readings(token):
+        each = []
+        for k, c in enumerate(token):
+            letter = "a" <= c <= "z"
+            options = [(c, 0.0)] if letter else [(x, toxicity.SIGN) for x in toxicity.LEET.get(c, "")]
+            if not letter:
+                options.append(("", toxicity.SEPARATOR if c not in toxicity.LEET else toxicity.DIGIT if c.isdigit() else toxicity.STRAY))
+            elif k and token[k - 1] == c:
+                options.append(("", toxicity.REPEAT))
+            each.append(options)
+        for path in itertools.product(*each):
+            word = "".join(x for x, _ in path)
+            codes = [0, 0, *(ord(x) - 96 for x in word), 0]
+            yield sum(cost for _, cost in path) + sum(model.logp[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:])), word
+
+    for token in ["a", "1", "b0b", "aab", "$$1t", "i_d1", "1|1|", "xx--xx", "h3ll0", "zz", "4_4"]:
+        assert model.restore(token) == max(readings(token))[1], token
+
+
+def test_long_tokens_are_read_whole(spark):
+    codes = toxicity.letter_codes()[np.frombuffer(b"  stupid  abababstupid  qqqqstupid" * 50, np.uint8)]
+    counts = np.bincount((codes[:-2] * 27 + codes[1:-1]) * 27 + codes[2:], minlength=27**3)
+    restored = toxicity.Restored(toxicity.CharModel(counts))
+    for token in ("q" * 200 + "$tup1d", "ab" * 100 + "$tup1d"):
+        assert any(w.endswith("stupid") for w in restored[token])
+    slots = quality.Slots()
+    assert slots["a" * 200 + "x"] != slots["a" * 200 + "y"]
+
+
+def test_context_sums_equal_loops(spark):
+    texts = ["one two three two", "", None, "one", "two one, TWO 7 7 " + "long" * 60]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    place, sign = quality.index_vectors()
+    want, slots = np.zeros((quality.WORDS, quality.DIM)), quality.Slots()
+    for t in texts:
+        rows = [slots[w] for w in quality.TOKEN.findall(t or "")]
+        for i, r in enumerate(rows):
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(rows):
+                    for p, s in zip(place[rows[j]], sign[rows[j]]):
+                        want[r, p] += s
+    assert np.abs(quality.context_sums(quality.texts_of(docs)) - want).max() < 1e-6

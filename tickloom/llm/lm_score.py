@@ -308,10 +308,24 @@ def train_round(texts: DataFrame, side: int, flat: np.ndarray, number: int) -> n
     return total[:-1] / total[-1] if total[-1] else flat
 
 
+def level_of(n="n"):
+    """Counts on a scale of 16 steps for each doubling."""
+    return F.floor(F.log2(F.col(n)) * 16).cast("int")
+
+
+def levels(counts: DataFrame) -> list[tuple[int, int]]:
+    """level and how many words have such a count or a higher one, highest level first (about 1000 at most)."""
+    found = sorted(((r.level, r.words) for r in counts.groupBy(level_of().alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    return [(level, sum(w for _, w in found[: i + 1])) for i, (level, _) in enumerate(found)]
+
+
 def vocabulary(counts: DataFrame) -> tuple[list[str], int]:
     """The words that have an output of their own, and the side of the softmax that holds them and the hashed classes."""
     side = side_for(counts.agg(F.sum("n").alias("n")).first().n or 0)
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(side * side - RARE).collect()], side
+    most = side * side - RARE
+    # words below the level at which there are enough never leave their tasks
+    enough = next((level for level, upto in levels(counts) if upto >= most), 0)
+    return [r.word for r in counts.filter(level_of() >= enough).orderBy(F.desc("n"), "word").limit(most).collect()], side
 
 
 def fit_coded(texts: DataFrame, frequent: list[str], side: int, rounds: int = ROUNDS) -> MaskedModel:
@@ -367,13 +381,14 @@ def class_shares(counts: DataFrame, frequent: list[str]) -> DataFrame:
 def fit_and_score(docs: DataFrame, rounds: int = ROUNDS) -> tuple[MaskedModel, DataFrame]:
     """A model of all of ``docs``, and as ``score_masked`` their scores, but of the words themselves: a word outside the vocabulary also pays for the choice of it within its class.
 
-    The shares of the most frequent such words are broadcast, at most ``SHIPPED``;
-    all others meet their shares in a join.
+    The shares of the most frequent such words are broadcast, whole levels of
+    counts and at most ``SHIPPED`` words; all others meet their shares in a join.
     """
     counts = materialise(word_counts(texts_of(docs)), "counts")
     frequent, side = vocabulary(counts)
     shares = materialise(class_shares(counts, frequent), "shares")
-    own = {r.word: r.share for r in shares.orderBy(F.desc("n"), "word").limit(SHIPPED).collect()}
+    least = min((level for level, upto in levels(shares) if upto <= SHIPPED), default=1 << 20)
+    own = {r.word: r.share for r in shares.filter(level_of() >= least).collect()}
     texts = coded(docs, frequent, side, own)
     model = fit_coded(texts, frequent, side, rounds)
     words = texts.select("row", F.explode("rest").alias("word"))

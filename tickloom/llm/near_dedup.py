@@ -30,8 +30,6 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Bands and components in a band: texts at the threshold share a band but for 3 in a million.
 BANDS, IN_BAND = 32, 5
 M = BANDS * IN_BAND
-#: One bit of each component: most that may differ between texts at the threshold (five standard deviations).
-SKETCH_BITS = 35
 #: Far below one element and above the rounding of doubles: bounds on counts are never missed by rounding.
 SLACK = 1e-6
 #: Shingles whose points are drawn at a time.
@@ -126,7 +124,7 @@ def bag_digest(bag: tuple[np.ndarray, np.ndarray]) -> str:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the bag, its weight, a hash for each band, and the three words of the sketch, for every row."""
+    """doc_id, digest of the bag, its weight, and a hash for each band, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -143,14 +141,11 @@ def signed(docs: DataFrame) -> DataFrame:
             band = np.zeros((len(bags), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64) * G2
             for j in range(IN_BAND):
                 band = mix(band * G1 + sig[:, j::IN_BAND])
-            bits = np.zeros((len(bags), 192), np.uint8)
-            bits[:, :M] = mix(sig) & np.uint64(1)
-            sketch = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, BANDS, dtype=np.int32)), pa.array(band.view(np.int64).ravel()))
-            cols = [column(batch, "doc_id"), pa.array([bag_digest(b) for b in bags], pa.string()), pa.array([int(b[1].sum()) for b in bags], pa.int64()), flat, *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(3)]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "weight", "bands", "s0", "s1", "s2"])
+            cols = [column(batch, "doc_id"), pa.array([bag_digest(b) for b in bags], pa.string()), pa.array([int(b[1].sum()) for b in bags], pa.int64()), flat]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "weight", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, digest string, weight long, bands array<long>, s0 long, s1 long, s2 long")
+    return docs.mapInArrow(run, "doc_id long, digest string, weight long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -193,19 +188,16 @@ def prefix_pairs(open_nodes: DataFrame, texts: DataFrame, threshold: float) -> D
     enough share one of their first few, rarest elements, and from the ranks of
     the first shared one follows how much they can still share. Pairs that
     can't reach the threshold by ranks or sizes never leave the join, and one
-    side of each pair is outside the main component of a bucket. Pairs whose
-    sketches differ in more than SKETCH_BITS are left out too, which loses about
-    3 in a million at similarity 0.8 and fewer above.
+    side of each pair is outside the main component of a bucket.
     """
     flat = elements_of(texts.join(open_nodes.select("node"), "node", "left_semi"))
     held = flat.groupBy("element").agg(F.count(F.lit(1)).alias("held"))
     rank = F.row_number().over(W.partitionBy("node").orderBy("held", "element"))
     first = flat.join(held, "element").withColumn("rank", rank).join(open_nodes, "node")
     first = materialise(first.filter((F.col("held") > 1) & (F.col("rank") <= F.col("weight") - F.ceil(F.col("weight") * threshold - SLACK) + 1)), "prefixes")
-    facts = ("node", "component", "minor", "weight", "rank", "s0", "s1", "s2")
+    facts = ("node", "component", "minor", "weight", "rank")
     side = lambda d, p: d.select("element", *[F.col(c).alias(f"{p}_{c}") for c in facts])
     left, right = side(first.filter("minor"), "l"), side(first, "r")
-    apart = sum((F.bit_count(F.col(f"l_{s}").bitwiseXOR(F.col(f"r_{s}"))) for s in ("s0", "s1", "s2")), F.lit(0))
     rest = 1 + F.least(F.col("l_weight") - F.col("l_rank"), F.col("r_weight") - F.col("r_rank"))
     near = (
         (left["element"] == right["element"])
@@ -213,7 +205,6 @@ def prefix_pairs(open_nodes: DataFrame, texts: DataFrame, threshold: float) -> D
         & (~F.col("r_minor") | (F.col("l_node") < F.col("r_node")))
         & (F.least("l_weight", "r_weight") + SLACK >= threshold * F.greatest("l_weight", "r_weight"))
         & (rest * (1 + threshold) + SLACK >= threshold * (F.col("l_weight") + F.col("r_weight")))
-        & (apart <= SKETCH_BITS)
     )
     return left.join(right, near).select(F.col("r_node").alias("a"), F.col("l_node").alias("b")).distinct()
 
@@ -226,7 +217,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     a band all nodes are first compared with one of them, the one that shares
     most buckets with others. Where members of a bucket don't end in one
     component, links between components are looked for by a prefix join, which
-    loses none but by its sketches (about 3 in a million at similarity 0.8). So the order of comparisons doesn't matter, and a large class
+    loses none. So the order of comparisons doesn't matter, and a large class
     costs one comparison for each member and bucket.
     Empty texts are one class. Rows that share a doc_id count as one document.
     A null id takes the class of an equal text, or null.
@@ -235,7 +226,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = texts_of(docs)
     sig = materialise(signed(rows), "signed")
     first = lambda *names: [F.first(n).alias(n) for n in names]
-    nodes = materialise(sig.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), *first("weight", "bands", "s0", "s1", "s2")), "nodes")
+    nodes = materialise(sig.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), *first("weight", "bands")), "nodes")
     buckets = nodes.filter("weight > 0").select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(buckets.join(shared, "bucket"), "buckets")
@@ -250,7 +241,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     per = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
     mixed = per.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).filter("components > 1")
     minor = own.join(mixed.select("bucket", "main"), "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("main")).alias("minor"))
-    open_nodes = materialise(minor.join(nodes.select("node", "weight", "s0", "s1", "s2"), "node"), "open")
+    open_nodes = materialise(minor.join(nodes.select("node", "weight"), "node"), "open")
     if not open_nodes.isEmpty():
         known = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = prefix_pairs(open_nodes, texts, threshold).join(known, ["a", "b"], "left_anti")
@@ -258,7 +249,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if not more.isEmpty():
             found = connected_components(links.union(more), "a", "b")
     classes = nodes.select("digest", "node").join(found, "node", "left").groupBy("digest").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
-    return sig.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", "class_id")
+    # stored, so that the join deals both sides out itself and can split a digest that many rows have
+    return sig.select("doc_id", "digest").join(materialise(classes, "classes"), "digest", "left").select("doc_id", "class_id")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

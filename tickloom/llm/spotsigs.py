@@ -24,6 +24,8 @@ ANCHORS = (
     "el los las que del una por con para no su al lo como más pero sus ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde desde todo nos durante todos uno les ni contra otros ese eso"
 ).split()
 CHAIN = 3
+#: Most ranges of ids.
+MOST_RANGES = 20_000
 
 
 def signatures(text: Column) -> Column:
@@ -96,9 +98,10 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
     the same id follow each other in the order of their first carried column.
     Rows are dealt by ranges of ids with boundaries that are ids of the table, so
     a copy of each boundary row in the range before it is all that neighbours need.
+    There are as many ranges as the table has splits, and at most MOST_RANGES.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10000)
+    parts = max(1, min(docs.rdd.getNumPartitions(), MOST_RANGES))
+    quantiles = F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], max(10_000, 10 * parts))
     found = docs.agg(quantiles.alias("q"), F.min("doc_id").alias("low")).first()
     bounds, low = sorted(set(found["q"] or [])), found["low"]
     last = F.lit(len(bounds))
@@ -114,6 +117,7 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
         )
     )
     dealt = docs.withColumn("p", F.explode(places)).select(*docs.columns, "p.part", "p.ghost", "p.wrap")
+    dealt = dealt.repartitionById(len(bounds) + 1, "part")  # a range for each task; a hash of so few numbers would pair some up
     w = W.partitionBy("part").orderBy("wrap", F.asc_nulls_last("doc_id"), carried[0])
     return dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried]).filter(~F.col("ghost")).drop("part", "ghost", "wrap")
 

@@ -34,8 +34,8 @@ LEET = {
 SIGN, DIGIT, STRAY, SEPARATOR, REPEAT, PLAIN = -1.5, -14.0, -4.0, -1.0, -1.0, -6.0
 #: The readings of longer tokens are not kept for the next time they come.
 LONGEST = 200
-#: Most words in the lexicon, and the evidence that a word needs.
-LEXICON, LEAST_Z, LEAST_DOCS = 2000, 4.0, 3
+#: The evidence that a word of the lexicon needs.
+LEAST_Z, LEAST_DOCS = 4.0, 3
 LETTERS = 27
 # Letters or signs one by one, with runs of separators between them; punctuation may stand around them.
 ONE = r"(?:[^\W_]|[@$!|+])(?![^\W_])"
@@ -211,8 +211,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Tox
     z = (F.col("toxic") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
     found = (
         sample.mapInArrow(spread, "word string, toxic long, n long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-        .filter((z >= LEAST_Z) & (F.col("toxic") >= LEAST_DOCS)).orderBy(z.desc(), "word").limit(LEXICON).collect()
-    )
+        .filter((z >= LEAST_Z) & (F.col("toxic") >= LEAST_DOCS)).collect()
+    )  # fmt: skip  # words of the sample only
     lexicon = {r.word: float(np.log((r.toxic + 0.5) / (r.n - r.toxic + 0.5)) - np.log(base / (1 - base))) for r in found}
     words = spark.sparkContext.broadcast(lexicon)
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -47,15 +52,40 @@ def verified_overlaps(windows: DataFrame, record: str) -> DataFrame:
     return pairs.select(F.col(f"l.{record}").alias("a"), F.col(record).alias("b")).distinct()
 
 
-def nearest_other(vectors: DataFrame, id_col: str, group: str, vector: str, queries: DataFrame, block: int = 256) -> DataFrame:
+#: Bytes of query vectors that one broadcast may hold.
+BROADCAST_BYTES = 64 << 20
+
+
+def nearest_other(vectors: DataFrame, id_col: str, group: str, vector: str, queries: DataFrame) -> DataFrame:
     """query, nearest and distance: for each of ``queries`` (a stated set) the nearest vector of another group.
 
-    Euclidean; ties take the smaller id. Each vector meets each block of queries
-    once (an equi join on the block), and partial minima meet by query.
+    Euclidean; ties take the smaller id. Queries are cut into blocks of at most
+    BROADCAST_BYTES and each block is broadcast to all vectors, which keep the
+    best per query where they are: one row for each query and Arrow batch of
+    vectors goes on, never one for each pair.
     """
-    parts = max(1, -(-queries.count() // block))
-    asked = queries.select(F.struct(F.col(id_col).alias("q"), F.col(group).alias("g"), F.col(vector).alias("v")).alias("s"))
-    blocks = asked.groupBy(F.pmod(F.xxhash64("s.q"), F.lit(parts)).cast("int").alias("b")).agg(F.collect_list("s").alias("asked"))
-    d = lambda s: F.sqrt(F.aggregate(F.zip_with(s["v"], F.col(vector), lambda x, y: (x - y).cast("double") * (x - y)), F.lit(0.0), lambda t, z: t + z))
-    pairs = vectors.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(blocks, "b").select(id_col, F.explode(F.transform(F.filter("asked", lambda s: s["g"] != F.col(group)), lambda s: F.struct(s["q"].alias("query"), d(s).alias("distance")))).alias("p"))
-    return pairs.groupBy(F.col("p.query").alias("query")).agg(F.min_by(id_col, F.struct("p.distance", id_col)).alias("nearest"), F.min("p.distance").alias("distance"))
+    asked = queries.select(F.col(id_col).cast("long").alias("q"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    blocks = max(1, -(-size.n * 8 * (size.width or 1) // BROADCAST_BYTES))
+    rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"))
+    found = []
+    for block in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).toPandas()
+        shared = vectors.sparkSession.sparkContext.broadcast((some["q"].to_numpy(), some["g"].to_numpy(), np.stack([np.asarray(v, float) for v in some["v"]]) if len(some) else np.empty((0, size.width or 1))))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            q, g, x = shared.value
+            for pdf in batches:
+                if not len(pdf) or not len(q):
+                    continue
+                pdf = pdf.sort_values("i")
+                y = np.stack([np.asarray(v, float) for v in pdf["v"]])
+                for at in range(0, len(q), 256):
+                    d = np.sqrt(((x[at : at + 256, None, :] - y[None, :, :]) ** 2).sum(-1)) if len(y) * y.shape[1] < 1 << 16 else np.stack([np.sqrt(((y - r) ** 2).sum(1)) for r in x[at : at + 256]])
+                    d[g[at : at + 256, None] == pdf["g"].to_numpy()[None, :]] = np.inf
+                    best = d.argmin(1)
+                    least = d[np.arange(len(d)), best]
+                    yield pd.DataFrame({"query": q[at : at + 256], "nearest": pdf["i"].to_numpy()[best], "distance": least})[np.isfinite(least)]
+
+        found.append(rows.mapInPandas(run, "query long, nearest long, distance double"))
+    return reduce(DataFrame.unionAll, found).groupBy("query").agg(F.min_by("nearest", F.struct("distance", "nearest")).alias("nearest"), F.min("distance").alias("distance"))

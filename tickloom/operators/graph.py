@@ -43,8 +43,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
 def bucket_edges(rows: DataFrame, node: str, bucket: str) -> DataFrame:
     """A star for each bucket: its smallest node linked to every other member (src, dst), one row per member."""
-    low = F.min(node).over(W.partitionBy(bucket))
-    return rows.filter(F.col(bucket).isNotNull()).select(low.alias("src"), F.col(node).alias("dst")).distinct()
+    known = rows.filter(F.col(bucket).isNotNull()).select(bucket, F.col(node).alias("dst"))
+    # stored, so that the join deals both sides out itself and can split a bucket that many nodes share
+    low = materialise(known.groupBy(bucket).agg(F.min("dst").alias("src")), "stars")
+    return known.join(low, bucket).select("src", "dst").distinct()
 
 
 def conflicting_components(labelled: DataFrame, component: str = "component", label: str = "label") -> DataFrame:

@@ -50,3 +50,79 @@ def constant_records(rows: DataFrame, key: list[str], channels: list[str], least
     """Keys of which no channel varies by ``least`` or more."""
     span = F.greatest(*[F.max(c) - F.min(c) for c in channels]) if len(channels) > 1 else F.max(channels[0]) - F.min(channels[0])
     return rows.groupBy(*key).agg(span.alias("_span")).filter(F.col("_span") < least).drop("_span")
+
+
+def frequencies(rows: DataFrame, key: list[str], x: str) -> DataFrame:
+    """How often each value of x occurs for each key."""
+    return rows.groupBy(*key, x).agg(F.count(F.lit(1)).alias("n"))
+
+
+def modal(rows: DataFrame, key: list[str], x: str) -> DataFrame:
+    """The most frequent value of x of each key (ties: the smallest) and how often it occurs."""
+    return frequencies(rows, key, x).groupBy(*key).agg(F.min_by(x, F.struct(-F.col("n"), F.col(x))).alias("modal"), F.max("n").alias("n"))
+
+
+def percentile_report(rows: DataFrame, key: list[str], x: str) -> DataFrame:
+    """p50, p90, p99 and the largest value of x for each key."""
+    return rows.groupBy(*key).agg(*[F.percentile(x, F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 99)], F.max(x).alias("largest"))
+
+
+def people_per_value(rows: DataFrame, value: str, person: str) -> DataFrame:
+    """Each value with the number of different people that have it."""
+    return rows.groupBy(value).agg(F.countDistinct(person).alias("people"))
+
+
+def binary_valued(rows: DataFrame, key: list[str], x: str) -> DataFrame:
+    """Whether x is 0 or 1 in all rows of a key (a null is neither)."""
+    return rows.groupBy(*key).agg(F.bool_and(F.coalesce(F.col(x).isin(0, 1), F.lit(False))).alias("binary"))
+
+
+def key_parity(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many keys only one of two tables has. Tables that are joined by position elsewhere must give 0 and 0."""
+    a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return one(a.join(b, keys, "left_anti"), "only_left").crossJoin(F.broadcast(one(b.join(a, keys, "left_anti"), "only_right")))  # one row each
+
+
+def mapped(rows: DataFrame, x: str, groups: dict[str, str], name: str = "group") -> DataFrame:
+    """``rows`` with the group that a fixed table gives to x, null where it has none."""
+    table = F.create_map(*[F.lit(v) for pair in groups.items() for v in pair])
+    return rows.withColumn(name, F.try_element_at(table, F.col(x)))
+
+
+def unmapped(rows: DataFrame, x: str, groups: dict[str, str]) -> DataFrame:
+    """Values of x that the table lacks and how many rows have them: no row where the table covers all."""
+    return mapped(rows, x, groups, "_g").filter("_g is null").groupBy(x).agg(F.count(F.lit(1)).alias("n"))
+
+
+def tick_faults(events: DataFrame, tick: str, duration: str | None = None) -> DataFrame:
+    """``events`` with fault: null, or what is wrong with a row's tick or duration. Ticks must be whole and finite, durations finite and not below 0."""
+    t = F.col(tick).cast("double")
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    fault = F.when(~F.coalesce(finite(t), F.lit(False)), "nonfinite tick").when(t != F.floor(t), "noninteger tick")
+    if duration:
+        d = F.col(duration).cast("double")
+        fault = fault.when(~F.coalesce(finite(d), F.lit(False)), "nonfinite duration").when(d < 0, "negative duration")
+    return events.withColumn("fault", fault)
+
+
+def tick_rate_fault(headers: DataFrame, rate: float = 64.0, tolerance: float = 0.01) -> DataFrame:
+    """``headers`` with fault: null where every hint says ``rate``, else why not.
+
+    Hints: tickrate, tick_rate, tick_rate_hz; 1 / tick_interval; playback_ticks / playback_time.
+    A hint that is null says nothing, but one must be there. Columns that lack count as null.
+    """
+    has = lambda c: F.col(c).cast("double") if c in headers.columns else F.lit(None).cast("double")
+    hints = [*map(has, ("tickrate", "tick_rate", "tick_rate_hz")), F.try_divide(F.lit(1.0), has("tick_interval")), F.when(has("playback_ticks").isNotNull(), F.try_divide(has("playback_ticks"), has("playback_time")))]
+    known = F.array_compact(F.array(*hints))
+    bad = lambda c: F.coalesce(F.isnan(has(c)) | (has(c) <= 0) | (has(c) == float("inf")), F.lit(False))
+    off = F.exists(known, lambda h: F.isnan(h) | (F.abs(h - F.lit(rate)) > F.lit(tolerance)))
+    fault = F.when(bad("tick_interval"), "invalid tick interval").when(bad("playback_time") & has("playback_ticks").isNotNull(), "invalid playback duration").when(F.size(known) == 0, "no timing").when(off, "unsupported tick rate")
+    return headers.withColumn("fault", fault)
+
+
+def local_alias(rows: DataFrame, match: list[str], player: str, prefix: str = "Player_") -> DataFrame:
+    """``rows`` with alias: the prefix and the rank of the player's id within the match."""
+    names = rows.select(*match, player).distinct()
+    ranked = names.withColumn("alias", F.concat(F.lit(prefix), F.row_number().over(W.partitionBy(*match).orderBy(player)).cast("string")))
+    return rows.join(ranked, [*match, player])

@@ -7,18 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Slices of scores that running sums go over.
+BUCKETS = 1024
+
+
 def steps(scores: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "score", weight: Column | None = None) -> DataFrame:
     """One row for each distinct score (of each ``by``): pos and neg at it, tp and fp at or above it, and the totals.
 
-    Rows collapse to distinct scores before any window; a window without ``by``
-    then runs over them alone.
+    Rows collapse to distinct scores first. A running sum goes over a bucket of
+    scores at a time (BUCKETS equal slices between the lowest and the highest),
+    and what lies in the buckets above comes from one row for each bucket.
     """
     by = by or []
     w = weight if weight is not None else F.lit(1.0)
     s = scores.groupBy(*by, F.col(score).alias("score")).agg(F.sum(w * F.col(label)).alias("pos"), F.sum(w * (1 - F.col(label))).alias("neg"))
-    down = W.partitionBy(*by).orderBy(F.desc("score"))
-    run, every = down.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
-    return s.withColumns({"tp": F.sum("pos").over(run), "fp": F.sum("neg").over(run), "all_pos": F.sum("pos").over(every), "all_neg": F.sum("neg").over(every)})
+    ends = scores.groupBy(*by).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    ends = s.join(ends, by) if by else s.crossJoin(F.broadcast(ends))  # one row without ``by``
+    slot = F.floor(F.try_divide(F.col("score") - F.col("_low"), F.col("_high") - F.col("_low")) * BUCKETS)
+    s = ends.withColumn("_b", F.coalesce(slot, F.lit(0)).cast("int")).drop("_low", "_high")
+    per = s.groupBy(*by, "_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    above, every = W.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*by)
+    per = per.select(*by, "_b", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"{c}_above") for c in ("_p", "_n")], F.sum("_p").over(every).alias("all_pos"), F.sum("_n").over(every).alias("all_neg"))
+    run = W.partitionBy(*by, "_b").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    s = s.withColumns({"tp": F.sum("pos").over(run), "fp": F.sum("neg").over(run)}).join(per, [*by, "_b"])
+    return s.select(*by, "score", "pos", "neg", (F.col("tp") + F.col("_p_above")).alias("tp"), (F.col("fp") + F.col("_n_above")).alias("fp"), "all_pos", "all_neg")
 
 
 def auc(scores: DataFrame, by: list[str] | None = None, weight: Column | None = None, **names: str) -> DataFrame:
@@ -47,9 +59,8 @@ def fpr_at_recall(scores: DataFrame, least: float, **names: str) -> DataFrame:
 def partial_auc(scores: DataFrame, most: float, **names: str) -> DataFrame:
     """Area up to a false-positive rate of ``most``, standardised so that chance is 0.5 and perfection 1."""
     s = steps(scores, **names)
-    up = W.partitionBy().orderBy(F.desc("score"))
     x1, y1 = F.col("fp") / F.col("all_neg"), F.col("tp") / F.col("all_pos")
-    x0, y0 = F.coalesce(F.lag(x1).over(up), F.lit(0.0)), F.coalesce(F.lag(y1).over(up), F.lit(0.0))
+    x0, y0 = (F.col("fp") - F.col("neg")) / F.col("all_neg"), (F.col("tp") - F.col("pos")) / F.col("all_pos")
     c = s.withColumns({"x0": x0, "y0": y0, "x1": x1, "y1": y1}).withColumn("xe", F.least("x1", F.lit(most))).filter((F.col("x0") < most) & (F.col("x1") > F.col("x0")))
     ye = F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("xe") - F.col("x0")) / (F.col("x1") - F.col("x0"))
     low, high = most * most / 2, most
@@ -79,10 +90,8 @@ def best_threshold(scores: DataFrame, metric: str = "accuracy", **names: str) ->
 
 def fpr_cap(scores: DataFrame, share: float, label: str = "label", score: str = "score") -> DataFrame:
     """The (floor(share * n) + 1)-th largest negative score: flag what is strictly above it."""
-    neg = scores.filter(F.col(label) == 0).groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    down = W.partitionBy().orderBy(F.desc("score"))
-    c = neg.withColumns({"upto": F.sum("n").over(down.rowsBetween(W.unboundedPreceding, 0)), "all": F.sum("n").over(W.partitionBy())})
-    return c.filter(F.col("upto") >= F.floor(F.lit(share) * F.col("all")) + 1).agg(F.max("score").alias("above"))
+    s = steps(scores, label=label, score=score).filter("neg > 0")
+    return s.filter(F.col("fp") >= F.floor(F.lit(share) * F.col("all_neg")) + 1).agg(F.max("score").alias("above"))
 
 
 def precision_threshold(scores: DataFrame, least: float, **names: str) -> DataFrame:

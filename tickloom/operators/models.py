@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from tickloom.functions.geometry import blend, logit
 from tickloom.operators.metrics import auc
-from tickloom.operators.resample import portable_hash
+from tickloom.operators.resample import numbered, portable_hash
 
 
 def fit_baseline(rows: DataFrame, features: list[str], label: str, kind: str = "logistic", categories: list[str] | None = None, seed: int = 7) -> PipelineModel:
@@ -79,8 +79,9 @@ def bag_sample(rows: DataFrame, key: list[str], row_id: str, most: int, seed: st
 
 def balanced_draws(rows: DataFrame, label: str, row_id: str, n: int, seed: str) -> DataFrame:
     """n draws with replacement, half of each label: row_id and times. Draws are numbers that meet ranked rows."""
-    ranked = rows.select(row_id, label, (F.row_number().over(W.partitionBy(label).orderBy(row_id)) - 1).alias("_i"), F.count(F.lit(1)).over(W.partitionBy(label)).alias("_n"))
-    size = ranked.groupBy(label).agg(F.max("_n").alias("_n"))
+    line = numbered(rows.select(row_id, label), [label, row_id])
+    size = line.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min("no").alias("_first"))
+    ranked = line.join(F.broadcast(size), label).withColumn("_i", F.col("no") - F.col("_first"))  # a row for each label
     draws = size.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(max(n // 2 - 1, 0))))).select(label, F.pmod(portable_hash(F.lit(seed), F.col(label), F.col("_d")), F.col("_n")).alias("_i"))
     return ranked.join(draws.groupBy(label, "_i").agg(F.count(F.lit(1)).alias("times")), [label, "_i"]).select(row_id, label, "times")
 

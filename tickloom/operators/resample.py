@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tickloom.operators.metrics import auc
+from tickloom.session import materialise
 
 
 def portable_hash(*parts: Column) -> Column:
@@ -22,11 +25,11 @@ def cluster_draws(groups: DataFrame, group: str, iterations: int, seed: str) ->
     Groups are numbered once; a draw is a hash of (seed, iteration, number)
     modulo their count, and draws are counted before they meet a group.
     """
-    numbered = groups.select(group).distinct().withColumn("no", F.row_number().over(W.partitionBy().orderBy(group)) - 1)
-    total = numbered.count()
-    draws = numbered.select("no", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    known = materialise(numbered(groups.select(group).distinct(), [group]).withColumn("no", F.col("no") - 1), "groups")
+    total = known.count()
+    draws = known.select("no", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
     drawn = draws.select("iteration", F.pmod(portable_hash(F.lit(seed), F.col("iteration"), F.col("no")), F.lit(max(total, 1))).alias("no")).groupBy("iteration", "no").agg(F.count(F.lit(1)).alias("times"))
-    return drawn.join(numbered, "no").select("iteration", group, "times")
+    return drawn.join(known, "no").select("iteration", group, "times")
 
 
 def bootstrap_auc(scores: DataFrame, group: str, iterations: int, seed: str = "b") -> DataFrame:
@@ -42,9 +45,10 @@ def bootstrap_auc(scores: DataFrame, group: str, iterations: int, seed: str = "b
 def permutation_counts(rows: DataFrame, group: str, flag: str, iterations: int, seed: str = "p") -> DataFrame:
     """iteration and clustered: groups with two flags or more after the flags are dealt anew (iteration -1: as they are).
 
-    Flags move by rank under a hash order, one window per iteration.
+    Flags move by rank under a hash order, one window per iteration; rows of one
+    group and flag are alike, so how they are numbered among themselves doesn't matter.
     """
-    base = rows.select(group, flag).withColumn("no", F.row_number().over(W.partitionBy().orderBy(group, flag, portable_hash(F.col(group)))))
+    base = numbered(rows.select(group, flag), [group, flag])
     laid = base.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     order = W.partitionBy("iteration").orderBy(portable_hash(F.lit(seed), F.col("iteration"), F.col("no")), "no")
     dealt = laid.withColumn("to", F.row_number().over(order)).select("iteration", F.col("to").alias("no"), F.col(flag).alias("dealt"))
@@ -54,32 +58,91 @@ def permutation_counts(rows: DataFrame, group: str, flag: str, iterations: int,
     return per.groupBy("iteration").agg(F.sum((F.col("n") >= 2).cast("long")).alias("clustered"))
 
 
-def binomial_interval(rows: DataFrame, hits: str, trials: str, level: float = 0.95) -> DataFrame:
-    """``rows`` with the exact (Clopper-Pearson) interval of hits out of trials, by bisection on the tail."""
-    import math
+def beta_share(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function, by its continued fraction on the side where that converges fast."""
+    x, a, b = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, a, b)))
+    flip = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = np.exp(gamma(p + q) - gamma(p) - gamma(q) + p * np.log(z) + q * np.log1p(-z)) / p
+    tiny = 1e-300
+    c, d = np.ones_like(z), 1 / np.where(np.abs(t := 1 - (p + q) * z / (p + 1)) < tiny, tiny, t)
+    out = d.copy()
+    for m in range(1, 400):
+        for term in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / np.where(np.abs(t := 1 + term * d) < tiny, tiny, t)
+            c = np.where(np.abs(t := 1 + term / c) < tiny, tiny, t)
+            out = out * c * d
+        if np.all(np.abs(c * d - 1) < 1e-14):
+            break
+    share = np.where(z <= 0, 0.0, front * out)
+    return np.where(flip, 1 - share, share)
+
 
-    def tail(k: int, n: int, p: float) -> float:
-        """P(X >= k) for 0 < p < 1."""
-        return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1))
+def binomial_interval(rows: DataFrame, hits: str, trials: str, level: float = 0.95) -> DataFrame:
+    """``rows`` with the exact (Clopper-Pearson) interval of hits out of trials: quantiles of the beta distribution by bisection."""
 
-    def bound(k: int, n: int, goal: float) -> float:
-        low, high = 0.0, 1.0
+    def quantile(goal: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(a)), np.ones(len(a))
         for _ in range(60):
             mid = (low + high) / 2
-            low, high = (mid, high) if tail(k, n, mid) < goal else (low, mid)
+            under = beta_share(mid, a, b) < goal
+            low, high = np.where(under, mid, low), np.where(under, high, mid)
         return (low + high) / 2
 
     @F.pandas_udf("struct<low:double,high:double>")
     def interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
-        side = (1 - level) / 2
-        out = [(0.0 if a == 0 else bound(a, b, side), 1.0 if a == b else bound(a + 1, b, 1 - side)) for a, b in zip(k.astype(int), n.astype(int))]
-        return pd.DataFrame(out, columns=["low", "high"])
+        k, n, side = k.to_numpy(float), n.to_numpy(float), (1 - level) / 2
+        low = np.where(k > 0, quantile(side, np.maximum(k, 1), n - k + 1), 0.0)
+        high = np.where(k < n, quantile(1 - side, k + 1, np.maximum(n - k, 1)), 1.0)
+        return pd.DataFrame({"low": low, "high": high})
 
     return rows.withColumn("_i", interval(F.col(hits), F.col(trials))).select("*", F.col("_i.low").alias("low"), F.col("_i.high").alias("high")).drop("_i")
 
 
+def correlation_p(rows: DataFrame, rho: str, n: str) -> DataFrame:
+    """``rows`` with p_value: two-sided, of a correlation of n pairs, by Student's distribution (null below 3 pairs)."""
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, m: pd.Series) -> pd.Series:
+        r, free = r.to_numpy(float), np.maximum(m.to_numpy(float) - 2, 1)
+        return pd.Series(np.where(np.abs(r) >= 1, 0.0, beta_share(np.clip(1 - r * r, 0, 1), free / 2, np.full(len(r), 0.5))))
+
+    return rows.withColumn("p_value", F.when((F.col(n) >= 3) & F.col(rho).isNotNull(), p(F.coalesce(F.col(rho), F.lit(0.0)), F.col(n))))
+
+
+def bootstrap_difference(scores: DataFrame, group: str, one: str, two: str, iterations: int, seed: str = "b") -> DataFrame:
+    """One row: 2.5 and 97.5 percent quantiles of AUC(one) - AUC(two), both over the same resampled groups."""
+    draws = materialise(cluster_draws(scores, group, iterations, seed), "draws")
+
+    def each(score: str, name: str) -> DataFrame:
+        cells = scores.groupBy(group, F.col(score).alias("score"), "label").agg(F.count(F.lit(1)).alias("n"))
+        return auc(cells.join(draws, group), ["iteration"], weight=(F.col("n") * F.col("times")).cast("double")).withColumnRenamed("auc", name)
+
+    both = each(one, "a").join(each(two, "b"), "iteration").filter("a is not null and b is not null").withColumn("d", F.col("a") - F.col("b"))
+    q = lambda p: F.percentile("d", F.lit(p))
+    return both.agg(q(0.025).alias("low"), q(0.975).alias("high"), F.count(F.lit(1)).alias("iterations"))
+
+
+def numbered(rows: DataFrame, order: list, name: str = "no") -> DataFrame:
+    """``rows`` with their number from 1 in a total order: ranges of the order are numbered apart, and their sizes add up to offsets."""
+    laid = materialise(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.partitionBy().orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a range
+    return laid.join(F.broadcast(before), "_part").withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_before")).drop("_part", "_before")
+
+
 def zero_event_bound(n: Column) -> Column:
     """Upper 95 percent bound on a rate after n trials without an event."""
     return 1 - F.pow(F.lit(0.05), F.lit(1.0) / n)
 
 
+def permuted_correlation(rows: DataFrame, order: str, x: str, iterations: int, seed: str = "p") -> DataFrame:
+    """iteration and similarity: the correlation of x with the row before, in ``order``, after x is dealt anew (iteration -1: as it is)."""
+    base = numbered(rows.select(order, x), [order, x])
+    laid = base.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    dealt = laid.withColumn("to", F.row_number().over(W.partitionBy("iteration").orderBy(portable_hash(F.lit(seed), F.col("iteration"), F.col("no")), "no")))
+    both = dealt.select("iteration", F.col("to").alias("no"), x).unionByName(base.select(F.lit(-1).alias("iteration"), "no", x))
+    w = W.partitionBy("iteration").orderBy("no")
+    return both.withColumn("_a", F.lag(x).over(w)).filter("_a is not null").groupBy("iteration").agg(F.corr("_a", x).alias("similarity"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tickloom.operators.metrics import steps
+
 
 def shares(rows: DataFrame, key: list[str], category: str, values: list[str]) -> DataFrame:
     """One row per key with the share of each value (0 where absent)."""
@@ -46,17 +48,27 @@ def neutral_weights(rows: DataFrame, group: str, label: str, least: int = 30, fl
 
 def median_adjusted(rows: DataFrame, group: str, x: str, least: int) -> DataFrame:
     """``rows`` with x less its group's median offset from the median of all (groups below ``least`` keep x)."""
-    base = rows.agg(F.percentile(x, F.lit(0.5)).alias("_base"))
+    base = quantile_of(rows, x, 0.5).withColumnRenamed("at", "_base")
     g = rows.groupBy(group).agg(F.percentile(x, F.lit(0.5)).alias("_m"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
     offset = g.crossJoin(F.broadcast(base)).select(group, (F.col("_m") - F.col("_base")).alias("_off"))  # base is one row
     return rows.join(offset, group, "left").withColumn("adjusted", F.col(x) - F.coalesce("_off", F.lit(0.0))).drop("_off")
 
 
 def average_rank(rows: DataFrame, x: str, name: str) -> DataFrame:
-    """``rows`` with the mean rank of x (ties share it); the window runs over distinct values only."""
-    v = rows.groupBy(x).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(W.partitionBy().orderBy(x).rowsBetween(W.unboundedPreceding, 0))
-    return rows.join(v.withColumn("_u", upto).select(F.col(x).alias("_x"), (F.col("_u") - (F.col("_n") - 1) / 2).alias(name)), F.col(x) == F.col("_x")).drop("_x")
+    """``rows`` with the mean rank of x (ties share it), by running sums over distinct values."""
+    v = steps(rows.select(F.col(x).alias("score"), F.lit(1).alias("label")))
+    ranks = v.select(F.col("score").alias("_x"), (F.col("all_pos") - F.col("tp") + (F.col("pos") + 1) / 2).alias(name))
+    return rows.join(ranks, F.col(x) == F.col("_x")).drop("_x")
+
+
+def quantile_of(rows: DataFrame, x: str, q: float) -> DataFrame:
+    """One row: the exact quantile of x, linear between neighbours, by running sums over distinct values (``at``; null without rows)."""
+    v = steps(rows.filter(F.col(x).isNotNull()).select(F.col(x).alias("score"), F.lit(1).alias("label")))
+    below = F.col("all_pos") - F.col("tp")
+    place = (F.col("all_pos") - 1) * F.lit(q)
+    holds = lambda i: F.max(F.when((below <= i) & (i < below + F.col("pos")), F.col("score")))
+    ends = v.agg(holds(F.floor(place)).alias("a"), holds(F.ceil(place)).alias("b"), F.max(place - F.floor(place)).alias("w"))
+    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("at"))
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -92,3 +104,38 @@ def stop_point(rows: DataFrame, key: list[str], order: str, x: str, width: int,
     w = W.partitionBy(*key).orderBy(order)
     r = rows.withColumns({"_m": F.avg(x).over(w.rowsBetween(1 - width, 0)), "_r": F.row_number().over(w)})
     return r.groupBy(*key).agg(F.min(F.when((F.col("_r") >= width) & (F.col("_m") <= most), F.col(order))).alias("stop"))
+
+
+def weighted_mean(rows: DataFrame, key: list[str], x: str, weight: str) -> DataFrame:
+    """Weighted mean and root mean square of x for each key (null where the weights add up to 0)."""
+    w, v = F.col(weight), F.col(x)
+    return rows.groupBy(*key).agg(F.try_divide(F.sum(w * v), F.sum(w)).alias("mean"), F.sqrt(F.try_divide(F.sum(w * v * v), F.sum(w))).alias("rms"))
+
+
+def one_vote(rows: DataFrame, group: list[str], label: str, score: str) -> DataFrame:
+    """One row per group: its label (the smallest, where a group has several), the mean score, and n."""
+    return rows.groupBy(*group).agg(F.min(label).alias("label"), F.avg(score).alias("score"), F.count(F.lit(1)).alias("n"))
+
+
+def best_first(rows: DataFrame, gain: str, ties: list[str], most: int) -> DataFrame:
+    """The ``most`` rows with the largest gains above 0, best first, ties in a fixed order, with their rank from 1."""
+    top = rows.filter(F.col(gain) > 0).orderBy(F.desc(gain), *ties).limit(most)
+    return top.withColumn("rank", F.row_number().over(W.partitionBy().orderBy(F.desc(gain), *ties)))  # ``most`` rows
+
+
+def best_of_family(models: DataFrame, family: str, score: str, name: str, n: int) -> DataFrame:
+    """The n best models of each family (ties by name), with their rank."""
+    w = W.partitionBy(family).orderBy(F.desc(score), name)
+    return models.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def accepted(rows: DataFrame, player: list[str], order: list[str], n: str, share: str, least: int, most: int, target: int) -> DataFrame:
+    """Candidates with ``least`` encounters or more and a share above a half, ``most`` for each player, in order until their encounters reach ``target``.
+
+    The last one that is needed is taken whole. ``rows`` are candidate maps; those
+    that pass the rules are few enough for one running sum.
+    """
+    fit = rows.filter((F.col(n) >= least) & (F.col(share) > 0.5))
+    few = capped(fit, player, order, most)
+    before = F.coalesce(F.sum(n).over(W.partitionBy().orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return few.withColumn("before", before).filter(F.col("before") < target)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tickloom.functions.geometry import finite_or_zero
+from tickloom.operators.timeline import first_difference
 
 
 def seven(x: Column) -> dict[str, Column]:
@@ -85,13 +86,14 @@ def settle_rate(rows: DataFrame, key: list[str], order: list[str], speed: str, e
     return rows.withColumn("_e", F.lead(error, 2).over(w)).filter("_e is not null").groupBy(*key).agg(rate((F.col(speed) > fast) & (F.col("_e") < small)).alias("settle_rate"))
 
 
-def spectral(rows: DataFrame, key: list[str], order: str, x: str) -> DataFrame:
-    """Entropy, peak, centroid, and high and low shares of the power spectrum of each key's series (by ``order``).
+def spectral(rows: DataFrame, key: list[str], order: str, x: str, width: int = 256) -> DataFrame:
+    """Entropy, peak, centroid, and high and low shares of the power spectrum of each key's series (by ``order``): the means over windows of ``width`` rows.
 
-    The transform is the one figure here that built-in functions can't give. Series
-    come as one array per key (windows are short), rows in Arrow batches.
+    The transform is the one figure here that built-in functions can't give. A
+    window comes as one array, in Arrow batches, so no array is longer than ``width``.
     """
-    series = rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).cast("double").alias("v")))), lambda s: s["v"]).alias("series"))
+    place = F.floor((F.row_number().over(W.partitionBy(*key).orderBy(order)) - 1) / width)
+    series = rows.withColumn("_window", place).groupBy(*key, "_window").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).cast("double").alias("v")))), lambda s: s["v"]).alias("series"))
     names = ["entropy", "peak", "centroid", "high", "low"]
     schema = ", ".join([f"{k} {series.schema[k].dataType.simpleString()}" for k in key] + [f"{n} double" for n in names])
 
@@ -106,7 +108,7 @@ def spectral(rows: DataFrame, key: list[str], order: str, x: str) -> DataFrame:
                 out.append((-(p * np.log(p + 1e-12)).sum() / np.log(len(f)) if len(f) > 1 else 0.0, p.max(initial=0.0), (p * f).sum(), p[f >= 0.25].sum(), p[f <= 0.125].sum()))
             yield pd.concat([pdf[key].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
-    return series.mapInPandas(run, schema)
+    return series.mapInPandas(run, schema).groupBy(*key).agg(*[F.avg(n).alias(n) for n in names])
 
 
 def channel_audit(rows: DataFrame, channels: list[str]) -> DataFrame:
@@ -125,3 +127,39 @@ def moments(rows: DataFrame, channels: list[str], floor: float = 1e-4) -> DataFr
 
 def finalised(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns({c: F.coalesce(finite_or_zero(F.col(c)), F.lit(0.0)) for c in columns})
+
+
+def signals(rows: DataFrame, key: list[str], order: list[str], yaw: str, pitch: str, error_yaw: str, error_pitch: str) -> DataFrame:
+    """``rows`` with speed, acceleration, jerk, aim_error and error_speed: norms of the two-dimensional motion and its differences.
+
+    Differences take the row before; the first row of a key has 0. Only the sideways error wraps.
+    """
+    w = W.partitionBy(*key).orderBy(*order)
+    step = lambda c, circular=False: first_difference(c, w, circular)
+    out = rows.withColumns({"_ay": step(yaw), "_ap": step(pitch), "_ey": step(error_yaw, True), "_ep": step(error_pitch)})
+    out = out.withColumns({"_jy": step("_ay"), "_jp": step("_ap")})
+    norms = {"speed": (yaw, pitch), "acceleration": ("_ay", "_ap"), "jerk": ("_jy", "_jp"), "aim_error": (error_yaw, error_pitch), "error_speed": ("_ey", "_ep")}
+    return out.withColumns({k: F.hypot(a, b) for k, (a, b) in norms.items()}).drop("_ay", "_ap", "_ey", "_ep", "_jy", "_jp")
+
+
+def rates(rows: DataFrame, key: list[str], fire: str, speed: str, error: str, every: list[str], below: tuple[float, ...] = (0.1, 0.5, 1.0, 2.0, 5.0)) -> DataFrame:
+    """firing, idle (speed under 1e-5), all_zero (of ``every`` channel) and below_<k> shares of each key's rows."""
+    zero = F.lit(True)
+    for c in every:
+        zero = zero & (F.col(c) == 0)
+    shares = {"firing": F.col(fire) != 0, "idle": F.col(speed) < 1e-5, "all_zero": zero} | {f"below_{str(t).replace('.', '_')}": F.col(error) < t for t in below}
+    return rows.groupBy(*key).agg(*[rate(v).alias(k) for k, v in shares.items()])
+
+
+def plain_lag_correlation(rows: DataFrame, key: list[str], order: list[str], x: str, lag: int = 1, name: str = "correlation") -> DataFrame:
+    """Pearson correlation of x with itself ``lag`` rows on, without a floor (null where nothing varies)."""
+    w = W.partitionBy(*key).orderBy(*order)
+    return rows.withColumn("_a", F.lag(x, lag).over(w)).filter("_a is not null").groupBy(*key).agg(F.corr("_a", x).alias(name))
+
+
+def unit_scaled(rows: DataFrame, channels: list[str], exempt: tuple[str, ...] = (), fit: DataFrame | None = None) -> DataFrame:
+    """``rows`` with each channel less its mean over its deviation in ``fit``; a deviation below 1e-8 counts as 1, ``exempt`` channels stay."""
+    used = [c for c in channels if c not in exempt]
+    one = (fit if fit is not None else rows).agg(*[F.avg(c).alias(f"_m_{c}") for c in used], *[F.stddev_pop(c).alias(f"_s_{c}") for c in used])
+    both = rows.crossJoin(F.broadcast(one))  # one row
+    return both.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") < 1e-8, 1.0).otherwise(F.col(f"_s_{c}")) for c in used}).select(*rows.columns)

@@ -117,3 +117,16 @@ def settle_times(shots: DataFrame, quiet: DataFrame, keys: list[str], shot: str,
     rest = band_join(gaps, quiet.select(*keys, time), keys, shot, time, 0, horizon).filter(F.col("next_shot").isNull() | (F.col(time) < F.col("next_shot")))
     first = rest.groupBy(*keys, shot).agg(F.min(time).alias("_rest"))
     return gaps.join(first, [*keys, shot], "left").withColumn("settle", F.col("_rest") - F.col(shot)).drop("_rest", "next_shot")
+
+
+def nearest_after_offset(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, wide: int, tolerance: int, left_id: str, grain: int = 1) -> DataFrame:
+    """left_id with the offset of the nearest right row within ``tolerance``, once the clocks are brought together.
+
+    The clocks' difference is the most frequent offset (ties: the smallest) of
+    nearest rows within ``wide``, in whole ``grain``; it is returned as ``shift``.
+    """
+    seen = nearest(left, right, keys, left_time, right_time, wide, left_id)
+    grains = seen.groupBy((F.floor(F.col("offset") / grain) * grain).cast("long").alias("shift")).agg(F.count(F.lit(1)).alias("n"))
+    shift = grains.agg(F.min_by("shift", F.struct(-F.col("n"), F.col("shift"))).alias("shift"))
+    moved = right.crossJoin(F.broadcast(shift)).withColumn(right_time, F.col(right_time) - F.col("shift")).drop("shift")  # one row
+    return nearest(left, moved, keys, left_time, right_time, tolerance, left_id).crossJoin(F.broadcast(shift))

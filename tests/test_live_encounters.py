@@ -1,9 +1,15 @@
 """The stream of encounters equals the batch result, however the lines are cut."""
 
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_encounters import tick_rows
-from tickloom.streaming.encounters import LINE, EncounterSink, build, follow
+from tickloom.operators import capture
+from tickloom.sources import captures
+from tickloom.sources.tail import LineReader
+from tickloom.streaming.encounters import LINE, EncounterSink, build, build_captured, follow, follow_captures
 
 COLUMNS = [c.split()[0] for c in LINE.split(", ")]
 
@@ -32,3 +38,74 @@ def test_stream_equals_batch(spark, tmp_path, size):
     assert len(got) == len(set(got)) and set(got) == want and len(want) == 3
     cols = ["attacker", "tick", "pos", "delta_yaw", "distance", "shot", "time_since_shot"]
     assert sorted(map(tuple, sink.encounters(spark).select(*cols).collect())) == sorted(map(tuple, kept.filter("tick < 698").select(*cols).collect()))
+
+
+def log_lines():
+    """A capture of two people and a bot: hits that the state shows one tick later, two ticks later, and never."""
+    lines, health = [{"type": "header", "schema": 1, "tickrate": 64, "plugin": "p"}], {1: 100.0, 2: 100.0, 3: 100.0}
+    still = dict(type="state", pitch=0.5, z=0.0, avx=3.0, avy=4.0, avz=0.0, alive=1, warmup=0, round=1, scoped=0, duck=0.0, flags=1, armor=50.0, recoil=0.0, punch0=0.0, punch1=0.0, clip=9, weapon="famas")
+    drops = {701: 2, 782: 3, 1003: 2}
+    for tick in range(400, 1100):
+        if tick in drops:
+            health[drops[tick]] -= 10
+        for slot, steamid, team in ((1, 7001, 2), (2, 7002, 3), (3, 0, 3)):
+            lines.append(still | dict(tick=tick, slot=slot, steamid=steamid, team=team, yaw=tick * 0.7 % 360 - 180, x=100.0 * slot + tick, y=50.0 * slot, shots=int(tick >= 699) + int(tick >= 1001) if slot == 1 else 0, health=health[slot]))
+        hurt = dict(type="event", name="player_hurt", tick=tick, attacker=1, weapon="famas", dmg_health=10, health=90)
+        if tick == 698:
+            lines.append(dict(type="event", name="weapon_fire", tick=698, user=1, weapon="weapon_famas"))
+        if tick in (700, 1001):
+            lines.append(hurt | {"victim": 2})
+        if tick in (780, 900):  # the bot; at 900 nothing shows
+            lines.append(hurt | {"victim": 3})
+        if tick == 650:
+            lines += [dict(type="event", name="player_footstep", tick=650, user=2), dict(type="event", name="player_blind", tick=650, user=1, blind_duration=0.25), hurt | {"victim": 9}]
+    return lines
+
+
+def test_capture_to_windows(spark):
+    rows = [("c", i, json.dumps(x)) for i, x in enumerate(log_lines())]
+    lines = captures.parsed(spark.createDataFrame(rows, "capture string, no long, value string"))
+    kept, anchors, counts = capture.build(lines, bots=True)
+    assert sorted((a.attacker, a.victim, a.tick, a.reason) for a in anchors.collect()) == [("7001", "7002", 701, None), ("7001", "7002", 1003, None), ("7001", "bot:3", 782, None)]
+    assert {c.fact: c.n for c in counts.collect()} == {"hurt_unresolved_player": 1, "hurt_dropped_no_health_drop": 1, "hurt_anchored_by_health_drop": 3, "shot_anchored_by_counter": 1}
+    first = {r.pos + 701 - 256: r for r in kept.filter("tick = 701").collect()}
+    assert len(first) == 256 and first[700].victim_health == 100 and {k for k, r in first.items() if r.shot} == {699}
+    assert {k for k, r in first.items() if r.victim_footstep} == {651} and {k for k, r in first.items() if r.flash_remaining > 0} == set(range(651, 667))
+    assert first[600].attacker_speed == 5.0 and first[600].airborne == 0.0
+    people = capture.build(lines)[1].collect()
+    assert sorted((a.victim, a.tick) for a in people) == [("7002", 701), ("7002", 1003)]
+    assert capture.build(lines, attackers=spark.createDataFrame([("c", "7002")], "match string, player string"))[1].count() == 0
+
+
+def test_tail_holds_back_a_partial_line(spark, tmp_path):
+    reader = LineReader(str(tmp_path / "*.log"), 7)
+    read = lambda a, b: [(r[1], r[2]) for p in reader.partitions(a, b) for r in reader.read(p)]
+    (tmp_path / "a.log").write_text("one\n\ntwo two two two\nthr")
+    first = reader.latestOffset()
+    assert read({}, first) == [(0, "one"), (5, "two two two two")]
+    with (tmp_path / "a.log").open("a") as f:
+        f.write("ee\nfour\n")
+    (tmp_path / "b.log").write_text("x")
+    second = reader.latestOffset()
+    assert read(first, second) == [(21, "three"), (27, "four")] and read(second, second) == []
+
+
+def test_live_scores_of_a_growing_capture(spark, tmp_path):
+    text = [json.dumps(x) + "\n" for x in log_lines()]
+    at, cuts = tmp_path / "c.ndjson", (1290, len(text))
+    score = lambda rows: rows.groupBy("match", "attacker", "victim", "tick").agg(F.avg("shot").alias("score"))
+    sink = EncounterSink(str(tmp_path / "out"), build=lambda lines: build_captured(lines, bots=True), score=score)
+    for low, high in zip((0, *cuts), cuts):
+        with at.open("a") as f:
+            f.write("".join(text[low:high]) + ("" if high == len(text) else text[high][:9]))
+        follow_captures(spark, str(at), str(tmp_path), sink, idle_seconds=2)
+        with at.open("r+") as f:
+            f.truncate(sum(map(len, text[:high])))
+    kept, anchors, _ = capture.build(captures.parsed(spark.createDataFrame([(str(at), i, x) for i, x in enumerate(text)], "capture string, no long, value string")), bots=True)
+    key = ["attacker", "victim", "tick"]
+    assert sorted(map(tuple, sink.anchors(spark).select(*key).collect())) == sorted(map(tuple, anchors.select(*key).collect()))
+    cols = [*key, "pos", "delta_yaw", "distance", "shot", "time_since_shot", "flash_remaining"]
+    assert sorted(map(tuple, sink.encounters(spark).select(*cols).collect())) == sorted(map(tuple, kept.select(*cols).collect()))
+    log = sink.read(spark, "log").orderBy("tick").collect()
+    assert [(r.tick, r.encounters, r.provisional) for r in log] == [(701, 1, True), (782, 2, True), (1003, 3, True)]
+    assert all(r.latency_ms > 0 for r in log) and abs(log[-1].mean_score - sum(r.score for r in log) / 3) < 1e-12

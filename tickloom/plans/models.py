@@ -117,9 +117,16 @@ def constant_records(spark, d):
     return ins.constant_records(events(spark, d), ["user_id"], ["value"], 100.0)
 
 
-@query()
+@query(
+    f"""WITH {EV}, h AS (SELECT user_id, tick - lag(tick) OVER (PARTITION BY user_id ORDER BY tick, event_id) AS gap FROM ev WHERE event_type IN ('click', 'view', 'purchase'))
+    SELECT user_id AS key, count(*) AS anchors FROM h WHERE gap IS NULL OR gap > 7200 GROUP BY 1"""
+)
 def stream_equals_batch(spark, d):
-    """Anchors that a replayed stream emits; a test compares them with the batch result."""
+    """Anchors that a replayed stream emits over several micro-batches: as many as the batch operator finds.
+
+    Files of ranges of time come in any order, so the watermark waits as long as
+    all of them span; a last file moves event time beyond that.
+    """
     import uuid
 
     from tickloom.session import shared_dir
@@ -127,8 +134,11 @@ def stream_equals_batch(spark, d):
 
     base = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
     hits = events(spark, d).filter("event_type in ('click', 'view', 'purchase')").select("user_id", "tick", "event_id")
-    last = hits.agg(F.max("tick").alias("t")).select(F.lit(-1).cast("long").alias("user_id"), F.explode(F.array(F.col("t") + 100_000, F.col("t") + 200_000)).alias("tick"), F.lit(-1).cast("long").alias("event_id"))
-    hits.unionByName(last).coalesce(1).write.parquet(f"{base}/in")
-    stream = live.live_anchors(live.stream_of(spark, f"{base}/in", "user_id long, tick long, event_id long"), "user_id", "tick", "event_id", 7200)
-    found = live.run_to_end(stream, f"live_{uuid.uuid4().hex}", f"{base}/cp")
+    ends = hits.agg(F.min("tick").alias("a"), F.max("tick").alias("b")).first()
+    span = (ends.b or 0) - (ends.a or 0) + 1
+    hits.repartitionByRange(8, "tick").write.parquet(f"{base}/in")
+    last = spark.createDataFrame([(-1, (ends.b or 0) + k * 4 * span, -k) for k in (1, 2)], hits.schema)
+    last.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = live.live_anchors(live.stream_of(spark, f"{base}/in", "user_id long, tick long, event_id long", 3), "user_id", "tick", "event_id", 7200, delay=f"{span * live.TICK_US // 1_000_000 + 1} seconds")
+    found = live.stored_to_end(stream, f"{base}/out", f"{base}/checkpoint")
     return found.filter("key >= 0").groupBy("key").agg(n().alias("anchors"))

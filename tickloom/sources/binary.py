@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -116,6 +116,28 @@ def read_containers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, seconds double, ticks long, error string")
 
 
+def read_demos(spark: SparkSession, path: str, parser: Callable[[bytes], dict[str, pd.DataFrame | None]], table: str, schema: str) -> DataFrame:
+    """path, state and the rows of one table of every demo, by a parser that is plugged in.
+
+    The parser gives tables by name. A table that is None is ``absent`` from the demo, and a
+    ValueError makes it ``broken: ...``; either gives one row with nulls. All others are ``ok``.
+    """
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    found = parser(bytes(content)).get(table)
+                    state = "absent" if found is None else "ok"
+                except ValueError as e:
+                    found, state = None, f"broken: {e}"
+                rows = found[names] if found is not None else pd.DataFrame({c: [None] for c in names})
+                yield rows.assign(path=p, state=state)[["path", "state", *names]]
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, state string, {schema}")
+
+
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """path, record (first axis), shape (of a record) and values (flattened, in C order) of every .npy file."""
 

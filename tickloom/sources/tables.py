@@ -23,6 +23,38 @@ def null_counts(df: DataFrame) -> DataFrame:
     return row.unpivot([], df.columns, "column", "nulls")
 
 
+def footer_null_counts(spark: SparkSession, path: str) -> DataFrame:
+    """column and nulls from the footers of Parquet files alone, without their values; as ``null_counts`` where all have statistics.
+
+    The counts are pushed down to the scan in a session of its own, so the caller's settings stay.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    df = own.read.parquet(path)
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in df.columns]).first()  # one row
+    return spark.createDataFrame([(c, row["_rows"] - row[c]) for c in df.columns], "column string, nulls long")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
+def write_csv(df: DataFrame, folder: str) -> None:
+    """Files with a header; texts are quoted where they must be."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
+
+
+def write_facts(df: DataFrame, folder: str) -> None:
+    """A few rows of facts beside a table, as JSON."""
+    df.coalesce(1).write.mode("overwrite").json(folder)
+
+
+def append_log(df: DataFrame, folder: str) -> None:
+    """Rows under those that are there, as JSON lines."""
+    df.write.mode("append").json(folder)
+
+
 def write_new(df: DataFrame, key: str, folder: str) -> None:
     """Append the rows whose key the folder doesn't hold yet; running twice changes nothing."""
     spark = df.sparkSession

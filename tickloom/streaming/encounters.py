@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.operators import capture
 from tickloom.operators import encounters as enc
+from tickloom.operators import timeline as t
 from tickloom.operators.metrics import first_n
+from tickloom.sources import captures
+from tickloom.sources.tail import tail
 
 #: Ticks of state that are kept behind the clock before pruning, and ticks that must have passed after a hit.
 KEEP, SETTLE = 2048, 3
+KEY = ["match", "attacker", "victim", "tick"]
 #: One table of lines of every kind: state, hurt, fire, step, blind.
 LINE = "kind string, match string, ord long, tick long, player string, attacker string, victim string, duration double, " + ", ".join(
     f"{c} {'string' if c == 'weapon' else 'boolean' if c in ('alive', 'warmup') else 'double'}" for c in enc.STATE
@@ -29,47 +38,97 @@ def build(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     return enc.encounters(ticks, hurts, of("fire", "match", "player", "tick", "weapon"), of("step", "match", "player", "tick"), of("blind", "match", "player", "tick", "duration"), None, strict)
 
 
+def capture_lines(lines: DataFrame) -> DataFrame:
+    """Lines of captures (capture, no, value, read_at) with what the sink needs to know of each: match, kind and tick."""
+    head = F.from_json("value", "type string, tick long")
+    return lines.select(F.col("capture").alias("match"), "no", "value", "read_at", head["type"].alias("kind"), head["tick"].alias("tick"))
+
+
+def build_captured(lines: DataFrame, bots: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The batch builder on ``capture_lines``."""
+    rows, anchors, _ = capture.build(captures.parsed(lines.select(F.col("match").alias("capture"), "no", "value")).filter("ok"), bots)
+    return rows, anchors
+
+
 class EncounterSink:
     """For ``writeStream.foreachBatch``: appends lines to a buffer and writes what has become final.
 
     Folders under ``folder``, one part for each batch: ``buffer`` (lines not
     older than twice KEEP behind their match's clock), ``anchors`` (each once, with its
-    reason) and ``encounters`` (channels of accepted windows). A batch that runs
-    again overwrites its own parts, so results are exactly once. Keep windows and
+    reason), ``emitted`` (keys of anchors that the buffer can still give),
+    ``encounters`` (channels of accepted windows), and with ``score`` also
+    ``totals`` and ``log`` (JSON lines). A batch reads parts of the one before
+    alone, and one that runs again overwrites its own, so results are exactly
+    once and a batch costs the same however long the stream is. Keep windows and
     burst gaps shorter than KEEP.
+
+    ``score`` takes the channels of new encounters and gives match, attacker, victim,
+    tick and score of each.
     """
 
-    def __init__(self, folder: str, keep: int = KEEP, settle: int = SETTLE, strict: bool = True):
-        self.folder, self.keep, self.settle, self.strict = folder, keep, settle, strict
+    def __init__(self, folder: str, keep: int = KEEP, settle: int = SETTLE, build: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = build, score: Callable[[DataFrame], DataFrame] | None = None, provisional_below: int = 10):
+        self.folder, self.keep, self.settle, self.build, self.score, self.provisional_below = folder, keep, settle, build, score, provisional_below
 
     def part(self, name: str, batch: int) -> str:
         return f"{self.folder}/{name}/batch={batch}"
 
+    def stored(self, df: DataFrame, name: str, batch: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(self.part(name, batch))
+        return df.sparkSession.read.schema(df.schema).parquet(self.part(name, batch))
+
+    def before(self, spark: SparkSession, name: str, batch: int) -> DataFrame | None:
+        path = self.part(name, batch - 1)
+        return spark.read.parquet(path) if batch and exists(spark, path) else None
+
     def __call__(self, lines: DataFrame, batch: int) -> None:
         spark = lines.sparkSession
-        if batch and exists(spark, self.part("buffer", batch - 1)):
-            lines = lines.unionByName(spark.read.parquet(self.part("buffer", batch - 1)))
+        if (earlier := self.before(spark, "buffer", batch)) is not None:
+            lines = lines.unionByName(earlier)
         clock = lines.filter("kind = 'state'").groupBy("match").agg(F.max("tick").alias("clock"))
-        kept = lines.join(clock, "match", "left").filter(F.col("clock").isNull() | (F.col("tick") >= F.col("clock") - 2 * self.keep))
-        kept.select(*lines.columns).write.mode("overwrite").parquet(self.part("buffer", batch))
-        lines = spark.read.parquet(self.part("buffer", batch))
-        rows, anchors = build(lines, self.strict)
+        known = lines.join(clock, "match", "left")
+        kept = known.filter(F.col("clock").isNull() | F.col("tick").isNull() | (F.col("tick") >= F.col("clock") - 2 * self.keep))
+        lines = self.stored(kept.select(*lines.columns), "buffer", batch)
+        rows, anchors = self.build(lines)
         clock = lines.filter("kind = 'state'").groupBy("match").agg(F.max("tick").alias("clock"))
-        key = ["match", "attacker", "victim", "tick"]
-        ready = anchors.join(clock, "match").filter(F.col("tick") + self.settle <= F.col("clock")).drop("clock")
-        ready = first_n(ready, key, ["ord"], 1)
-        earlier = [self.part("anchors", b) for b in range(batch) if exists(spark, self.part("anchors", b))]
-        if earlier:
-            ready = ready.join(spark.read.parquet(*earlier).select(*key), key, "left_anti")
-        ready.write.mode("overwrite").parquet(self.part("anchors", batch))
-        new = spark.read.parquet(self.part("anchors", batch)).filter("reason is null").select(*key)
-        rows.join(new, key, "left_semi").write.mode("overwrite").parquet(self.part("encounters", batch))
+        ready = first_n(anchors.join(clock, "match").filter(F.col("tick") + self.settle <= F.col("clock")), KEY, ["ord"], 1)
+        emitted = self.before(spark, "emitted", batch)
+        if emitted is not None:
+            ready = ready.join(emitted, KEY, "left_anti")
+        ready = self.stored(ready.drop("clock"), "anchors", batch)
+        keys = ready.select(*KEY) if emitted is None else emitted.unionByName(ready.select(*KEY))
+        self.stored(keys.join(clock, "match").filter(F.col("tick") >= F.col("clock") - 2 * self.keep).select(*KEY), "emitted", batch)
+        new = self.stored(rows.join(ready.filter("reason is null").select(*KEY), KEY, "left_semi"), "encounters", batch)
+        if self.score:
+            self.scored(spark, lines, new, batch)
+
+    def scored(self, spark: SparkSession, lines: DataFrame, new: DataFrame, batch: int) -> None:
+        """Running scores of players: all encounters so far, with the score of each new one as evidence, and how long it took."""
+        player = ["match", "attacker"]
+        each = self.score(new)
+        totals = self.before(spark, "totals", batch)
+        if totals is None:
+            totals = each.groupBy(*player).agg(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total")).limit(0)
+        line = W.partitionBy(*player).orderBy("tick", "victim").rowsBetween(W.unboundedPreceding, 0)
+        so_far = each.join(totals, player, "left").withColumns({"encounters": F.count(F.lit(1)).over(line) + F.coalesce("n", F.lit(0)), "_sum": F.sum("score").over(line) + F.coalesce("total", F.lit(0.0))})
+        log = so_far.select(*player, "victim", "tick", "score", "encounters", (F.col("_sum") / F.col("encounters")).alias("mean_score"), (F.col("encounters") < self.provisional_below).alias("provisional"))
+        if "read_at" in lines.columns:
+            hurts = lines.filter("kind = 'event' and get_json_object(value, '$.name') = 'player_hurt'").select("match", F.col("tick").alias("stamp"), "read_at")
+            met = t.band_join(log.select("match", "tick").distinct(), hurts, ["match"], "tick", "stamp", capture.SEARCH, 1)
+            read = met.groupBy("match", "tick").agg(F.min("read_at").alias("read_at"))
+            latency = (F.unix_micros(F.current_timestamp()) - F.unix_micros("read_at")) / 1000
+            log = log.join(read, ["match", "tick"], "left").withColumn("latency_ms", latency)
+        log.write.mode("overwrite").json(self.part("log", batch))
+        fresh = each.groupBy(*player).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
+        self.stored(totals.unionByName(fresh).groupBy(*player).agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "totals", batch)
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        return (spark.read.json if name == "log" else spark.read.parquet)(f"{self.folder}/{name}").drop("batch")
 
     def anchors(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/anchors").drop("batch")
+        return self.read(spark, "anchors")
 
     def encounters(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/encounters").drop("batch")
+        return self.read(spark, "encounters")
 
 
 def follow(spark: SparkSession, source: str, folder: str, sink: EncounterSink, files_per_batch: int = 1) -> None:
@@ -77,3 +136,17 @@ def follow(spark: SparkSession, source: str, folder: str, sink: EncounterSink, f
     lines = spark.readStream.schema(LINE).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     q = lines.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def follow_captures(spark: SparkSession, pattern: str, folder: str, sink: EncounterSink, idle_seconds: float = 30.0, poll: str = "250 milliseconds") -> None:
+    """Follow growing captures into the sink until nothing has come for so long."""
+    lines = capture_lines(tail(spark, pattern))
+    q = lines.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=poll).start()
+    last, batch = time.monotonic(), -1
+    while not q.awaitTermination(1):
+        progress = q.lastProgress
+        if q.status["isTriggerActive"] or (progress and progress["batchId"] != batch and progress["numInputRows"]):
+            last, batch = time.monotonic(), progress["batchId"] if progress else batch
+        if time.monotonic() - last > idle_seconds:
+            q.stop()
+            break

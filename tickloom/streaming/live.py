@@ -79,3 +79,10 @@ def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "appen
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def stored_to_end(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Replay all files that are there into a Parquet folder, and read it."""
+    q = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)

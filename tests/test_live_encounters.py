@@ -98,7 +98,7 @@ def test_live_scores_of_a_growing_capture(spark, tmp_path):
     for low, high in zip((0, *cuts), cuts):
         with at.open("a") as f:
             f.write("".join(text[low:high]) + ("" if high == len(text) else text[high][:9]))
-        follow_captures(spark, str(at), str(tmp_path), sink, idle_seconds=2)
+        follow_captures(spark, str(at), str(tmp_path), sink, idle_seconds=6)
         with at.open("r+") as f:
             f.truncate(sum(map(len, text[:high])))
     kept, anchors, _ = capture.build(captures.parsed(spark.createDataFrame([(str(at), i, x) for i, x in enumerate(text)], "capture string, no long, value string")), bots=True)

@@ -25,6 +25,8 @@ from tickloom.session import materialise
 
 #: Leading characters in the range key; the digest orders what they leave equal.
 PREFIX_CHARS = 16
+#: Most ranges that the rows are sorted in.
+MOST_RANGES = 20_000
 #: Stands for a null id inside a run: null is below every id.
 NO_ID = -(2**63)
 
@@ -138,7 +140,8 @@ def exact_duplicates(docs: DataFrame, normalise: Callable[[Column], Column] = un
     )
     carried = [f"carried_{i}" for i in range(len(carry))]
     key = [F.substring("text", 1, PREFIX_CHARS), F.col("text_sha256"), F.col("doc_id")]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a range for each split of the input, so that a range stays as small as a split however large the table is
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()), MOST_RANGES)
     ordered = rows.repartitionByRange(parts, *key).sortWithinPartitions(*key)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_sha256", T.StringType()), T.StructField("run_size", T.LongType()), T.StructField("run_max", T.LongType()), T.StructField("run_end", T.BooleanType()), T.StructField("edge", T.BooleanType()), T.StructField("pid", T.IntegerType()), *[T.StructField(c, rows.schema[c].dataType) for c in carried]])
     runs = materialise(ordered.mapInArrow(lambda batches: close_runs(batches, carried), schema), "runs")

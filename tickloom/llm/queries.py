@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tickloom.llm import bpe, exact_dedup, lm_score, near_dedup, packing, quality, repeats, secrets, spotsigs, toxicity
+from tickloom.llm import bpe, exact_dedup, lm_score, near_dedup, packing, phrases, quality, repeats, secrets, spotsigs, topk, toxicity, whitening
 
 
 def queries():
@@ -18,12 +18,15 @@ def queries():
         "op8_blob_ledger": secrets.op8_blob_ledger,
         "op9_island_packing": packing.op9_island_packing,
         "op10_random_indexing": quality.op10_random_indexing,
+        "op11_chebyshev_whitening": whitening.op11_chebyshev_whitening,
+        "op12_multikey_phrases": phrases.op12_multikey_phrases,
+        "op13_bit_sliced_topk": topk.op13_bit_sliced_topk,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    found = {"op3_suffix_trees": repeats.OP3_SQL, "op7_content_sort": exact_dedup.OP7_SQL, "op8_blob_ledger": secrets.OP8_SQL}
+    found = {"op3_suffix_trees": repeats.OP3_SQL, "op7_content_sort": exact_dedup.OP7_SQL, "op8_blob_ledger": secrets.OP8_SQL, "op12_multikey_phrases": phrases.OP12_SQL, "op13_bit_sliced_topk": topk.OP13_SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

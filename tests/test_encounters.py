@@ -135,3 +135,29 @@ def test_paint_and_nearest(spark):
     want = {i: max([0.0, *(ln - (i - s) / 64 for s, ln in ((10, 1.0), (40, 2.5)) if s <= i <= s + 64 * ln)]) for i in range(400)}
     assert all(abs(got[i] - want[i]) < 1e-12 for i in want)
     assert rows.groupBy().agg(F.count("t")).first()[0] == 400
+
+
+def twice(player, tick):
+    return lambda row: [row, row | {"ord": row["ord"] + 5000}] if row["player"] == player and row["tick"] == tick else [row]
+
+
+def test_ticks_with_two_rows_are_rejected_inside_the_window_only(spark):
+    cases = [(p, t) for p in "st" for t in (FIRST, T0 - 1, T0, 700, HIT - 1, HIT, HIT + 50)]
+    inside = ["duplicate_tick" if T0 <= t < HIT else None for _, t in cases]
+    assert reasons(spark, [twice(*c) for c in cases], strict=True) == inside
+    assert reasons(spark, [twice(*c) for c in cases]) == [None] * len(cases)
+
+
+def test_the_attackers_ticks_are_judged_before_the_victims(spark):
+    def both(lost, doubled):
+        def change(row):
+            if row["player"] == lost and row["tick"] == 650:
+                return []
+            return twice(doubled, 600)(row)
+
+        return change
+
+    unarmed = lambda value: lambda row: [row | {"weapon": value} if row["player"] == "t" and row["tick"] == 640 else row]
+    changes = [both("t", "s"), both("s", "t"), unarmed(None), unarmed("")]
+    assert reasons(spark, changes, strict=True) == ["duplicate_tick", "missing_tick", "missing_weapon", "missing_weapon"]
+    assert reasons(spark, changes) == ["missing_tick", "missing_tick", None, None]

@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,35 +10,150 @@ from tests.test_encounters import tick_rows
 from tickloom.operators import capture
 from tickloom.sources import captures
 from tickloom.sources.tail import LineReader
-from tickloom.streaming.encounters import LINE, EncounterSink, build, build_captured, follow, follow_captures
+from tickloom.streaming import keyed
+from tickloom.streaming.encounters import LINE, SETTLE, EncounterSink, build, build_captured, build_lines, follow, follow_captures, table_lines
 
 COLUMNS = [c.split()[0] for c in LINE.split(", ")]
+HITS = [(1257, "s", "t"), (1300, "s", "t"), (1500, "s", "t"), (1600, "t", "s"), (1699, "t", "s")]
 
 
-def lines():
+def lines(ticks=range(1001, 1701), hits=HITS, match="m"):
+    """Rows of LINE in the order of ticks."""
     rows = []
-    for i, r in enumerate(sorted(tick_rows(ticks=range(1, 701)), key=lambda r: r["tick"])):
+    for i, r in enumerate(sorted(tick_rows(ticks=ticks), key=lambda r: r["tick"])):
         rows.append(r | {"kind": "state", "ord": i})
-    for k, (t, a, v) in enumerate([(257, "s", "t"), (300, "s", "t"), (500, "s", "t"), (600, "t", "s"), (699, "t", "s")]):
-        rows.append({"kind": "hurt", "match": "m", "ord": 10_000 + k, "tick": t, "attacker": a, "victim": v, "weapon": "weapon_galilar"})
-    rows.append({"kind": "fire", "match": "m", "ord": 20_000, "tick": 250, "player": "s", "weapon": "weapon_galilar"})
+    for k, (t, a, v) in enumerate(hits):
+        rows.append({"kind": "hurt", "ord": 1_000_000 + k, "tick": t, "attacker": a, "victim": v, "weapon": "weapon_galilar"})
+    rows.append({"kind": "fire", "ord": 2_000_000, "tick": ticks[0] + 249, "player": "s", "weapon": "weapon_galilar"})
+    rows.append({"kind": "blind", "ord": 2_000_001, "tick": ticks[0] + 2, "player": "s", "duration": 30.0})  # lasts longer than lines are kept
+    rows = [r | {"match": match} for r in rows]
     return [tuple(r.get(c) for c in COLUMNS) for r in sorted(rows, key=lambda r: r["tick"])]
 
 
-@pytest.mark.parametrize("size", [500])
+class Value:
+    def __init__(self):
+        self.held = None
+
+    exists = lambda self: self.held is not None
+    get = lambda self: self.held
+
+    def update(self, value):
+        self.held = value
+
+    def clear(self):
+        self.held = None
+
+
+class Table(dict):
+    containsKey, getValue, removeKey = dict.__contains__, dict.__getitem__, dict.__delitem__
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+class Store:
+    """The state and timers of one key, in memory."""
+
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, Value())
+
+    def getMapState(self, name, keys, values):
+        return self.states.setdefault(name, Table())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+def taken(frame, sizes):
+    """The slices of each batch of lines of one match, and the store afterwards; ``sizes``: lines of a batch, again and again."""
+    store, out, at, k = Store(), [], 0, 0
+    while at < len(frame):
+        matches = keyed.LiveMatches(SETTLE)
+        matches.init(store)  # state alone goes from batch to batch
+        batch = frame.iloc[at : at + sizes].sample(frac=1, random_state=k)  # in any order
+        out += [(k, s) for s in matches.handleInputRows(("m",), iter([batch.iloc[::2], batch.iloc[1::2]]), Now(k))]
+        at, k = at + sizes, k + 1
+    return out, store
+
+
+def facts(anchors):
+    return sorted((a.attacker, a.victim, a.tick, a.reason or "accepted") for a in anchors.collect())
+
+
+@pytest.mark.parametrize("ticks, hits", [(range(1001, 1701), HITS), (range(1001, 9001), [(t, "s", "t") for t in range(1300, 7700, 100)] + [(8100, "s", "t"), (8996, "s", "t"), (8999, "s", "t")])])
+def test_slices_of_any_batches_give_the_batch_result(spark, ticks, hits):
+    """The second case: a backlog of 125 seconds with a burst of 100, a hit of which comes before every batch's end."""
+    rows = lines(ticks, hits)
+    table = spark.createDataFrame(rows, LINE)
+    kept, anchors = build(table)
+    settled = [a for a in facts(anchors) if a[2] + SETTLE <= ticks[-1]]
+    frame = table_lines(table).toPandas().sort_values("tick", kind="stable")
+    slices, stores = [], []
+    for size in (7, 101, 10_000) if len(rows) < 3000 else (1334, 5003, 10**6):
+        out, store = taken(frame, size)
+        stores.append(store)
+        slices += [s.assign(match=f"{size}/{k}", value=[json.dumps(json.loads(v) | {"match": f"{size}/{k}"}) for v in s["value"]]) for k, s in out]
+        assert sum(s["fresh"].sum() for _, s in out) == sum(t + SETTLE <= ticks[-1] for t, _, _ in hits)  # each hit is fresh once
+    together = spark.createDataFrame(pd.concat(slices, ignore_index=True).astype({"read_at": "datetime64[ns]"}), keyed.SLICES)
+    live_kept, live_anchors = build_lines(together)
+    fresh = together.filter("fresh").select("match", "ord")
+    live = live_anchors.join(fresh, ["match", "ord"], "left_semi")
+    cols = ["attacker", "tick", "pos", "delta_yaw", "distance", "shot", "time_since_shot", "flash_remaining"]
+    want = sorted(map(tuple, kept.filter(F.col("tick") <= ticks[-1] - SETTLE).select(*cols).collect()))
+    for size in {m.split("/")[0] for m in live.select("match").distinct().toPandas()["match"]}:
+        assert facts(live.filter(F.col("match").startswith(f"{size}/"))) == settled
+        rows_of = live_kept.filter(F.col("match").startswith(f"{size}/")).join(fresh, ["match", "ord"], "left_semi")
+        assert sorted(map(tuple, rows_of.select(*cols).collect())) == want
+    for store in stores:
+        assert len(store.states["buckets"]) <= (keyed.REACH + keyed.LATE) // keyed.BUCKET + 3 and len(store.timers) == 1
+
+
+def test_a_silent_match_is_evicted_and_begins_anew(spark):
+    frame = table_lines(spark.createDataFrame(lines(), LINE)).toPandas().sort_values("tick", kind="stable")
+    _, store = taken(frame, 500)
+    assert store.timers == {2 + keyed.SILENCE_MS} and store.states["progress"].exists() and store.states["roster"] is not None
+    matches = keyed.LiveMatches(SETTLE)
+    matches.init(store)
+    assert list(matches.handleExpiredTimer(("m",), Now(9), None)) == []
+    assert not store.states["progress"].exists() and not store.states["buckets"] and not store.states["roster"]
+
+
+def test_lines_without_a_tick_stay(spark):
+    header = pd.DataFrame([("m", 0, None, None, None, None, "{}", None)], columns=keyed.COLUMNS)
+    frame = table_lines(spark.createDataFrame(lines(range(1001, 6001), [(5500, "s", "t")]), LINE)).toPandas().sort_values("tick", kind="stable")
+    (_, out), = taken(pd.concat([header, frame], ignore_index=True), 3000)[0]
+    assert (out["value"] == "{}").sum() == 1 and out["tick"].max() == 5500 + SETTLE
+
+
+@pytest.mark.parametrize("size", [1500])
 def test_stream_equals_batch(spark, tmp_path, size):
-    rows = lines()
-    for k, at in enumerate(range(0, len(rows), size)):
+    rows = lines() + lines(match="n")
+    rows.sort(key=lambda r: r[3])
+    for at in range(0, len(rows), size):
         spark.createDataFrame(rows[at : at + size], LINE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    sink = EncounterSink(str(tmp_path / "out"), keep=600)
+    sink = EncounterSink(str(tmp_path / "out"))
     follow(spark, str(tmp_path / "in"), str(tmp_path), sink)
     kept, anchors = build(spark.createDataFrame(rows, LINE))
-    # the hit at 699 isn't final: state hasn't reached 702
-    want = {tuple(r) for r in anchors.filter("tick < 698").select("attacker", "victim", "tick", "reason").collect()}
-    got = [tuple(r) for r in sink.anchors(spark).select("attacker", "victim", "tick", "reason").collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) == 3
-    cols = ["attacker", "tick", "pos", "delta_yaw", "distance", "shot", "time_since_shot"]
-    assert sorted(map(tuple, sink.encounters(spark).select(*cols).collect())) == sorted(map(tuple, kept.filter("tick < 698").select(*cols).collect()))
+    # the hit at 1699 isn't final: state hasn't reached 1702
+    want = facts(anchors.filter("tick < 1698"))
+    assert facts(sink.anchors(spark)) == want and len(want) == 6
+    cols = ["match", "attacker", "tick", "pos", "delta_yaw", "distance", "shot", "time_since_shot", "flash_remaining"]
+    assert sorted(map(tuple, sink.encounters(spark).select(*cols).collect())) == sorted(map(tuple, kept.filter("tick < 1698").select(*cols).collect()))
+    assert not list((tmp_path / "out" / "lines").glob("batch=*"))  # what a batch needs in passing is gone
 
 
 def log_lines():
@@ -90,6 +206,26 @@ def test_tail_holds_back_a_partial_line(spark, tmp_path):
     assert read(first, second) == [(21, "three"), (27, "four")] and read(second, second) == []
 
 
+def test_tail_bounds_its_batches(tmp_path):
+    """A backlog comes in batches of bounded size, whole, in order, also after restarts."""
+    text = "".join(f"{i:07d} {'x' * (i * 7919 % 190)}\n" for i in range(20_000)) + "y" * 50_000 + "\n" + "z" * 5
+    (tmp_path / "a.log").write_text(text)
+    (tmp_path / "b.log").write_text("one\ntwo\n")
+    start, got, sizes = {}, [], []
+    for restart in range(1000):
+        reader = LineReader(str(tmp_path / "*.log"), 3000, 30_000, str(tmp_path / "marks"))  # every batch after a restart
+        end = reader.latestOffset()
+        if end == start:
+            break
+        a = str(tmp_path / "a.log")
+        sizes.append(int(end[a]) - int(start.get(a, 0)))
+        got += [r[2] for p in reader.partitions(start, end) for r in reader.read(p) if r[0] == a]
+        start = end
+    assert got == text.split("\n")[:-1] and max(sizes[:-1]) <= 30_000 and sizes[-1] == 50_001 and len(sizes) > 50
+    with pytest.raises(ValueError, match="marks"):
+        LineReader("x", 1, 2)
+
+
 def test_live_scores_of_a_growing_capture(spark, tmp_path):
     text = [json.dumps(x) + "\n" for x in log_lines()]
     at, cuts = tmp_path / "c.ndjson", (1290, len(text))

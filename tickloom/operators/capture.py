@@ -19,18 +19,19 @@ RENAMED = {"vx": "avx", "vy": "avy", "vz": "avz", "ammo": "clip"}
 
 
 def player_states(states: DataFrame, bots: bool = False, derived: bool = False) -> DataFrame:
-    """match, player, tick, STATE and ord of the first row of each tick of each player.
+    """match, player, tick, STATE and ord of the first row of each tick of each player, and how many rows the tick has (copies).
 
     Bots are left out, or known by their slot. With ``derived`` the velocity
     comes from the position of the row before, not from the capture.
     """
     named = states.withColumn("player", g.player_id(F.col("steamid"), F.col("slot"), bots)).filter("player is not null")
-    first = named.withColumn("_r", F.row_number().over(W.partitionBy("capture", "player", "tick").orderBy("no"))).filter("_r = 1")
+    same = W.partitionBy("capture", "player", "tick")
+    first = named.withColumns({"copies": F.count(F.lit(1)).over(same), "_r": F.row_number().over(same.orderBy("no"))}).filter("_r = 1")
     made = {c: F.col(RENAMED.get(c, c)) for c in enc.STATE} | {"airborne": (~g.on_ground(F.col("flags"))).cast("double"), "weapon": F.coalesce("weapon", F.lit(""))}
     if derived:
         line = W.partitionBy("capture", "player").orderBy("tick")
         made |= {v: t.velocity(x, line) for v, x in (("vx", "x"), ("vy", "y"), ("vz", "z"))}
-    return first.select(F.col("capture").alias("match"), "player", "tick", *[v.alias(c) for c, v in made.items()], F.col("no").alias("ord"))
+    return first.select(F.col("capture").alias("match"), "player", "tick", *[v.alias(c) for c, v in made.items()], F.col("no").alias("ord"), "copies")
 
 
 def with_owner(events: DataFrame, states: DataFrame, slot: str, name: str, bots: bool = False) -> DataFrame:

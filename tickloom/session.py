@@ -7,6 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` stores inside go when it ends; what is read from them has to be written or collected by then."""
+    held: list[str] = []
+    token = _owned.set(held)
+    try:
+        yield
+    finally:
+        _owned.reset(token)
+        for path in held:
+            delete(spark, path)
+
+
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
@@ -49,6 +73,8 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (held := _owned.get()) is not None:
+        held.append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

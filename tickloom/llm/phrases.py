@@ -31,7 +31,7 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: A score is SCALE * a / (l + r); a phrase goes where a longer one has this percentage of its count.
 SCALE, COVERED = 2_000_000, 80
 #: Words that a task holds before it hands on what it has, and distinct words that it remembers.
-FLUSH, REMEMBERED = 2_000_000, 1_000_000
+FLUSH, REMEMBERED = 1_000_000, 500_000
 #: Suffixes that a route is meant to get, sampled suffixes for each route, and most routes.
 ROUTE, SAMPLES, MOST_ROUTES = 1_000_000, 32, 1 << 16
 #: Sampled suffixes that come to the driver, about.

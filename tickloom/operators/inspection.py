@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tickloom.operators.ranges import exact_quantiles
 from tickloom.operators.timeline import band_join, first_difference
 
 
@@ -31,14 +32,14 @@ def velocity_gap(rows: DataFrame, keys: list[str], time: str, x: str, logged: st
     w = W.partitionBy(*keys).orderBy(time)
     r = rows.withColumns({"_v": first_difference(x, w) * F.lit(rate), "_ok": (F.lag(time).over(w) == F.col(time) - 1) & F.col(alive) & F.lag(alive).over(w)}).filter("_ok")
     gap = F.abs(F.col(logged) - F.col("_v"))
-    return r.groupBy(*keys).agg(F.percentile(gap, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99), F.lit(1.0))).alias("p50_p90_p99_max"), F.count(F.lit(1)).alias("n"))
+    return exact_quantiles(r.select(*keys, gap.alias("_gap")), keys, "_gap", [0.5, 0.9, 0.99, 1.0]).select(*keys, F.col("quantiles").alias("p50_p90_p99_max"), "n")
 
 
 def step_fingerprint(rows: DataFrame, key: list[str], order: list[str], x: str) -> DataFrame:
     """Smallest non-zero step of a series, the 1st percentile of its steps, and their number."""
     w = W.partitionBy(*key).orderBy(*order)
     d = rows.withColumn("_d", F.abs(F.col(x) - F.lag(x).over(w))).filter("_d > 0")
-    return d.groupBy(*key).agg(F.min("_d").alias("smallest"), F.percentile("_d", F.lit(0.01)).alias("p01"), F.count(F.lit(1)).alias("steps"))
+    return exact_quantiles(d, key, "_d", [0.0, 0.01]).select(*key, F.col("quantiles")[0].alias("smallest"), F.col("quantiles")[1].alias("p01"), F.col("n").alias("steps"))
 
 
 def profile(rows: DataFrame, pos: str, x: str) -> DataFrame:
@@ -64,7 +65,8 @@ def modal(rows: DataFrame, key: list[str], x: str) -> DataFrame:
 
 def percentile_report(rows: DataFrame, key: list[str], x: str) -> DataFrame:
     """p50, p90, p99 and the largest value of x for each key."""
-    return rows.groupBy(*key).agg(*[F.percentile(x, F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 99)], F.max(x).alias("largest"))
+    names = ["p50", "p90", "p99", "largest"]
+    return exact_quantiles(rows, key, x, [0.5, 0.9, 0.99, 1.0]).select(*key, *[F.col("quantiles")[i].alias(n) for i, n in enumerate(names)])
 
 
 def people_per_value(rows: DataFrame, value: str, person: str) -> DataFrame:

@@ -7,24 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-#: Slices of scores that running sums go over.
-BUCKETS = 1024
+#: Slices of scores that running sums go over, about as many scores in each.
+BUCKETS = 256
 
 
 def steps(scores: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "score", weight: Column | None = None) -> DataFrame:
     """One row for each distinct score (of each ``by``): pos and neg at it, tp and fp at or above it, and the totals.
 
     Rows collapse to distinct scores first. A running sum goes over a bucket of
-    scores at a time (BUCKETS equal slices between the lowest and the highest),
-    and what lies in the buckets above comes from one row for each bucket.
+    scores at a time (BUCKETS slices between approximate quantiles, which only
+    shape the work), and what lies in the buckets above comes from one row for each bucket.
     """
     by = by or []
     w = weight if weight is not None else F.lit(1.0)
     s = scores.groupBy(*by, F.col(score).alias("score")).agg(F.sum(w * F.col(label)).alias("pos"), F.sum(w * (1 - F.col(label))).alias("neg"))
-    ends = scores.groupBy(*by).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
-    ends = s.join(ends, by) if by else s.crossJoin(F.broadcast(ends))  # one row without ``by``
-    slot = F.floor(F.try_divide(F.col("score") - F.col("_low"), F.col("_high") - F.col("_low")) * BUCKETS)
-    s = ends.withColumn("_b", F.coalesce(slot, F.lit(0)).cast("int")).drop("_low", "_high")
+    cuts = scores.groupBy(*by).agg(F.percentile_approx(F.col(score).cast("double"), [i / BUCKETS for i in range(1, BUCKETS)]).alias("_cuts"))
+    cut = s.join(cuts, by) if by else s.crossJoin(F.broadcast(cuts))  # one row without ``by``
+    slot = F.size(F.filter("_cuts", lambda c: c < F.col("score")))
+    s = cut.withColumn("_b", F.coalesce(slot, F.lit(0)).cast("int")).drop("_cuts")
     per = s.groupBy(*by, "_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     above, every = W.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*by)
     per = per.select(*by, "_b", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"{c}_above") for c in ("_p", "_n")], F.sum("_p").over(every).alias("all_pos"), F.sum("_n").over(every).alias("all_neg"))

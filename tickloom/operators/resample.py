@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,19 +44,9 @@ def bootstrap_auc(scores: DataFrame, group: str, iterations: int, seed: str = "b
 
 
 def permutation_counts(rows: DataFrame, group: str, flag: str, iterations: int, seed: str = "p") -> DataFrame:
-    """iteration and clustered: groups with two flags or more after the flags are dealt anew (iteration -1: as they are).
-
-    Flags move by rank under a hash order, one window per iteration; rows of one
-    group and flag are alike, so how they are numbered among themselves doesn't matter.
-    """
-    base = numbered(rows.select(group, flag), [group, flag])
-    laid = base.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    order = W.partitionBy("iteration").orderBy(portable_hash(F.lit(seed), F.col("iteration"), F.col("no")), "no")
-    dealt = laid.withColumn("to", F.row_number().over(order)).select("iteration", F.col("to").alias("no"), F.col(flag).alias("dealt"))
-    moved = laid.join(dealt, ["iteration", "no"]).select("iteration", group, F.col("dealt").alias(flag))
-    both = moved.union(rows.select(F.lit(-1).alias("iteration"), group, flag))
-    per = both.groupBy("iteration", group).agg(F.sum(flag).alias("n"))
-    return per.groupBy("iteration").agg(F.sum((F.col("n") >= 2).cast("long")).alias("clustered"))
+    """iteration and clustered: groups with two flags or more after the flags are dealt anew (iteration -1: as they are)."""
+    found = dealt_counts(rows, group, flag, iterations, seed)
+    return found.groupBy("iteration").agg(F.coalesce(F.sum(F.when(F.col("flags") >= 2, F.col("n"))), F.lit(0)).alias("clustered"))
 
 
 def beta_share(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,3 +137,109 @@ def permuted_correlation(rows: DataFrame, order: str, x: str, iterations: int, s
     both = dealt.select("iteration", F.col("to").alias("no"), x).unionByName(base.select(F.lit(-1).alias("iteration"), "no", x))
     w = W.partitionBy("iteration").orderBy("no")
     return both.withColumn("_a", F.lag(x).over(w)).filter("_a is not null").groupBy("iteration").agg(F.corr("_a", x).alias("similarity"))
+
+
+@dataclass(frozen=True)
+class Sums:
+    """A statistic of sums over rows: ``parts`` are summed for each group once, ``finish`` makes the statistic of what a draw adds up to."""
+
+    parts: dict[str, Column]
+    finish: Column
+
+    def cells(self, rows: DataFrame, group: str) -> DataFrame:
+        return rows.groupBy(group).agg(*[F.sum(v.cast("double")).alias(k) for k, v in self.parts.items()])
+
+    def values(self, drawn: DataFrame) -> DataFrame:
+        sums = drawn.groupBy("iteration").agg(*[F.sum(F.col(k) * F.col("times")).alias(k) for k in self.parts])
+        return sums.select("iteration", self.finish.alias("value"))
+
+
+@dataclass(frozen=True)
+class RankAuc:
+    """The AUC of a score; rows of one group, score and label collapse to a count before they meet the draws."""
+
+    score: str = "score"
+    label: str = "label"
+
+    def cells(self, rows: DataFrame, group: str) -> DataFrame:
+        return rows.groupBy(group, F.col(self.score).alias("score"), F.col(self.label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+    def values(self, drawn: DataFrame) -> DataFrame:
+        return auc(drawn, ["iteration"], weight=(F.col("n") * F.col("times")).cast("double")).select("iteration", F.col("auc").alias("value"))
+
+
+def bootstrap(rows: DataFrame, group: str, statistics: dict[str, Sums | RankAuc], iterations: int, seed: str = "b", level: float = 0.95) -> DataFrame:
+    """statistic, estimate, low, high and iterations: percentile intervals over resampled groups, all statistics over the same draws.
+
+    A statistic says what a group's rows collapse to (``cells``) and what becomes of
+    cells that are drawn so many times (``values``); draws on which it is null don't count.
+    """
+    draws = materialise(cluster_draws(rows, group, iterations, seed), "draws")
+    out = None
+    for name, s in statistics.items():
+        cells = materialise(s.cells(rows, group), "cells")
+        each = s.values(cells.join(draws, group)).filter("value is not null")
+        q = lambda p: F.percentile("value", F.lit(p))
+        spread = each.agg(q((1 - level) / 2).alias("low"), q((1 + level) / 2).alias("high"), F.count(F.lit(1)).alias("iterations"))  # a row a draw
+        whole = s.values(cells.withColumns({"iteration": F.lit(0), "times": F.lit(1).cast("long")})).select(F.col("value").alias("estimate"))
+        one = spread.join(whole, F.lit(True), "left").select(F.lit(name).alias("statistic"), "estimate", "low", "high", "iterations")  # one row each
+        out = one if out is None else out.union(one)
+    return out
+
+
+#: Hash ranges of groups that flags are dealt to first.
+RANGES = 256
+#: Rows up to which a hypergeometric draw is exact; beyond, its normal limit is drawn and rounded.
+EXACT_ROWS = 10**9
+
+
+def dealt_flags(rng: np.random.Generator, sizes: list[int], flags: int, iterations: int) -> np.ndarray:
+    """(iterations, sizes): how many of ``flags`` each set of rows gets when they are dealt to all rows, one set after the other."""
+    out, left, total = np.zeros((iterations, len(sizes)), np.int64), np.full(iterations, flags, np.int64), int(sum(sizes))
+    for i, n in enumerate(sizes):
+        rest = total - n
+        if total < EXACT_ROWS:
+            out[:, i] = rng.hypergeometric(n, rest, left) if rest else left
+        else:
+            p = n / total
+            spread = np.sqrt(np.maximum(left * p * (1 - p) * (total - left) / max(total - 1, 1), 0))
+            out[:, i] = np.clip(np.rint(rng.normal(left * p, spread)), np.maximum(left - rest, 0), np.minimum(n, left))
+        left, total = left - out[:, i], rest
+    return out
+
+
+def dealt_counts(rows: DataFrame, group: str, flag: str, iterations: int, seed: str = "p", ranges: int = RANGES) -> DataFrame:
+    """iteration, group size and flags, and n (groups like that): how flags that are dealt anew to all rows fall on the groups.
+
+    Only counts are dealt: rows of a group are alike, so the flags of a set of
+    groups are hypergeometric. The driver deals all flags to ``ranges`` hash ranges of
+    groups; each range deals its own to its groups, an iteration at a time, and counts groups
+    that come out alike. No task sees rows, and none more than a range's group sizes.
+    """
+    spark = rows.sparkSession
+    each = rows.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.sum(F.col(flag).cast("long")).alias("flags"))
+    sizes = materialise(each.withColumn("range", F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(ranges)).cast("int")), "sizes")
+    per = {r["range"]: (r["size"], r["flags"]) for r in sizes.groupBy("range").agg(F.sum("size").alias("size"), F.sum("flags").alias("flags")).collect()}
+    keys = sorted(per)
+    flags = sum(f for _, f in per.values())
+    first = np.random.default_rng([len(seed), *seed.encode()])
+    shares = dealt_flags(first, [per[k][0] for k in keys], flags, iterations)
+    shared = spark.sparkContext.broadcast({k: shares[:, i] for i, k in enumerate(keys)})  # iterations numbers a range
+
+    def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.sort(pdf["size"].to_numpy())
+        rng, out = np.random.default_rng([int(key[0]), len(seed), *seed.encode()]), []
+        flags_of = shared.value[key[0]]
+        step = max(1, 1_000_000 // len(n))  # so many iterations are counted at once
+        for at in range(0, iterations, step):
+            some = flags_of[at : at + step]
+            got = np.stack([rng.multivariate_hypergeometric(n, int(f)) for f in some]) if len(n) > 1 else some[:, None]
+            rows = np.stack([np.repeat(np.arange(at, at + len(some)), len(n)), np.tile(n, len(some)), got.ravel()])
+            found = pd.DataFrame(rows.T, columns=["iteration", "size", "flags"])
+            out.append(found.value_counts(sort=False).reset_index(name="n"))
+        return pd.concat(out)
+
+    schema = "iteration int, size long, flags long, n long"
+    dealt = sizes.select("range", "size").groupBy("range").applyInPandas(deal, schema)
+    real = sizes.groupBy("size", "flags").agg(F.count(F.lit(1)).alias("n")).select(F.lit(-1).alias("iteration"), "size", "flags", "n")
+    return dealt.union(real).groupBy("iteration", "size", "flags").agg(F.sum("n").alias("n"))

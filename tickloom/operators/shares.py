@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tickloom.operators.metrics import steps
+from tickloom.operators.ranges import exact_quantiles, running_sums
 
 
 def shares(rows: DataFrame, key: list[str], category: str, values: list[str]) -> DataFrame:
@@ -49,7 +50,8 @@ def neutral_weights(rows: DataFrame, group: str, label: str, least: int = 30, fl
 def median_adjusted(rows: DataFrame, group: str, x: str, least: int) -> DataFrame:
     """``rows`` with x less its group's median offset from the median of all (groups below ``least`` keep x)."""
     base = quantile_of(rows, x, 0.5).withColumnRenamed("at", "_base")
-    g = rows.groupBy(group).agg(F.percentile(x, F.lit(0.5)).alias("_m"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    g = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least)
+    g = g.join(exact_quantiles(rows, [group], x, [0.5]).select(group, F.col("quantiles")[0].alias("_m")), group)
     offset = g.crossJoin(F.broadcast(base)).select(group, (F.col("_m") - F.col("_base")).alias("_off"))  # base is one row
     return rows.join(offset, group, "left").withColumn("adjusted", F.col(x) - F.coalesce("_off", F.lit(0.0))).drop("_off")
 
@@ -132,10 +134,9 @@ def best_of_family(models: DataFrame, family: str, score: str, name: str, n: int
 def accepted(rows: DataFrame, player: list[str], order: list[str], n: str, share: str, least: int, most: int, target: int) -> DataFrame:
     """Candidates with ``least`` encounters or more and a share above a half, ``most`` for each player, in order until their encounters reach ``target``.
 
-    The last one that is needed is taken whole. ``rows`` are candidate maps; those
-    that pass the rules are few enough for one running sum.
+    The last one that is needed is taken whole. ``rows`` are candidate maps; ``order`` is total.
     """
     fit = rows.filter((F.col(n) >= least) & (F.col(share) > 0.5))
     few = capped(fit, player, order, most)
-    before = F.coalesce(F.sum(n).over(W.partitionBy().orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return few.withColumn("before", before).filter(F.col("before") < target)
+    upto = running_sums(few, [], order, {"before": n})
+    return upto.withColumn("before", F.col("before") - F.col(n)).filter(F.col("before") < target)

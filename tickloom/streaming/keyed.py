@@ -47,7 +47,7 @@ class LiveMatches(StatefulProcessor):
     A hit is final when the match's states have reached ``settle`` ticks after it.
     A batch may hold any number of ticks: all of its lines are there when its hits
     are cut out, and only then lines older than REACH + LATE behind the clock go.
-    Lines without a tick count from the match's start and stay.
+    Lines without a tick count from the match's start and stay. Hits need an ord of their own.
     """
 
     def __init__(self, settle: int, silence_ms: int = SILENCE_MS):
@@ -64,7 +64,9 @@ class LiveMatches(StatefulProcessor):
         return pickle.loads(found[0]) if found else None
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("ord", kind="stable")[COLUMNS]
+        new = pd.concat(list(rows))[COLUMNS]
+        new["ord"] = new["ord"].fillna(-1).astype("int64")
+        new = new.sort_values("ord", kind="stable")
         new["tick"] = new["tick"].fillna(-1).astype("int64")
         new["until"] = np.where(new["tick"] < 0, np.iinfo(np.int64).max, np.maximum(new["until"].fillna(-1).astype("int64"), new["tick"]))
         new["hit"] = new["hit"].fillna(False).astype(bool)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import os
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -70,26 +72,39 @@ def tagged(message: bytes) -> Iterator[tuple[int, int, int | bytes]]:
         yield field, wire, value
 
 
-def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """command and payload of every frame."""
-    head, at = chunk_at(data, 0, PREFIX)
+def frames(f: BinaryIO) -> Iterator[tuple[int, int, int]]:
+    """command, and where its payload begins and how long it is, of every frame; payloads are passed over, never read."""
+    size = f.seek(0, os.SEEK_END)
+
+    def number(at: int) -> tuple[int, int]:
+        f.seek(at)
+        value, used = number_at(f.read(5), 0)
+        return value, at + used
+
+    f.seek(0)
+    head, at = chunk_at(f.read(PREFIX), 0, PREFIX)
     if not head.startswith(MAGIC):
         raise BadContainer("magic")
-    while at < len(data):
-        command, at = number_at(data, at)
-        _, at = number_at(data, at)
-        size, at = number_at(data, at)
-        payload, at = chunk_at(data, at, size)
-        yield command, payload
+    while at < size:
+        command, at = number(at)
+        _, at = number(at)
+        length, at = number(at)
+        if at + length > size:
+            raise BadContainer("short")
+        yield command, at, length
+        at += length
 
 
-def container_timing(data: bytes) -> tuple[float, int]:
+def container_timing(source: bytes | BinaryIO) -> tuple[float, int]:
     """Seconds and ticks from the first file-info frame, wherever it stands; of a field that comes twice the last counts."""
-    info = next((x for x in frames(data) if x[0] & ~COMPRESSED == FILE_INFO), None)
+    f = io.BytesIO(source) if isinstance(source, bytes) else source
+    info = next((x for x in frames(f) if x[0] & ~COMPRESSED == FILE_INFO), None)
     if info is None or info[0] & COMPRESSED:
         raise BadContainer("none" if info is None else "packed")
+    f.seek(info[1])
+    message = f.read(info[2])
     found = {}
-    for field, wire, value in tagged(info[1]):
+    for field, wire, value in tagged(message):
         name, kind = TIMING.get(field, (None, wire))
         if field == 0 or kind != wire:
             raise BadContainer("field")

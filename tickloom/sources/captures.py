@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 # The capture format.
 SCHEMA_VERSION, TICKRATE = 1, 64
@@ -28,11 +29,22 @@ def parsed(lines: DataFrame) -> DataFrame:
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """capture, no (line number from 1), value, row, keys, raw, ok, last of every line that isn't blank.
 
-    Files are read whole, one row each, because a line's number and whether it ends the file matter.
+    Files are split: a range knows how many lines begin in it, and what is in the
+    ranges before comes from one row for each range. ``last`` is a line that ends its file
+    without a line break, which the bytes of all lines tell. Files are plain text
+    (a compressed one can't be split, and its bytes say nothing of its last line).
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("capture"), F.col("value").alias("text"))
-    lines = files.select("capture", F.posexplode(F.split("text", "\n", -1)).alias("no", "value"), F.col("text").endswith("\n").alias("closed"), F.size(F.split("text", "\n", -1)).alias("n"))
-    return parsed(lines.withColumn("no", F.col("no") + 1).withColumn("last", ~F.col("closed") & (F.col("no") == F.col("n"))).filter(F.trim("value") != ""))
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).select(meta["file_path"].alias("capture"), meta["file_block_start"].alias("_at"), meta["file_size"].alias("_size"), "value", F.monotonically_increasing_id().alias("_id"))
+    of = ["capture", "_at"]
+    per = lines.groupBy(*of).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"), F.sum(F.octet_length("value") + 1).alias("_bytes"), F.max("_size").alias("_size"))
+    line, whole = W.partitionBy("capture").orderBy("_at"), W.partitionBy("capture")
+    before = F.coalesce(F.sum("_n").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    over = F.sum("_bytes").over(whole) - F.col("_size")  # 1: a break is missing; 3 less where the reader took a byte-order mark
+    ranges = per.select(*of, "_first", before.alias("_before"), F.sum("_n").over(whole).alias("_all"), over.isin(1, -2).alias("_open"))
+    no = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    numbered = lines.drop("_size").join(ranges, of).withColumn("no", no)
+    return parsed(numbered.select("capture", "no", "value", (F.col("_open") & (F.col("no") == F.col("_all"))).alias("last")).filter(F.trim("value") != ""))
 
 
 def checked(lines: DataFrame) -> DataFrame:

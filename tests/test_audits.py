@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import overlaps, ranges
+from tickloom.operators import dedup, overlaps, ranges
 from tickloom.operators import resample as rs
 from tickloom.operators import splits as sp
 
@@ -164,3 +164,33 @@ def test_flags_of_many_rows_are_dealt_whole():
     out = rs.dealt_flags(np.random.default_rng(1), [4 * 10**9, 10**9, 5, 10**9], 10**9, 500)
     assert (out.sum(1) == 10**9).all() and abs(out[:, 0].mean() / (4e18 / (6 * 10**9 + 5)) - 1) < 1e-3 and out[:, 2].max() <= 5
     assert (rs.dealt_flags(np.random.default_rng(1), [3, 2], 5, 4) == [3, 2]).all()
+
+
+def nearest_of(rows, asked):
+    out = []
+    for q, g, v in asked:
+        far = [(float(np.sqrt(((np.array(x) - np.array(v)) ** 2).sum())), i) for i, h, x in rows if v is not None and x is not None and h != g and h is not None and g is not None]
+        if far:
+            d, i = min(far)
+            out.append((q, i, round(d, 9)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block, slot", [(8192, 4096), (20, 7)])
+def test_nearest_by_cells_equals_brute_force(spark, monkeypatch, block, slot):
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(dedup, "QUERY_ROWS", slot)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 10, (12, 3))
+    rows = [(i, int(i % 5), (centres[i % 12] + rng.normal(0, 0.3, 3)).tolist()) for i in range(600)]
+    rows += [(1000 + i, i % 2, centres[0].tolist()) for i in range(200)]  # a hot cell of copies, with ties
+    rows += [(2000, 3, None), (2001, None, [0.0, 0.0, 0.0]), (2002, 9, [500.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "i int, g int, v array<double>").repartition(6)
+    asked = [r for r in rows if r[0] % 10 == 0 or r[0] == 2002]
+    got = dedup.nearest_by_cells(table, "i", "g", "v", table.filter("i % 10 = 0 or i = 2002"), pivots=16).collect()
+    assert sorted((r["query"], r["nearest"], round(r["distance"], 9)) for r in got) == nearest_of(rows, asked)
+    share = sum(r["pairs"] for r in got) / (len(got) * len(rows))
+    assert share < 0.35  # of all pairs, in data that lies in clusters
+    assert dedup.nearest_other(table.limit(0), "i", "g", "v", table).collect() == []
+    only = table.filter("g = 1")
+    assert dedup.nearest_other(only, "i", "g", "v", only).collect() == []

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tickloom.session import materialise
+
 
 def duplicate_groups(rows: DataFrame, digest: str, id_col: str) -> DataFrame:
     """digest, first id, and copies of each digest that occurs more than once."""
@@ -52,40 +53,104 @@ def verified_overlaps(windows: DataFrame, record: str) -> DataFrame:
     return pairs.select(F.col(f"l.{record}").alias("a"), F.col(record).alias("b")).distinct()
 
 
-#: Bytes of query vectors that one broadcast may hold.
-BROADCAST_BYTES = 64 << 20
+#: Cells of the metric partition (their pivots are broadcast), rows of a block of a cell, and queries that meet a block at once.
+PIVOTS, BLOCK_ROWS, QUERY_ROWS = 64, 8192, 4096
+#: Distances that bounds must miss by more than this share to rule rows out: rounding.
+SLACK = 1e-9
 
 
-def nearest_other(vectors: DataFrame, id_col: str, group: str, vector: str, queries: DataFrame) -> DataFrame:
-    """query, nearest and distance: for each of ``queries`` (a stated set) the nearest vector of another group.
+def distances(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of x to one vector."""
+    return np.sqrt(((x - to) ** 2).sum(1))
+
+
+def in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``rows`` (id, g, v) with the cell of their nearest pivot and their distance to it."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_list())
+                d = np.stack([distances(x, p) for p in shared.value], 1)
+                cell = d.argmin(1)
+                yield pdf.assign(cell=cell.astype(np.int32), r=d[np.arange(len(d)), cell])
+
+    return rows.mapInPandas(run, f"id long, g {rows.schema['g'].dataType.simpleString()}, v array<double>, cell int, r double")
 
-    Euclidean; ties take the smaller id. Queries are cut into blocks of at most
-    BROADCAST_BYTES and each block is broadcast to all vectors, which keep the
-    best per query where they are: one row for each query and Arrow batch of
-    vectors goes on, never one for each pair.
+
+def compared(asked: DataFrame, placed: DataFrame, blocks: list[int], slots: int) -> DataFrame:
+    """query, nearest, distance and pairs of each of ``asked`` (id, g, v, to, d, most) in the cell ``to``, whose pivot is ``d`` away, among rows no further than ``most``.
+
+    A cell is cut into blocks and the queries into slots, so no task holds a hot cell or all queries.
+    """
+    count = F.element_at(F.array(*[F.lit(n) for n in blocks]), F.col("to") + 1)
+    left = asked.withColumns({"block": F.explode(F.sequence(F.lit(0), count - 1)), "slot": F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int")})
+    right = placed.withColumnRenamed("cell", "to").withColumn("block", F.pmod(F.xxhash64("id"), count).cast("int")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+
+    def best(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries) and len(rows):
+            rows = rows.sort_values("r", kind="stable")
+            x, r, ids, groups = np.stack(rows["v"].to_list()), rows["r"].to_numpy(), rows["id"].to_numpy(), rows["g"].to_numpy()
+            for q in queries.itertuples():
+                room = q.most * (1 + SLACK) + SLACK
+                a, z = np.searchsorted(r, q.d - room), np.searchsorted(r, q.d + room, "right")
+                some = np.flatnonzero(groups[a:z] != q.g) + a
+                if len(some):
+                    d = distances(x[some], q.v)
+                    least = d.min()
+                    out.append((q.id, ids[some[d == least]].min(), least, len(some)))
+        return pd.DataFrame(out, columns=["query", "nearest", "distance", "pairs"])
+
+    key = ["to", "block", "slot"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, "query long, nearest long, distance double, pairs long")
+
+
+def nearest_by_cells(vectors: DataFrame, id_col: str, group: str, vector: str, queries: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """query, nearest, distance and pairs (rows it was compared with): for each of ``queries`` (a stated set) the nearest vector of another group.
+
+    Euclidean and exact; ties take the smaller id; null vectors and null groups take no part. Rows lie in the
+    cells of sampled pivots. A query looks through its own cell first; what it
+    finds bounds the distance, and of the other cells it visits those that the triangle
+    inequality doesn't rule out, and in them the rows that it doesn't.
     """
-    asked = queries.select(F.col(id_col).cast("long").alias("q"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"))
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
-    blocks = max(1, -(-size.n * 8 * (size.width or 1) // BROADCAST_BYTES))
-    rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"))
-    found = []
-    for block in range(blocks):
-        some = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).toPandas()
-        shared = vectors.sparkSession.sparkContext.broadcast((some["q"].to_numpy(), some["g"].to_numpy(), np.stack([np.asarray(v, float) for v in some["v"]]) if len(some) else np.empty((0, size.width or 1))))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            q, g, x = shared.value
-            for pdf in batches:
-                if not len(pdf) or not len(q):
-                    continue
-                pdf = pdf.sort_values("i")
-                y = np.stack([np.asarray(v, float) for v in pdf["v"]])
-                for at in range(0, len(q), 256):
-                    d = np.sqrt(((x[at : at + 256, None, :] - y[None, :, :]) ** 2).sum(-1)) if len(y) * y.shape[1] < 1 << 16 else np.stack([np.sqrt(((y - r) ** 2).sum(1)) for r in x[at : at + 256]])
-                    d[g[at : at + 256, None] == pdf["g"].to_numpy()[None, :]] = np.inf
-                    best = d.argmin(1)
-                    least = d[np.arange(len(d)), best]
-                    yield pd.DataFrame({"query": q[at : at + 256], "nearest": pdf["i"].to_numpy()[best], "distance": least})[np.isfinite(least)]
-
-        found.append(rows.mapInPandas(run, "query long, nearest long, distance double"))
-    return reduce(DataFrame.unionAll, found).groupBy("query").agg(F.min_by("nearest", F.struct("distance", "nearest")).alias("nearest"), F.min("distance").alias("distance"))
+    spark = vectors.sparkSession
+    of = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null and g is not null")
+    rows, schema = of(vectors), "query long, nearest long, distance double, pairs long"
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
+    if not sample:
+        return spark.createDataFrame([], schema)
+    centres = np.unique(np.array([r["v"] for r in sample], float), axis=0)
+    placed = materialise(in_cells(rows, centres), "cells")
+    ends = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()}  # a row a pivot
+    blocks = [-(-ends[c]["n"] // BLOCK_ROWS) if c in ends else 1 for c in range(len(centres))]
+    low, high = (np.array([ends[c][k] if c in ends else np.inf for c in range(len(centres))]) for k in ("low", "high"))
+    asked = materialise(in_cells(of(queries), centres), "asked")
+    slots = max(1, -(-asked.count() // QUERY_ROWS))
+    first = materialise(compared(asked.select("id", "g", "v", F.col("cell").alias("to"), F.col("r").alias("d"), F.lit(float("inf")).alias("most")), placed, blocks, slots), "own")
+    bound = first.groupBy(F.col("query").alias("id")).agg(F.min("distance").alias("most"))
+    shared = spark.sparkContext.broadcast((centres, low, high))
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p, near, far = shared.value
+        for pdf in batches:
+            if len(pdf):
+                x, most = np.stack(pdf["v"].to_list()), pdf["most"].fillna(np.inf).to_numpy()
+                d = np.stack([distances(x, c) for c in p], 1)
+                own = d[np.arange(len(d)), pdf["cell"]]
+                least = np.maximum(np.maximum(d - far, near - d), (d - own[:, None]) / 2)
+                go = np.isfinite(near) & (least <= most[:, None] * (1 + SLACK) + SLACK)
+                go[np.arange(len(d)), pdf["cell"]] = False
+                q, to = np.nonzero(go)
+                yield pdf.iloc[q][["id", "g", "v"]].assign(to=to.astype(np.int32), d=d[q, to], most=most[q])
+
+    further = asked.join(bound, "id", "left").mapInPandas(visits, f"id long, g {asked.schema['g'].dataType.simpleString()}, v array<double>, to int, d double, most double")
+    found = first.unionByName(compared(further, placed, blocks, slots))
+    best = found.groupBy("query").agg(F.min(F.struct("distance", "nearest")).alias("b"), F.sum("pairs").alias("pairs"))
+    return best.select("query", F.col("b.nearest").alias("nearest"), F.col("b.distance").alias("distance"), "pairs")
+
+
+def nearest_other(vectors: DataFrame, id_col: str, group: str, vector: str, queries: DataFrame) -> DataFrame:
+    """query, nearest and distance, as ``nearest_by_cells`` finds them."""
+    return nearest_by_cells(vectors, id_col, group, vector, queries).drop("pairs")

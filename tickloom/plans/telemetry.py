@@ -92,3 +92,64 @@ def encounter_digest(spark, d):
     """A digest of each accepted window."""
     kept = enc.encounters(*telemetry(spark, d))[0]
     return enc.window_digest(kept, ["match", "attacker", "victim", "tick"])
+
+
+RICH_TICKS = 700
+WEAPONS = ["ak47", "awp", "glock", "mp9", "nova", "knife"]
+
+#: Telemetry in which every column moves, and a pair has two bursts.
+RICH = f"""{EV}, u AS (SELECT DISTINCT user_id FROM ev), nx AS (SELECT user_id, coalesce(lead(user_id) OVER w, first_value(user_id) OVER (PARTITION BY user_id % 8 ORDER BY user_id)) AS victim FROM u WINDOW w AS (PARTITION BY user_id % 8 ORDER BY user_id)),
+    st AS (SELECT user_id % 8 AS match, user_id AS player, t AS tick, (user_id * 37 + t * 3) % 360 - 180 + 0.3::DOUBLE AS yaw, (t % 11 - 5)::DOUBLE AS pitch, (user_id % 50 * 20 + t * (user_id % 3))::DOUBLE AS x, user_id % 7 * 30 + user_id * 0.013::DOUBLE AS y, (t * user_id % 29)::DOUBLE AS z,
+      (t % 17 - 8)::DOUBLE AS vx, (user_id % 9 - 4 + t % 3)::DOUBLE AS vy, ((t + user_id) % 5 - 2)::DOUBLE AS vz, ((t // 50 + user_id) % 2)::DOUBLE AS scoped, (t // 40 + user_id) % 3 / 2.0::DOUBLE AS duck, ((t // 30 + user_id) % 2)::DOUBLE AS airborne, (100 - (t + user_id) % 60)::DOUBLE AS health, ((t // 20 + user_id) % 101)::DOUBLE AS armor,
+      t % 21 / 4.0::DOUBLE AS recoil, t % 8 / 8.0::DOUBLE AS punch0, -(user_id % 5) / 4.0::DOUBLE AS punch1, (t % 31)::DOUBLE AS shots, (30 - t % 31)::DOUBLE AS ammo, (user_id + t // 100) % 6 AS gun, (user_id // 8) % 2 AS team FROM u, generate_series(0, {RICH_TICKS - 1}) g(t)),
+    hu AS (SELECT event_id AS ord, ev.user_id AS attacker, victim, 257 + 300 * b + event_id % 40 AS tick FROM ev JOIN nx USING (user_id), (VALUES (0), (1)) t(b) WHERE event_type IN ('click', 'purchase') AND ev.user_id <> victim AND (ev.user_id // 8) % 2 <> (victim // 8) % 2),
+    an AS (SELECT * FROM hu WINDOW w AS (PARTITION BY attacker, victim ORDER BY tick, ord) QUALIFY lag(tick) OVER w IS NULL OR tick - lag(tick) OVER w > 128),
+    fi AS (SELECT DISTINCT user_id AS player, event_id % {RICH_TICKS} AS tick FROM ev WHERE event_type = 'view'), sp AS (SELECT DISTINCT user_id AS player, event_id % {RICH_TICKS} AS tick FROM ev WHERE event_type = 'signup'), bl AS (SELECT user_id AS player, event_id % {RICH_TICKS} AS s FROM ev WHERE event_type = 'error'),
+    no AS (SELECT player, tick FROM fi UNION SELECT player, tick FROM sp), s1 AS (SELECT st.*, fi.tick AS fire, sp.tick AS step, no.tick AS noise FROM st LEFT JOIN fi USING (player, tick) LEFT JOIN sp USING (player, tick) LEFT JOIN no USING (player, tick)),
+    fl AS (SELECT bl.player, bl.s + k AS tick, max(0.5 - k / 64.0) AS flash FROM bl, generate_series(0, 32) g(k) GROUP BY 1, 2),
+    tl AS (SELECT s1.*, max(fire) OVER w AS lf, max(noise) OVER w AS ln, coalesce(flash, 0)::DOUBLE AS flash FROM s1 LEFT JOIN fl USING (player, tick) WINDOW w AS (PARTITION BY player ORDER BY tick))"""
+
+
+def rich_telemetry(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """ticks, hurts, fires, steps and blinds in which every column of the state moves."""
+    e, u, t, i = events(spark, d), F.col("user_id"), F.col("tick"), F.col("event_id")
+    users = e.select("user_id").distinct()
+    line = W.partitionBy(u % 8).orderBy("user_id")
+    nexts = users.select("user_id", F.coalesce(F.lead("user_id").over(line), F.first("user_id").over(line)).alias("victim"))
+    laid = users.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RICH_TICKS - 1).cast("long"))).alias("tick"))
+    by = lambda c, n: F.floor(c / n)
+    match, name = (u % 8).cast("string").alias("match"), lambda c: F.concat(F.lit("p"), c.cast("string"))
+    made = {
+        "yaw": (u * 37 + t * 3) % 360 - 180 + 0.3, "pitch": t % 11 - 5, "x": u % 50 * 20 + t * (u % 3), "y": u % 7 * 30 + u * 0.013, "z": t * u % 29, "vx": t % 17 - 8, "vy": u % 9 - 4 + t % 3, "vz": (t + u) % 5 - 2,
+        "team": by(u, 8) % 2 + 2, "round": F.lit(0), "scoped": (by(t, 50) + u) % 2, "duck": (by(t, 40) + u) % 3 / 2, "airborne": (by(t, 30) + u) % 2, "health": 100 - (t + u) % 60, "armor": (by(t, 20) + u) % 101,
+        "recoil": t % 21 / 4, "punch0": t % 8 / 8, "punch1": -(u % 5) / 4, "shots": t % 31, "ammo": 30 - t % 31,
+    }
+    weapon = F.element_at(F.array(*[F.lit(w) for w in WEAPONS]), ((u + by(t, 100)) % 6 + 1).cast("int"))
+    ticks = laid.select(match, name(u).alias("player"), "tick", *[v.cast("double").alias(k) for k, v in made.items()], F.lit(True).alias("alive"), F.lit(False).alias("warmup"), weapon.alias("weapon"))
+    hits = e.filter("event_type in ('click', 'purchase')").join(nexts, "user_id").withColumn("burst", F.explode(F.array(F.lit(0), F.lit(1))))
+    hurts = hits.select(match, i.alias("ord"), (257 + 300 * F.col("burst") + i % 40).alias("tick"), name(u).alias("attacker"), name(F.col("victim")).alias("victim"), F.lit("ak47").alias("weapon"))
+    who, at = [match, name(u).alias("player")], (i % RICH_TICKS).alias("tick")
+    of = lambda kind, *more: e.filter(F.col("event_type") == kind).select(*who, at, *more)
+    return ticks, hurts, of("view", F.lit("weapon_ak47").alias("weapon")), of("signup"), of("error", F.lit(0.5).alias("duration"))
+
+
+def weighed(names) -> str:
+    return ", ".join(f"round(sum({n} * (pos % 5 + 1))::DOUBLE, 3) + 0 AS {n}" for n in names)
+
+
+@query(
+    f"""WITH {RICH}, win AS (SELECT an.attacker, an.victim, an.tick AS at_tick, a.tick - an.tick + 256 AS pos, a.yaw, a.pitch, v.x - a.x AS dx, v.y - a.y AS dy, v.z - 18 * v.duck - a.z + 18 * a.duck AS dz, v.vx - a.vx AS rx, v.vy - a.vy AS ry, a.fire IS NOT NULL AS shot_, sqrt(a.vx * a.vx + a.vy * a.vy) AS attacker_speed, sqrt(v.vx * v.vx + v.vy * v.vy) AS victim_speed,
+      a.vz AS attacker_vertical_speed, v.vz AS victim_vertical_speed, a.scoped, a.duck AS crouch, a.airborne, a.flash AS flash_remaining, a.health, a.armor, a.recoil AS recoil_index, a.punch0 AS punch_pitch, a.punch1 AS punch_yaw, a.shots AS shots_in_burst, a.ammo, least(coalesce((a.tick - a.lf) / 64.0, 5), 5) AS time_since_shot, (v.fire IS NOT NULL)::INT AS victim_shot, (v.step IS NOT NULL)::INT AS victim_footstep,
+      least(coalesce((v.tick - v.ln) / 64.0, 5), 5) AS time_since_victim_noise, v.duck AS victim_crouch, v.health AS victim_health, a.gun FROM an JOIN tl a ON a.player = an.attacker AND a.tick >= an.tick - 256 AND a.tick < an.tick JOIN tl v ON v.player = an.victim AND v.tick = a.tick),
+    h AS (SELECT *, greatest(sqrt(dx * dx + dy * dy), 1) AS hz, degrees(atan2(dy, dx)) AS bear FROM win), k AS (SELECT *, -degrees(atan2(dz, hz)) AS elev FROM h),
+    c AS (SELECT *, yaw - lag(yaw) OVER w AS d1, coalesce(pitch - lag(pitch) OVER w, 0) AS delta_pitch, bear - lag(bear) OVER w AS d2, coalesce(elev - lag(elev) OVER w, 0) AS target_pitch_rate, bear - yaw AS d3 FROM k WINDOW w AS (PARTITION BY attacker, victim, at_tick ORDER BY pos)),
+    f AS (SELECT *, coalesce(d1 + 180 - 360 * floor((d1 + 180) / 360) - 180, 0) AS delta_yaw, coalesce(d2 + 180 - 360 * floor((d2 + 180) / 360) - 180, 0) AS target_yaw_rate, d3 + 180 - 360 * floor((d3 + 180) / 360) - 180 AS target_error_yaw, elev - pitch AS target_error_pitch, shot_::INT AS shot, sqrt(hz * hz + dz * dz) AS distance, dz AS relative_height,
+      -(rx * dx + ry * dy) / hz AS closing_speed, (rx * dy - ry * dx) / hz AS lateral_speed, (gun = 0)::INT AS weapon_auto, (gun = 1)::INT AS weapon_sniper, (gun = 2)::INT AS weapon_pistol, (gun = 3)::INT AS weapon_smg, (gun = 4)::INT AS weapon_shotgun FROM c),
+    z AS (SELECT *, coalesce(delta_yaw - lag(delta_yaw) OVER w, 0) AS yaw_acceleration, coalesce(delta_pitch - lag(delta_pitch) OVER w, 0) AS pitch_acceleration FROM f WINDOW w AS (PARTITION BY attacker, victim, at_tick ORDER BY pos))
+    SELECT 'p' || attacker AS attacker, at_tick AS tick, {weighed(enc.CHANNELS)} FROM z GROUP BY attacker, victim, at_tick"""
+)
+def encounter_all_channels(spark, d):
+    """All 39 channels of every window, each summed with weights by place."""
+    kept = enc.encounters(*rich_telemetry(spark, d))[0]
+    sums = [r(F.sum(F.col(c) * (F.col("pos") % 5 + 1)), 3).alias(c) for c in enc.CHANNELS]
+    return kept.groupBy("attacker", "victim", "tick").agg(*sums).drop("victim")

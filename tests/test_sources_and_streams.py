@@ -4,6 +4,8 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +151,9 @@ def test_text_sinks_and_footers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "l")).count() == 4
     a.write.parquet(str(tmp_path / "p"))
     assert {r["column"]: r.nulls for r in tables.footer_null_counts(spark, str(tmp_path / "p")).collect()} == {"k": 0, "v": 1, "s": 1}
+    (tmp_path / "q").mkdir()
+    pq.write_table(pa.table({"k": [1, None, 3], "s": ["a", None, None], "x": [0.5, None, 1.0], "v.w": [None, None, 1]}), tmp_path / "q" / "a.parquet", write_statistics=["k", "v.w"])
+    assert {r["column"]: r.nulls for r in tables.footer_null_counts(spark, str(tmp_path / "q")).collect()} in ({"k": 1}, {"k": 1, "v.w": 2})
 
 
 def test_tables(spark, tmp_path):

@@ -147,7 +147,8 @@ def conversation_bags(spark, d):
 
 @query("SELECT " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS {c}" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")) + " FROM events")
 def null_counts(spark, d):
-    from tickloom.sources.tables import null_counts as counted
+    """Nulls of each column of events, from the footers of its files."""
+    from tickloom.sources.tables import footer_null_counts
 
-    e = read_table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    return counted(e).groupBy().pivot("column", e.columns).agg(F.sum("nulls").cast("long"))
+    columns = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    return footer_null_counts(spark, f"{d}/events.parquet").groupBy().pivot("column", columns).agg(F.sum("nulls").cast("long"))

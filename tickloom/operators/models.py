@@ -51,9 +51,9 @@ def fit_platt(scores: DataFrame, label: str = "label", score: str = "score", c:
     return slope, offset
 
 
-def best_blend(scores: DataFrame, one: str, two: str, weights: tuple[float, ...] = (0, 0.25, 0.5, 0.75, 1)) -> DataFrame:
-    """weight (of ``one``) and auc of every blend, best first; ties prefer the smaller weight."""
-    mixed = [scores.select("label", F.lit(float(w)).alias("weight"), blend({one: w, two: 1 - w}).alias("score")) for w in weights]
+def best_blend(scores: DataFrame, one: str, two: str, weights: tuple[float, ...] = (0, 0.25, 0.5, 0.75, 1), digits: int = 9) -> DataFrame:
+    """weight (of ``one``) and auc of every blend, best first; ties prefer the smaller weight. Scores that agree to ``digits`` are ties."""
+    mixed = [scores.select("label", F.lit(float(w)).alias("weight"), F.round(blend({one: w, two: 1 - w}), digits).alias("score")) for w in weights]
     return auc(reduce(DataFrame.unionByName, mixed), ["weight"]).orderBy(F.desc("auc"), "weight")
 
 

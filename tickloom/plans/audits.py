@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import overlaps, ranges
 from tickloom.operators import resample as rs
 from tickloom.operators import splits as sp
-from tickloom.plans.registry import EV, SC, events, n, query, r, scores
+from tickloom.plans.registry import EV, draws, events, n, query, r, scores
 from tickloom.plans.telemetry import counted, reasons, telemetry
 from tickloom.session import delete, read_table, shared_dir
 
@@ -67,12 +67,8 @@ def near_index_pairs(spark, d):
     return per.crossJoin(F.broadcast(total)).select("held_out", "n", "pairs", "nearest", r(F.col("n") / F.col("all")).alias("share"))
 
 
-DRAWS = f"""{SC}, g AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS no, count(*) OVER () AS k FROM (SELECT DISTINCT source FROM sc)), it AS (SELECT i FROM generate_series(0, 39) t(i)),
-    t AS (SELECT i, source, count(*) AS times FROM (SELECT i, ('0x' || substr(md5('b/' || i || '/' || g.no), 1, 8))::BIGINT % k AS hit FROM g, it) d JOIN g ON g.no = d.hit GROUP BY 1, 2 UNION ALL SELECT -1, source, 1 FROM g)"""
-
-
 @query(
-    f"""WITH {DRAWS}, w AS (SELECT i, score, label, sum(times)::DOUBLE AS w FROM t JOIN sc USING (source) GROUP BY ALL), s AS (SELECT i, score, sum(w * label) AS pos, sum(w * (1 - label)) AS neg FROM w GROUP BY ALL),
+    f"""WITH {draws(40)}, w AS (SELECT i, score, label, sum(times)::DOUBLE AS w FROM t JOIN sc USING (source) GROUP BY ALL), s AS (SELECT i, score, sum(w * label) AS pos, sum(w * (1 - label)) AS neg FROM w GROUP BY ALL),
     c AS (SELECT *, sum(neg) OVER (PARTITION BY i ORDER BY score) AS below, sum(pos) OVER (PARTITION BY i) AS p, sum(neg) OVER (PARTITION BY i) AS n FROM s),
     v AS (SELECT 'auc' AS statistic, i, sum(pos * (below - neg / 2)) / (max(p) * max(n)) AS value FROM c GROUP BY i HAVING max(p) * max(n) > 0
       UNION ALL SELECT 'mean', i, sum(w * score) / sum(w) FROM w GROUP BY i UNION ALL SELECT 'rate', i, sum(w) FILTER (score >= 0.3 AND label = 0) / sum(w) FILTER (label = 0) FROM w GROUP BY i)

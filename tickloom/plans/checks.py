@@ -13,7 +13,7 @@ from tickloom.operators import models as mo
 from tickloom.operators import shares as sh
 from tickloom.operators import summaries as su
 from tickloom.operators import timeline as t
-from tickloom.plans.registry import EV, SC, events, n, query, r, read_table, scores
+from tickloom.plans.registry import EV, SC, draws, events, n, query, r, read_table, scores
 
 
 @query(f"WITH {EV}, h AS (SELECT user_id, (tick // 3600) % 24 AS hour, count(*) AS n FROM ev GROUP BY 1, 2) SELECT user_id, arg_min(hour, (-n, hour)) AS modal, max(n) AS n FROM h GROUP BY 1")
@@ -243,11 +243,15 @@ def rank_correlation_p(spark, d):
     return resample.correlation_p(sh.spearman(scores(spark, d), "score", "label"), "rho", "n").select(r("rho").alias("rho"), "n", r("p_value").alias("p_value"))
 
 
-@query()
+@query(
+    f"""WITH {draws(50)}, two AS (SELECT 'a' AS kind, source, label, score FROM sc UNION ALL SELECT 'b', source, label, doc_id % 10 / 10.0::DOUBLE FROM sc), s AS (SELECT kind, i, score, sum(times * label)::DOUBLE AS pos, sum(times * (1 - label))::DOUBLE AS neg FROM t JOIN two USING (source) WHERE i >= 0 GROUP BY ALL),
+    c AS (SELECT *, sum(neg) OVER (PARTITION BY kind, i ORDER BY score) AS below, sum(pos) OVER (PARTITION BY kind, i) AS p, sum(neg) OVER (PARTITION BY kind, i) AS n FROM s), a AS (SELECT kind, i, sum(pos * (below - neg / 2)) / (max(p) * max(n)) AS auc FROM c GROUP BY ALL HAVING max(p) * max(n) > 0),
+    d AS (SELECT i, max(auc) FILTER (kind = 'a') - max(auc) FILTER (kind = 'b') AS d FROM a GROUP BY 1) SELECT round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, count(d) AS iterations FROM d"""
+)
 def paired_bootstrap(spark, d):
     """The interval of the difference of two AUCs over resampled sources."""
     s = scores(spark, d).withColumn("other", F.col("doc_id") % 10 / F.lit(10.0))
-    return resample.bootstrap_difference(s, "source", "score", "other", 50)
+    return resample.bootstrap_difference(s, "source", "score", "other", 50).select(r("low").alias("low"), r("high").alias("high"), "iterations")
 
 
 @query()

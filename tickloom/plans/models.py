@@ -29,15 +29,8 @@ def platt_fit(spark, d):
     SELECT x.weight, round(sum(CASE WHEN x.s > y.s THEN 1.0::DOUBLE WHEN x.s = y.s THEN 0.5 ELSE 0 END) / count(*), 4) AS auc FROM b x JOIN b y USING (weight) WHERE x.label = 1 AND y.label = 0 GROUP BY 1"""
 )
 def blend_selection(spark, d):
-    from tickloom.functions.geometry import blend
-    from tickloom.operators.metrics import auc
-
     s = scores(spark, d).withColumn("other", F.col("doc_id") % 10 / F.lit(10.0))
-    parts = [s.select("label", F.lit(float(w)).alias("weight"), F.round(blend({"score": w, "other": 1 - w}), 9).alias("score")) for w in (0, 0.25, 0.5, 0.75, 1)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return auc(every, ["weight"]).select("weight", r("auc", 4).alias("auc"))
+    return mo.best_blend(s, "score", "other").select("weight", r("auc", 4).alias("auc"))
 
 
 H = "('0x' || substr(md5('bag/' || event_id), 1, 8))::BIGINT"

@@ -48,4 +48,10 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(docs, "doc_id").select("doc_id", "label", F.round("raw", 2).alias("score"), "lang", "source")
 
 
+def draws(iterations: int) -> str:
+    """SQL of the draws of sources that ``resample.cluster_draws`` makes with seed b: t (i, source, times), with -1 for every source once."""
+    return f"""{SC}, g AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS no, count(*) OVER () AS k FROM (SELECT DISTINCT source FROM sc)), it AS (SELECT i FROM generate_series(0, {iterations - 1}) t(i)),
+    t AS (SELECT i, source, count(*) AS times FROM (SELECT i, ('0x' || substr(md5('b/' || i || '/' || g.no), 1, 8))::BIGINT % k AS hit FROM g, it) d JOIN g ON g.no = d.hit GROUP BY 1, 2 UNION ALL SELECT -1, source, 1 FROM g)"""
+
+
 SC = "sc AS (SELECT l.doc_id, l.quality AS label, round(least(d.n_chars, 4000) / 4000.0::DOUBLE, 2) AS score, d.lang, d.source FROM labels l JOIN documents d USING (doc_id))"

@@ -117,20 +117,23 @@ def constant_records(spark, d):
 def stream_equals_batch(spark, d):
     """Anchors that a replayed stream emits over several micro-batches: as many as the batch operator finds.
 
-    Files of ranges of time come in any order, so the watermark waits as long as
-    all of them span; a last file moves event time beyond that.
+    Hits are written in time order, range after range, and files are read in the order in which
+    they came, so the watermark waits as long as one range spans, and state holds
+    the hits of about one range. A last file moves event time beyond all.
     """
     import uuid
 
-    from tickloom.session import shared_dir
+    from tickloom.session import materialise, shared_dir
     from tickloom.streaming import live
 
     base = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
     hits = events(spark, d).filter("event_type in ('click', 'view', 'purchase')").select("user_id", "tick", "event_id")
-    ends = hits.agg(F.min("tick").alias("a"), F.max("tick").alias("b")).first()
-    span = (ends.b or 0) - (ends.a or 0) + 1
-    hits.repartitionByRange(8, "tick").write.parquet(f"{base}/in")
-    last = spark.createDataFrame([(-1, (ends.b or 0) + k * 4 * span, -k) for k in (1, 2)], hits.schema)
+    laid = materialise(hits.repartitionByRange(8, "tick").withColumn("part", F.spark_partition_id()), "hits", "part")
+    ends = laid.groupBy("part").agg(F.min("tick").alias("a"), F.max("tick").alias("b")).orderBy("part").collect()  # a row a range
+    span, top = max((e.b - e.a + 1 for e in ends), default=1), max((e.b for e in ends), default=0)
+    for e in ends:
+        laid.filter(F.col("part") == e.part).select(*hits.columns).write.mode("append").parquet(f"{base}/in")
+    last = spark.createDataFrame([(-1, top + k * 4 * span, -k) for k in (1, 2)], hits.schema)
     last.coalesce(1).write.mode("append").parquet(f"{base}/in")
     stream = live.live_anchors(live.stream_of(spark, f"{base}/in", "user_id long, tick long, event_id long", 3), "user_id", "tick", "event_id", 7200, delay=f"{span * live.TICK_US // 1_000_000 + 1} seconds")
     found = live.stored_to_end(stream, f"{base}/out", f"{base}/checkpoint")

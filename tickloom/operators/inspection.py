@@ -128,3 +128,40 @@ def local_alias(rows: DataFrame, match: list[str], player: str, prefix: str = "P
     names = rows.select(*match, player).distinct()
     ranked = names.withColumn("alias", F.concat(F.lit(prefix), F.row_number().over(W.partitionBy(*match).orderBy(player)).cast("string")))
     return rows.join(ranked, [*match, player])
+
+
+def judged_hits(states: DataFrame, hurts: DataFrame, guns: list[str], gap: int, window: int = 256, lookback: int = 8) -> DataFrame:
+    """capture, no, tick, verdict and drop_offset of the first hit of every burst: whether the victim's health gives the hit away before it.
+
+    states: capture, slot, tick, team, alive, health; hurts: capture, no, tick,
+    attacker, victim, weapon. The first that holds counts: ``skipped`` (a side has no state
+    one tick before), ``team_damage``, ``not_alive_throughout`` the window,
+    ``confounded`` (other damage to the victim within ``lookback`` ticks), else ``passed`` where health
+    stands still over the ticks before, ``failed`` where it moves. Of the last two
+    drop_offset is the tick, from ``lookback`` before to as many after, at which health first falls (null: it doesn't).
+    """
+    from tickloom.operators.encounters import burst_anchors, strip_weapon
+
+    key = ["capture", "no"]
+    fit = hurts.filter(strip_weapon(F.col("weapon")).isin(*guns) & (F.col("attacker") != F.col("victim")) & (F.col("attacker") >= 0))
+    a = burst_anchors(fit, ["capture", "attacker", "victim"], "tick", "no", gap).select(*key, "tick", "attacker", "victim")
+    side = lambda who: states.select("capture", F.col("slot").alias(who), F.col("tick").alias("_t"), "team", "alive", "health")
+    seen = {who: band_join(a.select(*key, "tick", who), side(who), ["capture", who], "tick", "_t", window, lookback + 1) for who in ("attacker", "victim")}
+    at, before = F.col("_t") == F.col("tick") - 1, F.col("_t") < F.col("tick")
+    close = before & (F.col("_t") >= F.col("tick") - lookback)
+    facts = lambda who: seen[who].groupBy(*key).agg(F.max(F.when(at, F.col("team"))).alias(f"{who}_team"), F.max(at).alias(f"{who}_here"), F.min(F.when(before, F.col("alive").cast("int"))).alias(f"{who}_alive"))
+    near = seen["victim"].filter(F.col("_t") >= F.col("tick") - lookback)
+    first = near.groupBy(*key).agg(F.min_by("health", F.when(close, F.col("_t"))).alias("_first"), F.min(F.when(close, F.col("health"))).alias("_low"), F.max(F.when(close, F.col("health"))).alias("_high"))
+    drops = near.join(first, key).filter(F.col("health") < F.col("_first")).groupBy(*key).agg(F.min(F.col("_t") - F.col("tick")).alias("_drop"))
+    others = hurts.select("capture", F.col("no").alias("_no"), "victim", F.col("tick").alias("_t"))
+    confounded = band_join(a.select(*key, "tick", "victim"), others, ["capture", "victim"], "tick", "_t", lookback, lookback + 1).filter(F.col("_no") != F.col("no")).select(*key).distinct().withColumn("_other", F.lit(True))
+    j = a.join(facts("attacker"), key, "left").join(facts("victim"), key, "left").join(first, key, "left").join(drops, key, "left").join(confounded, key, "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    verdict = F.when(~yes("attacker_here") | ~yes("victim_here"), "skipped").when(F.col("attacker_team") == F.col("victim_team"), "team_damage").when(F.coalesce(F.least("attacker_alive", "victim_alive"), F.lit(0)) == 0, "not_alive_throughout")
+    verdict = verdict.when(yes("_other"), "confounded").when(F.col("_low") == F.col("_high"), "passed").otherwise("failed")
+    return j.withColumn("verdict", verdict).select(*key, "tick", "verdict", F.when(F.col("verdict").isin("passed", "failed"), F.col("_drop")).alias("drop_offset"))
+
+
+def capture_report(states: DataFrame, hurts: DataFrame, guns: list[str], gap: int) -> DataFrame:
+    """capture, verdict, drop_offset and n of ``judged_hits``: the counts of all verdicts, and how the offsets of drops are spread."""
+    return judged_hits(states, hurts, guns, gap).groupBy("capture", "verdict", "drop_offset").agg(F.count(F.lit(1)).alias("n"))

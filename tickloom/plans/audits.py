@@ -124,3 +124,36 @@ def live_encounter_reasons(spark, d):
     found = sink.anchors(spark)
     delete(spark, f"{base}/in")
     return counted(found)
+
+
+@query(
+    f"""WITH {EV}, u AS (SELECT DISTINCT user_id FROM ev), nx AS (SELECT user_id, coalesce(lead(user_id) OVER w, first_value(user_id) OVER (PARTITION BY user_id % 8 ORDER BY user_id)) AS victim FROM u WINDOW w AS (PARTITION BY user_id % 8 ORDER BY user_id)),
+    st AS (SELECT user_id AS slot, t AS tick, (user_id // 8) % 2 AS team, (user_id % 13 <> 5 OR t <> 100) AS alive, 200 - (t // 20 + user_id) % 101 AS health FROM u, generate_series(0, {TICKS * 2 - 1}) g(t) WHERE (user_id + t) % 97 <> 0),
+    h AS (SELECT event_id AS no, user_id AS attacker, victim, event_id % {TICKS * 2} AS tick, event_id % 10 <> 0 AS gun FROM ev JOIN nx USING (user_id) WHERE event_type IN ('click', 'purchase')),
+    an AS (SELECT * FROM h WHERE gun AND attacker <> victim WINDOW w AS (PARTITION BY attacker, victim ORDER BY tick, no) QUALIFY lag(tick) OVER w IS NULL OR tick - lag(tick) OVER w > 128),
+    al AS (SELECT an.no, bool_and(s.alive) AS alive FROM an JOIN st s ON s.slot IN (an.attacker, an.victim) AND s.tick >= an.tick - 256 AND s.tick < an.tick GROUP BY 1),
+    nr AS (SELECT an.no, an.tick AS t, s.tick, s.health, s.tick < an.tick AS pre FROM an JOIN st s ON s.slot = an.victim AND s.tick BETWEEN an.tick - 8 AND an.tick + 8),
+    be AS (SELECT no, min(health) AS low, max(health) AS high, arg_min(health, tick) AS first FROM nr WHERE pre GROUP BY 1), dr AS (SELECT no, min(tick - t) AS off FROM nr JOIN be USING (no) WHERE health < first GROUP BY 1),
+    co AS (SELECT DISTINCT an.no FROM an JOIN h o ON o.victim = an.victim AND o.no <> an.no AND abs(o.tick - an.tick) <= 8),
+    v AS (SELECT an.no, CASE WHEN a.slot IS NULL OR b.slot IS NULL THEN 'skipped' WHEN a.team = b.team THEN 'team_damage' WHEN NOT coalesce(al.alive, false) THEN 'not_alive_throughout' WHEN co.no IS NOT NULL THEN 'confounded' WHEN low = high THEN 'passed' ELSE 'failed' END AS verdict, off
+      FROM an LEFT JOIN st a ON a.slot = an.attacker AND a.tick = an.tick - 1 LEFT JOIN st b ON b.slot = an.victim AND b.tick = an.tick - 1 LEFT JOIN al USING (no) LEFT JOIN be USING (no) LEFT JOIN dr USING (no) LEFT JOIN co ON co.no = an.no)
+    SELECT verdict, CASE WHEN verdict IN ('passed', 'failed') THEN off END AS drop_offset, count(*) AS n FROM v GROUP BY 1, 2"""
+)
+def capture_verdicts(spark, d):
+    """Whether health gives hits away before they are stamped: verdicts and offsets of drops, over captures that follow from events."""
+    from pyspark.sql import Window as W
+
+    from tickloom.operators import encounters as enc
+    from tickloom.operators import inspection as ins
+
+    e, u, t, i = events(spark, d), F.col("user_id"), F.col("tick"), F.col("event_id")
+    users = e.select("user_id").distinct()
+    line = W.partitionBy(u % 8).orderBy("user_id")
+    nexts = users.select("user_id", F.coalesce(F.lead("user_id").over(line), F.first("user_id").over(line)).alias("victim"))
+    laid = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(TICKS * 2 - 1))).alias("tick")).filter((u + t) % 97 != 0)
+    capture = (u % 8).cast("string").alias("capture")
+    states = laid.select(capture, u.alias("slot"), "tick", (F.floor(u / 8) % 2).alias("team"), ((u % 13 != 5) | (t != 100)).alias("alive"), (200 - (F.floor(t / 20) + u) % 101).alias("health"))
+    hits = e.filter("event_type in ('click', 'purchase')").join(nexts, "user_id")
+    hurts = hits.select(capture, i.alias("no"), (i % (TICKS * 2)).alias("tick"), u.alias("attacker"), "victim", F.when(i % 10 == 0, "knife").otherwise("weapon_ak47").alias("weapon"))
+    report = ins.capture_report(states, hurts, enc.GUNS, enc.BURST_GAP)
+    return report.groupBy("verdict", "drop_offset").agg(F.sum("n").cast("long").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tickloom.functions.geometry import wrap_angle
 from tickloom.operators.ranges import exact_quantiles
 from tickloom.operators.timeline import band_join, first_difference
 
@@ -165,3 +166,34 @@ def judged_hits(states: DataFrame, hurts: DataFrame, guns: list[str], gap: int,
 def capture_report(states: DataFrame, hurts: DataFrame, guns: list[str], gap: int) -> DataFrame:
     """capture, verdict, drop_offset and n of ``judged_hits``: the counts of all verdicts, and how the offsets of drops are spread."""
     return judged_hits(states, hurts, guns, gap).groupBy("capture", "verdict", "drop_offset").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: A difference below this is agreement.
+SAME = 1e-3
+
+
+def shift_agreement(one: DataFrame, two: DataFrame, keys: list[str], time: str, angle: str, clock: int = 0, most: int = 3) -> DataFrame:
+    """shift, n, p50 and p99: how far an angle of ``one`` is from that of ``two`` at time + clock + shift, for every shift from -most to most.
+
+    Rows of ``one`` whose ``alive`` is false don't count. One equi join for all shifts.
+    """
+    shifted = one.filter("alive").select(*keys, F.col(angle).alias("_a"), F.col(time).alias("_t"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift"))
+    met = shifted.withColumn(time, F.col("_t") + clock + F.col("shift")).join(two.select(*keys, time, F.col(angle).alias("_b")), [*keys, time])
+    q = exact_quantiles(met.select("shift", F.abs(wrap_angle(F.col("_a") - F.col("_b"))).alias("_d")), ["shift"], "_d", [0.5, 0.99])
+    return q.select("shift", "n", F.col("quantiles")[0].alias("p50"), F.col("quantiles")[1].alias("p99"))
+
+
+def best_shift(agreement: DataFrame) -> DataFrame:
+    """One row: the shift with the smallest median difference (ties: the smallest shift)."""
+    return agreement.agg(F.min_by("shift", F.struct("p50", "shift")).alias("shift"))
+
+
+def field_agreement(one: DataFrame, two: DataFrame, keys: list[str], time: str, fields: list[str], angles: list[str], clock: int = 0) -> DataFrame:
+    """field, n, p50, p99 and same: how far fields of ``one`` are from those of ``two`` at time + clock; differences that aren't finite don't count."""
+    left = one.filter("alive").select(*keys, (F.col(time) + clock).alias(time), *[F.col(f).cast("double").alias(f"_a{f}") for f in fields])
+    met = left.join(two.select(*keys, time, *[F.col(f).cast("double").alias(f"_b{f}") for f in fields]), [*keys, time])
+    gap = lambda f: F.abs(wrap_angle(F.col(f"_a{f}") - F.col(f"_b{f}")) if f in angles else F.col(f"_a{f}") - F.col(f"_b{f}"))
+    each = met.select(*[gap(f).alias(f) for f in fields]).unpivot([], fields, "field", "_d").filter("_d is not null and not isnan(_d) and _d < double('infinity')")
+    same = each.groupBy("field").agg(F.avg((F.col("_d") < SAME).cast("double")).alias("same"))
+    q = exact_quantiles(each, ["field"], "_d", [0.5, 0.99])
+    return q.join(same, "field").select("field", "n", F.col("quantiles")[0].alias("p50"), F.col("quantiles")[1].alias("p99"), "same")

@@ -157,3 +157,42 @@ def capture_verdicts(spark, d):
     hurts = hits.select(capture, i.alias("no"), (i % (TICKS * 2)).alias("tick"), u.alias("attacker"), "victim", F.when(i % 10 == 0, "knife").otherwise("weapon_ak47").alias("weapon"))
     report = ins.capture_report(states, hurts, enc.GUNS, enc.BURST_GAP)
     return report.groupBy("verdict", "drop_offset").agg(F.sum("n").cast("long").alias("n"))
+
+
+PARITY = f"""{EV}, u AS (SELECT DISTINCT user_id FROM ev), a AS (SELECT user_id, t AS tick, ((user_id * 37 + t * t) % 360 - 180)::DOUBLE AS yaw, (t % 50)::DOUBLE AS health, (user_id + t) % 10 <> 0 AS alive FROM u, generate_series(0, 199) g(t)),
+    b AS (SELECT user_id, t + 2 AS tick, ((user_id * 37 + t * t) % 360 - 180 + (t % 7) * 0.25)::DOUBLE AS yaw, (t % 50 + CASE WHEN t % 4 = 0 THEN 1 ELSE 0 END)::DOUBLE AS health FROM u, generate_series(0, 199) g(t) WHERE (user_id + t) % 9 <> 0)"""
+
+
+def two_records(spark, d):
+    """The same players recorded twice: the second is two ticks late, lacks rows, and differs a little."""
+    u, t = F.col("user_id"), F.col("tick")
+    laid = events(spark, d).select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("tick"))
+    yaw = (u * 37 + t * t) % 360 - 180
+    one = laid.select("user_id", "tick", yaw.cast("double").alias("yaw"), (t % 50).cast("double").alias("health"), ((u + t) % 10 != 0).alias("alive"))
+    two = laid.filter((u + t) % 9 != 0).select("user_id", (t + 2).alias("tick"), (yaw + t % 7 * 0.25).cast("double").alias("yaw"), (t % 50 + F.when(t % 4 == 0, 1).otherwise(0)).cast("double").alias("health"))
+    return one, two
+
+
+@query(
+    f"""WITH {PARITY}, m AS (SELECT s.shift, abs(a.yaw - b.yaw + 180 - 360 * floor((a.yaw - b.yaw + 180) / 360) - 180) AS d FROM a, (SELECT unnest(range(-3, 4)) AS shift) s, b WHERE a.alive AND b.user_id = a.user_id AND b.tick = a.tick + s.shift),
+    q AS (SELECT shift, count(*) AS n, quantile_cont(d, 0.5) AS p50, quantile_cont(d, 0.99) AS p99 FROM m GROUP BY 1) SELECT shift::INT AS shift, n, round(p50, 6) AS p50, round(p99, 6) AS p99, shift = (SELECT arg_min(shift, p50 * 1000 + shift) FROM q) AS best FROM q"""
+)
+def shift_choice(spark, d):
+    """How well two records agree at shifts from -3 to 3, and which shift is best."""
+    from tickloom.operators import inspection as ins
+    from tickloom.session import materialise
+
+    found = materialise(ins.shift_agreement(*two_records(spark, d), ["user_id"], "tick", "yaw"), "shifts")
+    best = ins.best_shift(found).withColumnRenamed("shift", "_best")  # one row
+    return found.crossJoin(F.broadcast(best)).select("shift", "n", r("p50").alias("p50"), r("p99").alias("p99"), (F.col("shift") == F.col("_best")).alias("best"))
+
+
+@query(
+    f"""WITH {PARITY}, m AS (SELECT 'yaw' AS field, abs(a.yaw - b.yaw + 180 - 360 * floor((a.yaw - b.yaw + 180) / 360) - 180) AS d FROM a JOIN b ON b.user_id = a.user_id AND b.tick = a.tick + 2 WHERE a.alive UNION ALL SELECT 'health', abs(a.health - b.health) FROM a JOIN b ON b.user_id = a.user_id AND b.tick = a.tick + 2 WHERE a.alive)
+    SELECT field, count(*) AS n, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.99), 6) AS p99, round(avg((d < 0.001)::INT), 6) AS same FROM m GROUP BY 1"""
+)
+def record_parity(spark, d):
+    from tickloom.operators import inspection as ins
+
+    found = ins.field_agreement(*two_records(spark, d), ["user_id"], "tick", ["yaw", "health"], ["yaw"], clock=2)
+    return found.select("field", "n", *[r(c).alias(c) for c in ("p50", "p99", "same")])

@@ -196,3 +196,16 @@ def record_parity(spark, d):
 
     found = ins.field_agreement(*two_records(spark, d), ["user_id"], "tick", ["yaw", "health"], ["yaw"], clock=2)
     return found.select("field", "n", *[r(c).alias(c) for c in ("p50", "p99", "same")])
+
+
+@query(
+    f"""WITH {EV}, g AS (SELECT *, CASE WHEN tick - lag(tick) OVER w < 7200 THEN 0 ELSE 1 END AS opens FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY tick, event_id)), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY tick, event_id) AS k FROM g)
+    SELECT user_id, min(tick) AS first, max(tick) AS last, count(*) AS hits FROM s GROUP BY user_id, k"""
+)
+def session_bursts(spark, d):
+    """Sessions of users that end after two hours without an event, by built-in session windows."""
+    from tickloom.streaming.live import burst_windows
+
+    found = burst_windows(events(spark, d).withColumn("at", F.timestamp_seconds("tick")), "user_id", "at", "7200 seconds")
+    seconds = lambda c: F.unix_seconds(c).alias(c)
+    return found.select("user_id", seconds("first"), seconds("last"), F.col("hits").cast("long").alias("hits"))

@@ -30,7 +30,7 @@ def cohort_union(spark, d):
 def csv_round_trip(spark, d):
     """Customers through CSV files and back."""
     at = folder(spark, "csv")
-    tables.write_csv(read_table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), at)
+    tables.write_csv(tables.read_columns(spark, f"{d}/customer.parquet", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]), at)
     back = tables.read_csv(spark, at, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
     return back.withColumn("c_acctbal", r("c_acctbal", 2))
 

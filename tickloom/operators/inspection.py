@@ -180,10 +180,10 @@ SAME = 1e-3
 def shift_agreement(one: DataFrame, two: DataFrame, keys: list[str], time: str, angle: str, clock: int = 0, most: int = 3) -> DataFrame:
     """shift, n, p50 and p99: how far an angle of ``one`` is from that of ``two`` at time + clock + shift, for every shift from -most to most.
 
-    Rows of ``one`` whose ``alive`` is false don't count. One equi join for all shifts.
+    Rows of ``one`` whose ``alive`` is false don't count. One equi join on cells for all shifts, so a row is dealt out once or twice, not once a shift.
     """
-    shifted = one.filter("alive").select(*keys, F.col(angle).alias("_a"), F.col(time).alias("_t"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift"))
-    met = shifted.withColumn(time, F.col("_t") + clock + F.col("shift")).join(two.select(*keys, time, F.col(angle).alias("_b")), [*keys, time])
+    left = one.filter("alive").select(*keys, (F.col(time) + clock).alias("_at"), F.col(angle).alias("_a"))
+    met = band_join(left, two.select(*keys, time, F.col(angle).alias("_b")).hint("merge"), keys, "_at", time, most, most + 1).withColumn("shift", (F.col(time) - F.col("_at")).cast("int"))
     q = exact_quantiles(met.select("shift", F.abs(wrap_angle(F.col("_a") - F.col("_b"))).alias("_d")), ["shift"], "_d", [0.5, 0.99])
     return q.select("shift", "n", F.col("quantiles")[0].alias("p50"), F.col("quantiles")[1].alias("p99"))
 

@@ -212,3 +212,13 @@ def test_components_equal_union_find(spark):
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {i: top(i) for i in root}
     assert graph.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_captured_lines_are_stored_narrow(spark, monkeypatch):
+    """Of a line only what the query reads is stored and grouped, not the whole parsed row."""
+    from tickloom.plans import inputs
+
+    stored = []
+    monkeypatch.setattr(inputs, "materialise", lambda df, name: stored.append(df.columns) or df)
+    inputs.captured_events(spark, "/root/testdata/sf0.001")
+    assert stored == [["capture", "no", "name", "tick", "attacker"]]

@@ -60,9 +60,9 @@ def captured_events(spark, d):
     at = folder(spark, "captures")
     named = events(spark, d).select(F.to_json(F.struct(F.lit("event").alias("type"), F.col("event_type").alias("name"), "tick", F.col("event_id").alias("attacker"))).alias("value"))
     named.write.text(at)
-    lines = materialise(captures.read_captures(spark, at).filter("ok").select("capture", "no", "row"), "lines")
-    first = lines.groupBy("capture", "no").agg(F.first("row").alias("row"))  # a number that two lines had would lose one
-    return first.groupBy(F.col("row.name").alias("event_type")).agg(n().alias("n"), F.sum("row.attacker").cast("long").alias("ids"), F.min("row.tick").alias("first"), F.max("row.tick").alias("last"))
+    lines = materialise(captures.read_captures(spark, at).filter("ok").select("capture", "no", "row.name", "row.tick", "row.attacker"), "lines")
+    first = lines.groupBy("capture", "no").agg(*[F.first(c).alias(c) for c in ("name", "tick", "attacker")])  # a number that two lines had would lose one
+    return first.groupBy(F.col("name").alias("event_type")).agg(n().alias("n"), F.sum("attacker").cast("long").alias("ids"), F.min("tick").alias("first"), F.max("tick").alias("last"))
 
 
 @query(

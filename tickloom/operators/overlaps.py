@@ -8,6 +8,7 @@ compared, by their values.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,9 +171,22 @@ def shared_windows(rows: DataFrame, width: int = WIDTH, active: int = ACTIVE, ch
     return verified(neighbours(window_hashes(rows, width, active, changed)), rows, width, distinct)
 
 
+def whole_digests(rows: DataFrame, least: int = WHOLE) -> DataFrame:
+    """record and digest, the SHA-256 of the exact bits of its values (-0 counts as 0), of each series with enough active ticks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, x in series_blocks(batch, 1):
+                moving = (~(np.abs(x[..., :2]).sum(-1) <= REST)).sum(1)
+                kept = np.flatnonzero(moving >= least)
+                digests = [hashlib.sha256(row.tobytes()).digest() for row in x[kept] + 0.0]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some[kept])), pa.array(digests, pa.binary())], ["record", "digest"])
+
+    return rows.select(F.col("record").cast("long").alias("record"), "series").mapInArrow(run, "record long, digest binary")
+
+
 def shared_series(rows: DataFrame, least: int = WHOLE) -> DataFrame:
     """record_a < record_b: records that hold the same whole series, with enough active ticks; each is linked to the smallest."""
-    moving = F.size(F.filter("series", lambda t: F.abs(t[0]) + F.abs(t[1]) > REST))
-    digests = rows.filter(moving >= least).select("record", F.sha2(F.to_json("series"), 256).alias("digest")).distinct()
+    digests = materialise(whole_digests(rows, least).distinct(), "digests")
     first = digests.groupBy("digest").agg(F.min("record").alias("record_a"))
     return digests.join(first, "digest").filter("record <> record_a").select("record_a", F.col("record").alias("record_b")).distinct()

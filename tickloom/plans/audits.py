@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tickloom.operators import overlaps, ranges
@@ -15,16 +17,30 @@ from tickloom.session import delete, read_table, shared_dir
 
 #: Ticks of one series; characters stand for ticks.
 TICKS = 192
+#: Characters whose series are made at a time.
+CHARACTERS = 200_000
 
 
 def text_series(spark, d):
     """record, part and series: texts cut into runs of TICKS characters; a tick is (code - 32, 0, whether it is a space)."""
-    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("record"), "text").filter("text is not null")
-    parts = docs.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / TICKS).cast("int")))).filter(F.length("text") > 0)
-    piece = F.substring("text", F.col("part") * TICKS + 1, F.lit(TICKS))
-    code = lambda c: (F.ascii(c) - 32).cast("double")
-    series = F.transform(F.filter(F.split("piece", ""), lambda c: c != ""), lambda c: F.array(code(c), F.lit(0.0), (c == " ").cast("double")))
-    return parts.withColumn("piece", piece).select("record", F.col("part").cast("long").alias("part"), series.alias("series"))
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            sizes = np.array([len(t) for t in texts], np.int64)
+            group = np.cumsum(sizes) // CHARACTERS  # so many characters at a time, or one text
+            for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(group)) + 1):
+                n, parts = sizes[rows], -(-sizes[rows] // TICKS)
+                codes = np.frombuffer("".join([texts[i] for i in rows]).encode("utf-32-le"), np.uint32).astype(float) - 32
+                part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                ends = np.cumsum(np.minimum(TICKS, np.repeat(n, parts) - part * TICKS))
+                values = np.stack([codes, np.zeros(len(codes)), (codes == 0).astype(float)], 1).reshape(-1)
+                ticks = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * 3), pa.array(values))
+                series = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), ticks)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(rows, parts))), pa.array(part), series], ["record", "part", "series"])
+
+    docs = read_table(spark, d, "documents").filter("length(text) > 0").select(F.col("doc_id").cast("long").alias("record"), "text")
+    return docs.mapInArrow(run, "record long, part long, series array<array<double>>")
 
 
 @query(

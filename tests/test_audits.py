@@ -240,3 +240,29 @@ def test_whole_series_are_told_apart_by_their_bits(spark):
     minus[minus == 0] = -0.0
     rows = [(1, 0, walk(1)), (2, 0, minus), (3, 0, walk(1)[:100]), (4, 0, walk(1) + 1e-12)]
     assert sorted(tuple(r) for r in overlaps.shared_series(series_table(spark, rows)).collect()) == [(1, 2)]
+
+
+def test_only_runs_and_windows_of_differing_runs_are_shuffled(spark, monkeypatch):
+    """Series of many lengths, copies, shifted parts and a NaN: links as by brute force, from far fewer rows than there are windows."""
+    laid, made = [], overlaps.window_hashes
+    monkeypatch.setattr(overlaps, "window_hashes", lambda *a: laid.append(made(*a)) or laid[-1])
+    rng = np.random.default_rng(8)
+    rows = [(i, 0, walk(i, int(rng.integers(40, 193)))) for i in range(300)]
+    copies = [(1000 + i, 0, x) for i, _, x in rows[:60]]
+    windows = sum(max(0, len(x) - 63) for _, _, x in rows + copies)
+    assert sorted(map(tuple, overlaps.shared_windows(series_table(spark, rows + copies)).collect())) == brute_links(rows + copies)
+    gates = overlaps.Gates()
+    assert laid[-1].count() == 0 and overlaps.runs_of(series_table(spark, rows + copies), gates, None).count() < windows / 8
+    odd = walk(400)
+    odd[90, 2] = np.nan
+    mixed = rows + copies + [(2000 + i, 1, np.concatenate([walk(900 + i, 30 + i), x[20:110], walk(950 + i, 50)])) for i, _, x in rows[30:90]]
+    mixed += [(1, 1, odd), (2, 1, odd), (3, 1, odd[60:])]  # 3 shares what comes after the NaN
+    assert sorted(map(tuple, overlaps.shared_windows(series_table(spark, mixed)).collect())) == brute_links(mixed)
+    assert 0 < laid[-1].count() < windows / 2
+
+
+def test_distinct_ticks_and_least_of():
+    x = np.random.default_rng(1).integers(0, 30, (5, 150)).astype(np.uint64)
+    assert overlaps.distinct_ticks(x, 64).tolist() == [[len(set(r[o : o + 64])) for o in range(87)] for r in x.tolist()]
+    for width in (1, 2, 33, 64):
+        assert overlaps.least_of(x, width).tolist() == [[min(r[o : o + width]) for o in range(151 - width)] for r in x.tolist()]

@@ -21,26 +21,29 @@ TICKS = 192
 CHARACTERS = 200_000
 
 
+def text_cuts(batches):
+    """record, part and series of batches of (record, text): texts cut into runs of TICKS characters; a tick is (code - 32, 0, whether it is a space)."""
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        group = np.cumsum(sizes) // CHARACTERS  # so many characters at a time, or one text
+        for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(group)) + 1):
+            n, parts = sizes[rows], -(-sizes[rows] // TICKS)
+            codes = np.frombuffer("".join([texts[i] for i in rows]).encode("utf-32-le"), np.uint32).astype(float) - 32
+            part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            ends = np.cumsum(np.minimum(TICKS, np.repeat(n, parts) - part * TICKS))
+            values = np.stack([codes, np.zeros(len(codes)), (codes == 0).astype(float)], 1).reshape(-1)
+            ticks = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * 3), pa.array(values))
+            series = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), ticks)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(rows, parts))), pa.array(part), series], ["record", "part", "series"])
+
+
+def numbered_texts(spark, d):
+    return read_table(spark, d, "documents").filter("length(text) > 0").select(F.col("doc_id").cast("long").alias("record"), "text")
+
+
 def text_series(spark, d):
-    """record, part and series: texts cut into runs of TICKS characters; a tick is (code - 32, 0, whether it is a space)."""
-
-    def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            sizes = np.array([len(t) for t in texts], np.int64)
-            group = np.cumsum(sizes) // CHARACTERS  # so many characters at a time, or one text
-            for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(group)) + 1):
-                n, parts = sizes[rows], -(-sizes[rows] // TICKS)
-                codes = np.frombuffer("".join([texts[i] for i in rows]).encode("utf-32-le"), np.uint32).astype(float) - 32
-                part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-                ends = np.cumsum(np.minimum(TICKS, np.repeat(n, parts) - part * TICKS))
-                values = np.stack([codes, np.zeros(len(codes)), (codes == 0).astype(float)], 1).reshape(-1)
-                ticks = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * 3), pa.array(values))
-                series = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), ticks)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(rows, parts))), pa.array(part), series], ["record", "part", "series"])
-
-    docs = read_table(spark, d, "documents").filter("length(text) > 0").select(F.col("doc_id").cast("long").alias("record"), "text")
-    return docs.mapInArrow(run, "record long, part long, series array<array<double>>")
+    return numbered_texts(spark, d).mapInArrow(text_cuts, "record long, part long, series array<array<double>>")
 
 
 @query(
@@ -52,7 +55,7 @@ def text_series(spark, d):
     SELECT DISTINCT prev AS record_a, record AS record_b FROM l WHERE prev <> record AND len(list_distinct(list_transform(range(1, 65), lambda i: substring(win, i, 1)))) >= 16"""
 )
 def gated_overlaps(spark, d):
-    return overlaps.shared_windows(text_series(spark, d))
+    return overlaps.shared_windows(numbered_texts(spark, d), cut=text_cuts)
 
 
 @query(

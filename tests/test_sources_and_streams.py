@@ -222,3 +222,21 @@ def test_captured_lines_are_stored_narrow(spark, monkeypatch):
     monkeypatch.setattr(inputs, "materialise", lambda df, name: stored.append(df.columns) or df)
     inputs.captured_events(spark, "/root/testdata/sf0.001")
     assert stored == [["capture", "no", "name", "tick", "attacker"]]
+
+
+def test_keys_share_states(spark, tmp_path, monkeypatch):
+    """More keys than lanes: no more states than lanes, and the bursts of the batch operator."""
+    monkeypatch.setattr(live, "LANES", 3)
+    rng = np.random.default_rng(6)
+    hits = sorted((int(t), int(k), i) for i, (t, k) in enumerate(zip(rng.integers(0, 3000, 900), rng.integers(-20, 20, 900))))
+    for at in (0, 300, 600):
+        spark.createDataFrame([(k, t, i) for t, k, i in hits[at : at + 300]], "player long, tick long, ord long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(99, 10**6 * k, -k) for k in (1, 2)], "player long, tick long, ord long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frame = spark.createDataFrame([(k, t, i) for t, k, i in hits], "player long, tick long, ord long")
+    want = {(r.player, r.tick, r.ord) for r in enc.burst_anchors(frame, ["player"], "tick", "ord").collect()}
+    stream = live.live_anchors(live.stream_of(spark, str(tmp_path / "in"), "player long, tick long, ord long"), "player", "tick", "ord", delay="60 seconds")
+    q = stream.writeStream.format("memory").queryName("lanes").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(r.key, r.tick, r.ord) for r in spark.table("lanes").collect() if r.key != 99]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 3

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from tickloom.operators.encounters import BURST_GAP
 
 #: Microseconds of one tick at 64 Hz; exact.
 TICK_US = 15_625
+#: States that the keys of ``live_anchors`` share.
+LANES = 512
 
 
 def event_time(tick: Column) -> Column:
@@ -27,34 +30,37 @@ def stream_of(spark: SparkSession, folder: str, schema: str, files_per_batch: in
 def live_anchors(hits: DataFrame, key: str, time: str, order: str, gap: int = BURST_GAP, delay: str = "0 seconds", settle: int = 0) -> DataFrame:
     """key, tick and ord of each burst's first hit, emitted once, when event time has passed it by ``settle`` ticks.
 
-    ``hits`` is a stream with integer ticks. State per key: hits that aren't
-    settled, and the last hit before them. Hits are taken in (tick, order), as
-    the batch operator takes them; a hit later than the watermark is dropped by Spark.
+    ``hits`` is a stream with integer keys and ticks. Keys share LANES states, so a batch costs a call a lane and not a
+    call a key. State per lane: hits that aren't settled, and the last settled tick of each key. Hits are taken in
+    (tick, order), as the batch operator takes them; a hit later than the watermark is dropped by Spark.
     """
+    empty = np.empty((0, 3), np.int64)
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, last = state.get if state.exists else ([], None)
-        pending = [tuple(x) for x in pending]
-        for pdf in batches:
-            pending += list(zip(pdf["tick"].astype(int), pdf["ord"].astype(int)))
-        pending.sort()
+    def run(lane: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, known = (np.frombuffer(bytes(b), np.int64) for b in (state.get if state.exists else (b"", b"")))
+        known = known.reshape(-1, 2)
+        rows = np.concatenate([held.reshape(-1, 3), *(pdf[["key", "tick", "ord"]].to_numpy(np.int64) if len(pdf) else empty for pdf in batches)])
         mark = state.getCurrentWatermarkMs() * 1000 // TICK_US - settle
-        done = [x for x in pending if x[0] < mark] if not state.hasTimedOut else pending
-        rest = pending[len(done) :]
-        out = []
-        for tick, ord_ in done:
-            if last is None or tick - last > gap:
-                out.append((k[0], tick, ord_))
-            last = tick
-        if rest:
-            state.update(([list(map(int, x)) for x in rest], last))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (rest[-1][0] + settle + 1) * TICK_US // 1000 + 1))
+        rest, done = rows[rows[:, 1] >= mark], rows[rows[:, 1] < mark]
+        done = done[np.lexsort((done[:, 2], done[:, 1], done[:, 0]))]
+        first = np.append(True, done[1:, 0] != done[:-1, 0])[: len(done)]
+        opens = np.append(True, done[1:, 1] - done[:-1, 1] > gap)[: len(done)]
+        keys = done[first, 0]
+        if len(known) and len(keys):
+            at = np.minimum(np.searchsorted(known[:, 0], keys), len(known) - 1)
+            opens[first] = (known[at, 0] != keys) | (done[first, 1] - known[at, 1] > gap)
         else:
-            state.update(([], last))
-        yield pd.DataFrame(out, columns=["key", "tick", "ord"])
-
-    rows = hits.select(F.col(key).alias("key"), F.col(time).cast("long").alias("tick"), F.col(order).cast("long").alias("ord")).withColumn("at", event_time(F.col("tick"))).withWatermark("at", delay)
-    return rows.groupBy("key").applyInPandasWithState(run, "key long, tick long, ord long", "pending array<array<long>>, last long", "append", GroupStateTimeout.EventTimeTimeout)
+            opens[first] = True
+        lasts = done[np.append(first[1:], True)[: len(done)], :2]
+        known = np.concatenate([known[~np.isin(known[:, 0], keys)], lasts])
+        state.update((rest.tobytes(), known[np.argsort(known[:, 0])].tobytes()))
+        if len(rest):
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (int(rest[:, 1].min()) + settle + 1) * TICK_US // 1000 + 1))
+        yield pd.DataFrame(done[opens], columns=["key", "tick", "ord"])
+
+    rows = hits.select(F.col(key).cast("long").alias("key"), F.col(time).cast("long").alias("tick"), F.col(order).cast("long").alias("ord")).withColumn("at", event_time(F.col("tick"))).withWatermark("at", delay)
+    lanes = rows.withColumn("lane", F.pmod(F.xxhash64("key"), F.lit(LANES)))
+    return lanes.groupBy("lane").applyInPandasWithState(run, "key long, tick long, ord long", "held binary, known binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def running_scores(scored: DataFrame, key: str, score: str, provisional_below: int = 10) -> DataFrame:

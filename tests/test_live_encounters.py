@@ -10,7 +10,7 @@ from tests.test_encounters import tick_rows
 from tickloom.operators import capture
 from tickloom.sources import captures
 from tickloom.sources.tail import LineReader
-from tickloom.streaming import keyed
+from tickloom.streaming import kept, keyed
 from tickloom.streaming.encounters import LINE, SETTLE, EncounterSink, build, build_captured, build_lines, follow, follow_captures, table_lines
 
 COLUMNS = [c.split()[0] for c in LINE.split(", ")]
@@ -245,3 +245,30 @@ def test_live_scores_of_a_growing_capture(spark, tmp_path):
     log = sink.read(spark, "log").orderBy("tick").collect()
     assert [(r.tick, r.encounters, r.provisional) for r in log] == [(701, 1, True), (782, 2, True), (1003, 3, True)]
     assert all(r.latency_ms > 0 for r in log) and abs(log[-1].mean_score - sum(r.score for r in log) / 3) < 1e-12
+
+
+def test_line_tables_keep_what_is_needed_and_spread_a_match(spark, tmp_path):
+    """A long match in batches: each hit is given once, with the slices that keyed state gives it, old lines go but for the last states, and a batch again gives the same."""
+    hits = [(t, "s", "t") for t in range(1300, 5700, 300)]
+    rows = lines(range(1001, 6001), hits)
+    frame = table_lines(spark.createDataFrame(rows, LINE)).toPandas().sort_values("tick", kind="stable")
+    given = {}
+
+    def sink(rows, batch):
+        given[batch] = rows.toPandas()
+
+    tables, size, counts = kept.LineTables(str(tmp_path), sink, SETTLE), 2000, []
+    slices, _ = taken(frame, size)
+    for k in range(-(-len(frame) // size)):
+        part = table_lines(spark.createDataFrame(rows[k * size : (k + 1) * size], LINE))
+        for _ in range(2 if k == 3 else 1):
+            tables(part, k)
+        counts.append(spark.read.parquet(tables.part("kept", k)).count())
+    assert set(given) == {k for k, _ in slices}
+    for k, want in slices:
+        row = lambda f: set(zip(f["ord"], f["tick"], f["fresh"]))
+        assert sorted(given[k].loc[given[k]["fresh"].astype(bool), "tick"]) == sorted(want.loc[want["fresh"], "tick"]) and row(want) <= row(given[k])
+    assert sum(g["fresh"].sum() for g in given.values()) == len(hits)
+    assert max(counts) <= 2 * (keyed.REACH + keyed.LATE + keyed.BUCKET) + 20
+    old = spark.read.parquet(tables.part("kept", len(counts) - 1)).filter("old").collect()
+    assert sorted(r.who for r in old) == ["s", "t"] and not list((tmp_path / "new").glob("batch=*"))

@@ -1,4 +1,4 @@
-"""Encounters from a growing capture: keyed state cuts out the lines of each final hit, and the batch builder runs on those alone."""
+"""Encounters from a growing capture: keyed state or tables cut out the lines of each final hit, and the batch builder runs on those alone."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from tickloom.operators.metrics import first_n
 from tickloom.session import delete, passing_tables
 from tickloom.sources import captures
 from tickloom.sources.tail import BATCH_BYTES, tail
+from tickloom.streaming.kept import LineTables
 from tickloom.streaming.keyed import final_hits, keyed_state
 
 #: Ticks that must have passed after a hit: where it shows is known then.
@@ -149,11 +150,10 @@ class EncounterSink:
 
 
 def follow(spark: SparkSession, source: str, folder: str, sink: EncounterSink, files_per_batch: int = 1, settle: int = SETTLE) -> None:
-    """Read all files of lines (LINE) that are there, in micro-batches, into the sink."""
+    """Read all files of lines (LINE) that are there, in micro-batches, into the sink; a match may have any number of players."""
     lines = spark.readStream.schema(LINE).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    with keyed_state(spark):
-        q = final_hits(table_lines(lines), settle).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    tables = LineTables(f"{folder}/tables", sink, settle)
+    table_lines(lines).writeStream.foreachBatch(tables).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def follow_captures(spark: SparkSession, pattern: str, folder: str, sink: EncounterSink, idle_seconds: float = 30.0, poll: str = "250 milliseconds", settle: int = SETTLE, batch_bytes: int = BATCH_BYTES) -> None:

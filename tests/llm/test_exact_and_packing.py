@@ -139,3 +139,22 @@ def test_crossovers_beat_best_fit_decreasing():
         assert home.worth(ranked[0]) >= home.worth(first[0])
         won += len(ranked[0]) < len(first[0])
     assert won >= 3
+
+
+def test_search_ends_when_nothing_is_left_to_win_or_all_stand_still(spark, monkeypatch):
+    """No fixed number of crossovers: those of an island go on as long as one of so many in a row is better."""
+    rng, sizes, tried = np.random.default_rng(7), [], []
+    for total in 2048 - rng.integers(0, 41, 20):
+        a, b = np.sort(rng.choice(np.arange(300, total - 300), 2, replace=False))
+        sizes += [int(a), int(b - a), int(total - b)]
+    cross = packing.Island.cross
+    monkeypatch.setattr(packing.Island, "cross", lambda *a: tried.append(1) or cross(*a))
+    home = packing.Island(sizes, 2048, 3)
+    ranked = home.evolve(home.start(8), 60)
+    assert len(tried) > 60 and sorted(i for b in ranked[0] for i in b) == list(range(60))
+    again = len(tried)
+    assert home.worth(home.evolve(ranked, 60)[0]) >= home.worth(ranked[0]) and len(tried) >= again + 60
+    one = packing.Island([1024] * 9, 2048, 0)
+    tried.clear()
+    one.evolve(one.start(3), 60)
+    assert not tried  # perfect from the start

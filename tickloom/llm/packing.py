@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.llm.bpe import encoder, vocabulary_path
@@ -32,8 +33,8 @@ from tickloom.session import materialise, read_table
 #: Tokens in a sequence; the id that ends every document.
 SEQUENCE = 2048
 END_ID = 0
-#: Pieces in a shard; islands per shard; genomes per island; genomes that migrate; epochs; crossovers per epoch.
-SHARD, ISLANDS, GENOMES, ELITES, EPOCHS, CROSSOVERS = 6000, 2, 3, 1, 2, 3
+#: Pieces in a shard; islands per shard; genomes per island; genomes that migrate; crossovers in a row without a better genome that end an epoch.
+SHARD, ISLANDS, GENOMES, ELITES, PATIENCE = 6000, 2, 3, 1, 12
 #: Bins filled less than this may be opened again, and of so many bins of a shard one at most, the emptiest first.
 FILLED, OPENED = 0.98, 8
 #: Most tasks that the islands of a level are dealt to.
@@ -138,17 +139,20 @@ class Island:
         """As few bins as the sizes allow, and all but one full: nothing is left to win."""
         return len(genome) <= self.floor and sum(fill < self.capacity for fill in self.fills(genome)) <= 1
 
-    def evolve(self, genomes: list[list[list[int]]], crossovers: int) -> list[list[list[int]]]:
-        """The genomes after so many crossovers, best first; a better child takes the place of the worst, if no other is worth the same."""
-        ranked = sorted(((self.worth(g), k, g) for k, g in enumerate(genomes)), reverse=True)
-        for k in range(crossovers):
-            if len(ranked) < 2 or self.perfect(ranked[0][2]):
-                break
+    def evolve(self, genomes: list[list[list[int]]], patience: int) -> list[list[list[int]]]:
+        """The genomes, best first, once nothing is left to win or so many crossovers in a row made none better.
+
+        A better child takes the place of the worst, if no other is worth the same.
+        """
+        ranked, number = sorted(((self.worth(g), k, g) for k, g in enumerate(genomes)), reverse=True), len(genomes)
+        vain = 0
+        while vain < patience and len(ranked) > 1 and not self.perfect(ranked[0][2]):
             a, b = self.rng.choice(len(ranked), 2, replace=False)
             child = self.cross(ranked[a][2], ranked[b][2])
             worth = self.worth(child)
+            vain, number = vain + 1, number + 1
             if worth > ranked[-1][0] and all(worth != w for w, _, _ in ranked):
-                ranked = sorted([*ranked[:-1], (worth, len(genomes) + k, child)], reverse=True)
+                ranked, vain = sorted([*ranked[:-1], (worth, number, child)], reverse=True), 0
         return [g for _, _, g in ranked]
 
 
@@ -165,11 +169,15 @@ def to_bins(genes: np.ndarray) -> list[list[int]]:
     return [b.tolist() for b in np.split(order, cuts)]
 
 
-STATE = "_shard long, _island int, lengths array<long>, genomes array<array<int>>, bins int, filled double"
+STATE = "_shard long, _island int, lengths array<long>, genomes array<array<int>>, bins int, filled double, still boolean, perfect boolean"
+
 
+def evolved(groups: DataFrame, shards: int, capacity: int, islands: int, level: int) -> DataFrame:
+    """_shard and genes (the bin of each piece shorter than a sequence) of the best genome over all islands of each shard.
 
-def evolved(groups: DataFrame, shards: int, capacity: int, islands: int, epochs: int, level: int) -> DataFrame:
-    """_shard and genes (the bin of each piece shorter than a sequence) of the best genome over all islands of each shard."""
+    Epochs go on, each with the guests of the one before. A shard is searched no more when one of its islands
+    is perfect, or when in an epoch none has come to fewer bins than it and its guests had.
+    """
 
     def evolve(epoch: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,12 +185,14 @@ def evolved(groups: DataFrame, shards: int, capacity: int, islands: int, epochs:
                 rows = []
                 for row in pdf.itertuples(index=False):
                     shard, island, lengths, genomes = row[:4]
+                    start = [to_bins(np.asarray(g)) for g in genomes] or None
                     size = np.asarray(lengths).tolist()
                     home = Island(size, capacity, zlib.crc32(f"{level}/{shard}/{island}/{epoch}".encode()))
-                    ranked = home.evolve([to_bins(np.asarray(g)) for g in genomes] or home.start(GENOMES), CROSSOVERS)
+                    ranked = home.evolve(start or home.start(GENOMES), PATIENCE)
                     bins, filled = home.worth(ranked[0])
-                    rows.append((shard, island, size, [to_genes(g, len(size)) for g in ranked], -bins, filled))
-                yield pd.DataFrame(rows, columns=["_shard", "_island", "lengths", "genomes", "bins", "filled"])
+                    still = start is not None and len(ranked[0]) >= min(map(len, start))
+                    rows.append((shard, island, size, [to_genes(g, len(size)) for g in ranked], -bins, filled, still, home.perfect(ranked[0])))
+                yield pd.DataFrame(rows, columns=["_shard", "_island", "lengths", "genomes", "bins", "filled", "still", "perfect"])
 
         return run
 
@@ -192,12 +202,18 @@ def evolved(groups: DataFrame, shards: int, capacity: int, islands: int, epochs:
         F.filter(F.col("items._size"), lambda x: x < capacity).alias("lengths"),
         F.expr("cast(array() as array<array<int>>)").alias("genomes"),
     ).repartition(min(shards * islands, MOST_TASKS), "_shard", "_island")
-    for epoch in range(epochs):
-        if epoch:
-            moved = state.select("_shard", F.pmod(F.col("_island") + 1, F.lit(islands)).alias("_island"), F.slice("genomes", 1, ELITES).alias("guests"))
-            state = state.drop("bins", "filled").join(moved, ["_shard", "_island"]).select("_shard", "_island", "lengths", F.concat("guests", "genomes").alias("genomes"))
+    shard, done, epoch = W.partitionBy("_shard"), [], 0
+    while True:
         state = materialise(state.mapInPandas(evolve(epoch), STATE), f"islands{level}-{epoch}")
-    return state.groupBy("_shard").agg(F.max_by(F.element_at("genomes", 1), F.struct(-F.col("bins"), F.col("filled"), F.col("_island"))).alias("genes"))
+        ends = state.withColumn("_ends", F.min("still").over(shard) | F.max("perfect").over(shard))
+        done.append(ends.filter("_ends").drop("_ends"))
+        state, epoch = ends.filter("not _ends").select("_shard", "_island", "lengths", "genomes"), epoch + 1
+        if state.isEmpty():
+            break
+        moved = state.select("_shard", F.pmod(F.col("_island") + 1, F.lit(islands)).alias("_island"), F.slice("genomes", 1, ELITES).alias("guests"))
+        state = state.join(moved, ["_shard", "_island"]).select("_shard", "_island", "lengths", F.concat("guests", "genomes").alias("genomes"))
+    every = reduce(DataFrame.unionAll, done)
+    return every.groupBy("_shard").agg(F.max_by(F.element_at("genomes", 1), F.struct(-F.col("bins"), F.col("filled"), F.col("_island"))).alias("genes"))
 
 
 def placed_in(groups: DataFrame, best: DataFrame, capacity: int, level: int, closing: bool) -> DataFrame:
@@ -225,7 +241,7 @@ def placed_in(groups: DataFrame, best: DataFrame, capacity: int, level: int, clo
     return joined.mapInPandas(place, "_no long, _size long, sequence_id long, offset long, opened boolean")
 
 
-def pack(pieces: DataFrame, capacity: int = SEQUENCE, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = SEQUENCE, shard: int = SHARD, islands: int = ISLANDS) -> DataFrame:
     """``pieces`` (any columns but sequence_id and offset, with ``length`` of 1 to ``capacity``) with sequence_id and offset.
 
     A piece as long as a sequence is one by itself. An empty table gives no rows.
@@ -240,7 +256,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, shard: int = SHARD, island
         # the seed of the hash changes, or pieces of one shard would meet again
         dealt = left.withColumn("_shard", F.pmod(F.xxhash64("_no", F.lit(level)), F.lit(shards)))
         groups = materialise(dealt.groupBy("_shard").agg(F.sort_array(F.collect_list(F.struct("_no", "_size"))).alias("items")), f"shards{level}")
-        placed = materialise(placed_in(groups, evolved(groups, shards, capacity, islands, epochs, level), capacity, level, closing=shards == 1), f"placed{level}")
+        placed = materialise(placed_in(groups, evolved(groups, shards, capacity, islands, level), capacity, level, closing=shards == 1), f"placed{level}")
         done.append(placed.filter("not opened").select("_no", "sequence_id", "offset"))
         if shards == 1:
             break

@@ -158,3 +158,38 @@ def test_search_ends_when_nothing_is_left_to_win_or_all_stand_still(spark, monke
     tried.clear()
     one.evolve(one.start(3), 60)
     assert not tried  # perfect from the start
+
+
+def test_each_distinct_fragment_of_a_batch_is_looked_up_once(library, monkeypatch):
+    """Work of the encoder follows the distinct fragments, not all; a full cache keeps those of the batch."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    enc = bpe.Encoder(bpe.vocabulary_path())
+    enc.known = Counted()
+    texts = ["", "the cat sat, on the mat. " * 50, "", "the cat sat. " * 50]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == want
+    assert Counted.asked < 50
+    learnt, learn = [], bpe.Encoder.learn
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
+    monkeypatch.setattr(bpe.Encoder, "learn", lambda self, pieces: learnt.extend(pieces) or learn(self, pieces))
+    assert enc.encode(texts) == want and not learnt
+    assert enc.encode(["qqq xyzzy"]) == [np.array(library.encode("qqq xyzzy", add_special_tokens=False).ids, "<u4").tobytes()] and learnt
+    assert enc.encode(texts) == want and enc.encode([]) == [] and enc.encode(["", ""]) == [b"", b""]
+
+
+def test_genomes_carry_how_full_their_bins_are():
+    """Crossovers don't add up all sizes of all bins again."""
+    sizes = np.random.default_rng(3).integers(1, 1500, 300).tolist()
+    home = packing.Island(sizes, 2048, 1)
+    ranked = home.evolve(home.start(4), 40)
+    for g in [*ranked, *home.evolve([packing.to_bins(packing.to_genes(g, 300)) for g in ranked], 5)]:
+        assert sorted(i for b in g for i in b) == list(range(300))
+        assert g.fill == [sum(sizes[i] for i in b) for b in g] and max(g.fill) <= 2048
+    assert packing.to_genes([], 0).tolist() == []

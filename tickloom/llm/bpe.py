@@ -4,7 +4,8 @@ A pair of bytes that stands inside no vocabulary token can never be joined by a
 merge, so the text may be cut between them. ``Encoder`` cuts a batch of texts at
 all such pairs (where the pre-tokenizer would not notice the cut either),
 encodes each fragment by itself and concatenates the ids. Most fragments are
-words seen before, so each distinct fragment is encoded once.
+words seen before, so each distinct fragment of a batch is looked up once and
+encoded if it is new.
 """
 
 from __future__ import annotations
@@ -107,6 +108,16 @@ def rank_encoding(path: str, tokens: list[bytes]):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+def sliced(values: pa.LargeBinaryArray, at: np.ndarray | None = None) -> list[bytes]:
+    """The values as bytes; with ``at``, those from each of these places to the next are one."""
+    if not len(values):
+        return [b""] * (0 if at is None else len(at) - 1)
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    whole, cuts = data.to_pybytes() if data else b"", (ends if at is None else ends[at]).tolist()
+    return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 class Encoder:
     """Encodes and decodes with one vocabulary file; one per worker process, see ``encoder()``."""
 
@@ -133,16 +144,20 @@ class Encoder:
         end in white space, begin with an apostrophe, or hold that byte or the
         start of an added token go one at a time.
         """
-        together = [p for p in pieces if p[0] != 0x27 and b"\x01" not in p and b"<|" not in p and not p[-4:].decode("utf-8", "ignore")[-1:].isspace()] if self.ranked else []
+        together = [
+            p for p in pieces
+            if p[0] != 0x27 and b"\x01" not in p and b"<|" not in p and (0x20 < p[-1] < 0x7F or not p[-4:].decode("utf-8", "ignore")[-1:].isspace())
+        ] if self.ranked else []
         if together:
             ids = np.frombuffer(self.ranked.encode_to_numpy(b"\x01".join([*together, b""]).decode()), np.uint32)
             ends = np.flatnonzero(ids == self.tokens.index(b"\x01"))
             packed = ids.astype("<u4").tobytes()
             at = [0, *((ends + 1) * 4).tolist()]
             self.known.update(zip(together, [packed[a : b - 4] for a, b in zip(at, at[1:])]))
-        for p in pieces:
-            if p not in self.known:
-                self.known[p] = array("I", self.apart(p)).tobytes()
+        if len(together) < len(pieces):
+            for p in pieces:
+                if p not in self.known:
+                    self.known[p] = array("I", self.apart(p)).tobytes()
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Positions in ``data`` (bytes) before which a forced boundary lies."""
@@ -156,7 +171,7 @@ class Encoder:
                 ok[end] = False
         return np.flatnonzero(ok) + 1
 
-    def fragments(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    def fragments(self, texts: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
         """The fragments of all texts in order, and how many fragments precede each text (one more entry for the end)."""
         raw = [t.encode("utf-8", "replace") for t in texts]
         ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
@@ -164,27 +179,30 @@ class Encoder:
         stop = np.zeros(len(data) + 1, bool)
         stop[self.cuts(np.frombuffer(data, np.uint8))] = True
         stop[ends] = True
-        stop[0] = False
+        stop[0] = True
         marks = np.flatnonzero(stop)
-        at = [0, *marks.tolist()]
-        pieces = [data[a:b] for a, b in zip(at, at[1:])]
-        return pieces, np.concatenate(([0], np.searchsorted(marks, ends, "right")))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(marks) - 1, [None, pa.py_buffer(marks), pa.py_buffer(data)])
+        return pieces, np.concatenate(([0], np.searchsorted(marks, ends)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        Arrow finds the distinct fragments and puts the ids in place of each, so Python sees every distinct one once.
+        """
         pieces, offsets = self.fragments(texts)
+        coded = pieces.dictionary_encode()
+        distinct = sliced(coded.dictionary)
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        out = list(map(self.known.get, pieces))
+            # those of this batch are the likeliest to come again
+            self.known = {p: self.known[p] for p in distinct if p in self.known}
+        out = list(map(self.known.get, distinct))
         holes = [i for i, x in enumerate(out) if x is None]
-        fresh = list(dict.fromkeys([pieces[i] for i in holes]))
-        self.learn(fresh)
+        self.learn([distinct[i] for i in holes])
         for i in holes:
-            out[i] = self.known[pieces[i]]
-        for p in fresh:
-            if len(p) > CACHE_BYTES:
-                del self.known[p]
-        return [b"".join(out[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            out[i] = self.known[distinct[i]]
+            if len(distinct[i]) > CACHE_BYTES:
+                del self.known[distinct[i]]
+        return sliced(pa.array(out, pa.large_binary()).take(coded.indices), offsets)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")

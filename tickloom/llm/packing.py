@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -70,39 +71,51 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = SEQUENCE, end_id
     return texts_of(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(items: list[int], size: list[int], bins: list[list[int]], room: list[tuple[int, int]], capacity: int) -> None:
+class Genome(list):
+    """The pieces of each bin; ``fill`` has the tokens in each, so that no one need add them up again."""
+
+    def __init__(self, bins: Iterable[list[int]] = (), fill: Iterable[int] = ()):
+        super().__init__(bins)
+        self.fill = list(fill)
+
+
+def best_fit(items: list[int], size: list[int], bins: Genome, room: list[tuple[int, int]], capacity: int) -> None:
     """Put items, in the order given, where they leave the least room; ``room`` is a sorted list of (free, bin)."""
     for i in items:
         at = bisect_left(room, (size[i], -1))
         if at < len(room):
             free, b = room.pop(at)
             bins[b].append(i)
+            bins.fill[b] += size[i]
             free -= size[i]
         else:
             b, free = len(bins), capacity - size[i]
             bins.append([i])
+            bins.fill.append(size[i])
         if free:
             insort(room, (free, b))
 
 
 class Island:
-    """A few genomes of one shard. A genome is the pieces of each bin."""
+    """A few genomes of one shard."""
 
     def __init__(self, size: list[int], capacity: int, seed: int):
         self.size, self.capacity, self.rng = size, capacity, np.random.default_rng(seed)
         self.floor = -(-sum(size) // capacity)
 
     def fills(self, genome: list[list[int]]) -> list[int]:
+        if isinstance(genome, Genome):
+            return genome.fill
         size = self.size
         return [sum([size[i] for i in b]) for b in genome]
 
-    def packed(self, order: list[int], bins: list[list[int]] | None = None) -> list[list[int]]:
-        bins = bins or []
-        room = sorted((self.capacity - fill, k) for k, fill in enumerate(self.fills(bins)) if fill < self.capacity)
+    def packed(self, order: list[int], bins: Genome | None = None) -> Genome:
+        bins = Genome() if bins is None else bins
+        room = sorted((self.capacity - fill, k) for k, fill in enumerate(bins.fill) if fill < self.capacity)
         best_fit(order, self.size, bins, room, self.capacity)
         return bins
 
-    def start(self, genomes: int) -> list[list[list[int]]]:
+    def start(self, genomes: int) -> list[Genome]:
         """Best-fit decreasing, first with exact sizes and then with sizes blurred ever more."""
         exact = np.array(self.size, float)
         out = []
@@ -116,34 +129,36 @@ class Island:
         fill = np.array(self.fills(genome), float) / self.capacity
         return -len(genome), float((fill**2).sum())
 
-    def cross(self, one: list[list[int]], two: list[list[int]]) -> list[list[int]]:
+    def cross(self, one: Genome, two: Genome) -> Genome:
         """``one`` with some of the fuller half of ``two``'s bins whole; what they displace goes where it fits best."""
-        fills = np.array(self.fills(two))
+        fills = np.array(two.fill)
         full = np.flatnonzero(fills >= np.median(fills)) if len(two) else np.empty(0, int)
         full = full[self.rng.random(len(full)) < self.rng.uniform(0.02, 0.5)]
-        injected = [list(two[k]) for k in full]
-        taken = {i for b in injected for i in b}
-        kept, displaced = [], []
+        full = full.tolist()
+        child = Genome([list(two[k]) for k in full], [two.fill[k] for k in full])
+        taken, displaced = {i for b in child for i in b}, []
         worst = self.capacity * 0.97
-        for b, fill in zip(one, self.fills(one)):
+        for b, fill in zip(one, one.fill):
             if not taken.isdisjoint(b):
                 displaced += [i for i in b if i not in taken]
             elif fill < worst and self.rng.random() < 0.5:
                 displaced += b  # a poorly filled bin is dissolved
             else:
-                kept.append(list(b))
+                child.append(list(b))
+                child.fill.append(fill)
         displaced.sort(key=lambda i: -self.size[i])
-        return self.packed(displaced, injected + kept)
+        return self.packed(displaced, child)
 
     def perfect(self, genome: list[list[int]]) -> bool:
         """As few bins as the sizes allow, and all but one full: nothing is left to win."""
         return len(genome) <= self.floor and sum(fill < self.capacity for fill in self.fills(genome)) <= 1
 
-    def evolve(self, genomes: list[list[list[int]]], patience: int) -> list[list[list[int]]]:
+    def evolve(self, genomes: list[list[list[int]]], patience: int) -> list[Genome]:
         """The genomes, best first, once nothing is left to win or so many crossovers in a row made none better.
 
         A better child takes the place of the worst, if no other is worth the same.
         """
+        genomes = [Genome(g, self.fills(g)) for g in genomes]
         ranked, number = sorted(((self.worth(g), k, g) for k, g in enumerate(genomes)), reverse=True), len(genomes)
         vain = 0
         while vain < patience and len(ranked) > 1 and not self.perfect(ranked[0][2]):
@@ -157,16 +172,15 @@ class Island:
 
 
 def to_genes(genome: list[list[int]], n: int) -> np.ndarray:
-    genes = np.empty(n, np.int32)
-    for k, b in enumerate(genome):
-        genes[b] = k
+    genes, number = np.empty(n, np.int32), np.arange(len(genome))
+    genes[np.fromiter(chain.from_iterable(genome), np.int64)] = np.repeat(number, np.fromiter(map(len, genome), np.int64))
     return genes
 
 
 def to_bins(genes: np.ndarray) -> list[list[int]]:
     order = np.argsort(genes, kind="stable")
-    cuts = np.flatnonzero(np.diff(genes[order])) + 1
-    return [b.tolist() for b in np.split(order, cuts)]
+    cuts, order = [0, *(np.flatnonzero(np.diff(genes[order])) + 1).tolist(), len(order)], order.tolist()
+    return [order[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 STATE = "_shard long, _island int, lengths array<long>, genomes array<array<int>>, bins int, filled double, still boolean, perfect boolean"

@@ -170,3 +170,30 @@ def test_states_cross_the_network_once(spark):
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "footstep" in plan or "_step" in plan
         assert plan.count("collect_list") and "windows-" not in plan and "timelines-" not in plan and "channels-" not in plan
+
+
+def test_wide_plans_are_compiled_and_their_ticks_spread(spark):
+    """Methods that the JVM would only interpret are not generated, channels need one window of earlier rows, and no single task lays out all ticks."""
+    from tickloom.plans.telemetry import rich_telemetry, telemetry
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    kept, _ = build(spark, tick_rows())
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Window" in line and "lag(" in line and "pos#" in line for line in plan.splitlines()) == 1
+    for made in (telemetry, rich_telemetry):
+        ticks = made(spark, "/root/testdata/sf0.001")[0]
+        sizes = [r[0] for r in ticks.groupBy(F.spark_partition_id()).agg(F.count("tick")).select("count(tick)").collect()]
+        assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * min(sizes)
+
+
+def test_changes_of_changes_begin_at_nothing(spark):
+    """Accelerations are the changes of changes, over 180 degrees, gaps of telemetry and the first row."""
+    yaws = {t: (t * t * 7 % 360) - 180.0 for t in range(FIRST, 900)}
+    kept, _ = build(spark, tick_rows(lambda r: [r | ({"yaw": yaws[r["tick"]], "pitch": r["tick"] * r["tick"] % 89 - 44.0} if r["player"] == "s" else {})]))
+    got = kept.orderBy("pos").collect()
+    wrap = lambda d: (d + 180) % 360 - 180
+    turns = [0.0] + [wrap(yaws[t] - yaws[t - 1]) for t in range(T0 + 1, HIT)]
+    assert [r.delta_yaw for r in got] == turns and [r.yaw_acceleration for r in got] == [0.0] + [b - a for a, b in zip(turns, turns[1:])]
+    tilts = [r.delta_pitch for r in got]
+    assert tilts[0] == 0.0 and [r.pitch_acceleration for r in got] == [0.0] + [b - a for a, b in zip(tilts, tilts[1:])]

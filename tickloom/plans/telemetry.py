@@ -19,13 +19,18 @@ BASE = f"""{EV}, u AS (SELECT DISTINCT user_id FROM ev), nx AS (SELECT user_id,
     an AS (SELECT * FROM hu WINDOW w AS (PARTITION BY match, attacker, victim ORDER BY tick, ord) QUALIFY lag(tick) OVER w IS NULL OR tick - lag(tick) OVER w > 128)"""
 
 
+def spread(users: DataFrame) -> DataFrame:
+    """Users dealt out over as many tasks as a shuffle has: each becomes hundreds of ticks, which the planner doesn't see when it joins small partitions into one."""
+    return users.repartition(int(users.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def telemetry(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """ticks, hurts, fires, steps and blinds, as the encounter builder takes them."""
     e, u, t = events(spark, d), F.col("user_id"), F.col("tick")
     users = e.select("user_id").distinct()
     line = W.partitionBy(u % 8).orderBy("user_id")
     nexts = users.select("user_id", F.coalesce(F.lead("user_id").over(line), F.first("user_id").over(line)).alias("victim"))
-    laid = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(TICKS - 1))).alias("tick")).filter(~((u % 19 == 7) & (t == 120)))
+    laid = spread(users).select("user_id", F.explode(F.sequence(F.lit(0), F.lit(TICKS - 1))).alias("tick")).filter(~((u % 19 == 7) & (t == 120)))
     none = F.lit(0.0)
     name = lambda c: F.concat(F.lit("p"), c.cast("string"))
     ticks = laid.select(
@@ -116,7 +121,7 @@ def rich_telemetry(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     users = e.select("user_id").distinct()
     line = W.partitionBy(u % 8).orderBy("user_id")
     nexts = users.select("user_id", F.coalesce(F.lead("user_id").over(line), F.first("user_id").over(line)).alias("victim"))
-    laid = users.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RICH_TICKS - 1).cast("long"))).alias("tick"))
+    laid = spread(users).select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RICH_TICKS - 1).cast("long"))).alias("tick"))
     by = lambda c, n: F.floor(c / n)
     match, name = (u % 8).cast("string").alias("match"), lambda c: F.concat(F.lit("p"), c.cast("string"))
     made = {

@@ -44,6 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def methods_that_compile(spark: SparkSession) -> None:
+    """Let plans of very many columns run outside whole-stage code where its methods pass the size that the JVM compiles (8,000 bytes), unless the session says otherwise.
+
+    The JVM interprets larger methods for good, which took more than half the time of such plans.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(name) == "65535":  # Spark's own value
+        spark.conf.set(name, "8000")
+
+
 _owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_encounters import tick_rows
 from tickloom.operators import capture
+from tickloom.operators import encounters as enc
 from tickloom.sources import captures
 from tickloom.sources.tail import LineReader
 from tickloom.streaming import kept, keyed
@@ -272,3 +273,18 @@ def test_line_tables_keep_what_is_needed_and_spread_a_match(spark, tmp_path):
     assert max(counts) <= 2 * (keyed.REACH + keyed.LATE + keyed.BUCKET) + 20
     old = spark.read.parquet(tables.part("kept", len(counts) - 1)).filter("old").collect()
     assert sorted(r.who for r in old) == ["s", "t"] and not list((tmp_path / "new").glob("batch=*"))
+
+
+def test_rows_stay_rows_and_only_windows_of_fresh_hits_are_built(spark, tmp_path):
+    """Tables of lines hold rows and no JSON, and a hit that isn't fresh moves the clock of its burst without being built."""
+    hits = [*HITS, (1550, "s", "t")]  # within the burst of 1500
+    table = spark.createDataFrame(lines(hits=hits), LINE)
+    kept_rows, anchors = build(table)
+    slices = table_lines(table, text=False).withColumn("fresh", F.col("hit") & F.col("tick").isin(1500, 1550))
+    live_kept, live_anchors = build_lines(slices)
+    assert facts(live_anchors) == [a for a in facts(anchors) if a[2] == 1500] != []
+    cols = ["attacker", "tick", "pos", *enc.CHANNELS]
+    assert sorted(map(tuple, live_kept.select(*cols).collect())) == sorted(map(tuple, kept_rows.filter("tick = 1500").select(*cols).collect()))
+    given = []
+    kept.LineTables(str(tmp_path), lambda rows, batch: given.append((rows.schema["value"].dataType.typeName(), sorted(r.tick for r in rows.filter("fresh").collect()))), SETTLE)(table_lines(table, text=False), 0)
+    assert given == [("struct", sorted(t for t, _, _ in hits if t + SETTLE <= 1700))]

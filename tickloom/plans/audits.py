@@ -13,7 +13,7 @@ from tickloom.operators import resample as rs
 from tickloom.operators import splits as sp
 from tickloom.plans.registry import EV, draws, events, n, query, r, scores
 from tickloom.plans.telemetry import counted, reasons, telemetry
-from tickloom.session import delete, read_table, shared_dir
+from tickloom.session import delete, methods_that_compile, read_table, shared_dir
 
 #: Ticks of one series; characters stand for ticks.
 TICKS = 192
@@ -127,6 +127,7 @@ def live_encounter_reasons(spark, d):
     """The reasons of anchors as the live sink finds them over micro-batches of lines: as many of each as the batch builder finds."""
     from tickloom.streaming import encounters as live
 
+    methods_that_compile(spark)
     base = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
     ticks, hurts, fires, steps, blinds = telemetry(spark, d)
     kinds = {"state": ticks.withColumn("ord", F.lit(0).cast("long")), "hurt": hurts, "fire": fires, "step": steps, "blind": blinds}
@@ -137,9 +138,10 @@ def live_encounter_reasons(spark, d):
         lines = one if lines is None else lines.unionByName(one)
     half = F.when(F.col("tick") < 280, 0).otherwise(1)  # hits fall in both parts, and lines of the first are read by those of the second
     for part in (0, 1):
-        lines.filter(half == part).coalesce(8).write.mode("append").parquet(f"{base}/in/part={part}")
+        lines.filter(half == part).write.mode("append").parquet(f"{base}/in/part={part}")
+    files = len(spark.read.parquet(f"{base}/in/part=0").inputFiles())  # the first part is the first batch
     sink = live.EncounterSink(f"{base}/out")
-    live.follow(spark, f"{base}/in/*", base, sink, files_per_batch=8)
+    live.follow(spark, f"{base}/in/*", base, sink, files_per_batch=files)
     found = sink.anchors(spark)
     delete(spark, f"{base}/in")
     return counted(found)

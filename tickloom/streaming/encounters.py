@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.operators import capture
 from tickloom.operators import encounters as enc
 from tickloom.operators import timeline as t
 from tickloom.operators.metrics import first_n
-from tickloom.session import delete, passing_tables
+from tickloom.session import delete, methods_that_compile, passing_tables
 from tickloom.sources import captures
 from tickloom.sources.tail import BATCH_BYTES, tail
 from tickloom.streaming.kept import LineTables
@@ -38,11 +39,11 @@ def lasting(tick, seconds):
     return F.when(seconds > 0, tick + 1 + F.ceil(seconds * enc.RATE)).cast("long")
 
 
-def table_lines(lines: DataFrame) -> DataFrame:
-    """A table of LINE as lines of the keyed state; ``value`` holds the row."""
-    kind = F.col("kind")
+def table_lines(lines: DataFrame, text: bool = True) -> DataFrame:
+    """A table of LINE as lines of the keyed state; ``value`` holds the row, as JSON or as it is."""
+    kind, row = F.col("kind"), F.struct("*")
     who, until = F.when(kind == "state", F.col("player")), lasting(F.col("tick"), F.when(kind == "blind", F.col("duration")))
-    return lines.select("match", "ord", "tick", until.alias("until"), who.alias("who"), (kind == "hurt").alias("hit"), F.to_json(F.struct("*")).alias("value"), F.lit(None).cast("timestamp").alias("read_at"))
+    return lines.select("match", "ord", "tick", until.alias("until"), who.alias("who"), (kind == "hurt").alias("hit"), (F.to_json(row) if text else row).alias("value"), F.lit(None).cast("timestamp").alias("read_at"))
 
 
 def capture_lines(lines: DataFrame) -> DataFrame:
@@ -54,16 +55,18 @@ def capture_lines(lines: DataFrame) -> DataFrame:
 
 
 def build_lines(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The batch builder on lines of the keyed state that hold rows of LINE."""
-    return build(lines.select(F.from_json("value", LINE).alias("row")).select("row.*"), strict)
+    """The batch builder on lines of the keyed state that hold rows of LINE; where lines say which are fresh, on the windows of fresh hits alone."""
+    value = F.from_json("value", LINE) if lines.schema["value"].dataType == T.StringType() else F.col("value")
+    only = lines.filter("fresh").select("match", "ord") if "fresh" in lines.columns else None
+    return build(lines.select(value.alias("row")).select("row.*"), strict, only)
 
 
-def build(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+def build(lines: DataFrame, strict: bool = True, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The batch builder on a table of lines."""
     of = lambda kind, *cols: lines.filter(F.col("kind") == kind).select(*cols)
     ticks = of("state", "match", "player", "tick", *enc.STATE, "ord")
     hurts = of("hurt", "match", "ord", "tick", "attacker", "victim", "weapon")
-    return enc.encounters(ticks, hurts, of("fire", "match", "player", "tick", "weapon"), of("step", "match", "player", "tick"), of("blind", "match", "player", "tick", "duration"), None, strict)
+    return enc.encounters(ticks, hurts, of("fire", "match", "player", "tick", "weapon"), of("step", "match", "player", "tick"), of("blind", "match", "player", "tick", "duration"), None, strict, only)
 
 
 def build_captured(lines: DataFrame, bots: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -151,9 +154,10 @@ class EncounterSink:
 
 def follow(spark: SparkSession, source: str, folder: str, sink: EncounterSink, files_per_batch: int = 1, settle: int = SETTLE) -> None:
     """Read all files of lines (LINE) that are there, in micro-batches, into the sink; a match may have any number of players."""
+    methods_that_compile(spark)
     lines = spark.readStream.schema(LINE).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     tables = LineTables(f"{folder}/tables", sink, settle)
-    table_lines(lines).writeStream.foreachBatch(tables).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    table_lines(lines, text=False).writeStream.foreachBatch(tables).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def follow_captures(spark: SparkSession, pattern: str, folder: str, sink: EncounterSink, idle_seconds: float = 30.0, poll: str = "250 milliseconds", settle: int = SETTLE, batch_bytes: int = BATCH_BYTES) -> None:
